@@ -86,8 +86,8 @@ def signals(docs: DataFrame, keep: list[str]) -> DataFrame:
         *keep,
         F.size("_w").cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.length("_t") - F.length(F.regexp_replace("_t", r"[!-/:-@\[-`{-~]+", ""))).cast("long").alias("n_marks"),
+        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_t", F.lit(r"\p{Punct}")).cast("long").alias("n_marks"),
         F.element_at(F.transform(F.array(lines), lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("d"))), 1).alias("_l"),
         repeated_words(windows(F.col("_w"))).alias("n_repeat_words"),
     ).select(
