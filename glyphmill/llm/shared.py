@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,7 +153,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, size: int = 2 << 20):
     """(from, to) row ranges of about `size` bytes each; a longer row stands alone."""
-    lengths = np.asarray(column.cast(pa.large_string()).fill_null("").offsets if False else pa.compute.binary_length(column).fill_null(0))
+    lengths = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
     ends, at = np.cumsum(lengths), 0
     while at < len(lengths):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
