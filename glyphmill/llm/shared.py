@@ -87,7 +87,7 @@ class _Powers:
             self.n = max(n, 1 << 20)
             inverse = pow(self.base, -1, 1 << 64)
             with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(self.n, b, np.uint64)]).astype(np.uint64)) for b in (self.base, inverse))
+                self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.n, b, np.uint64)])) for b in (self.base, inverse))
         return self.up, self.down
 
 
