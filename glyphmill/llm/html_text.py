@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import quoted, slices
 
 _NAMES = lambda s: frozenset(s.split())
 VOID = _NAMES("area base br col embed hr img input link meta param source track wbr")
@@ -45,7 +45,7 @@ IMPLIED = {
 }
 #: An end tag looks for its element no further up than these.
 SCOPE = _NAMES("table td th caption template html")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -339,7 +339,7 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     through; other columns are ignored unless named in keep.
     """
     own = [f"_k{i}" for i in range(len(keep))]
-    narrow = pages.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col("html").alias("_html"))
+    narrow = pages.select(*[quoted(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col("html").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

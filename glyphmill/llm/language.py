@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import quoted, slices
 
 #: Bound of the labelled sample: passages per language, and code points of each passage.
 PASSAGES, PASSAGE_CHARS = 60, 800
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 lang, score = predict(part.column(len(own)).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*own, "lang_pred", "score"])
 
-    narrow = docs.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col("text").alias("_text"))
+    narrow = docs.select(*[quoted(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col("text").alias("_text"))
     fields = [f.simpleString() for f in narrow.schema.fields[:-1]]
     out = narrow.mapInArrow(run, ", ".join(f.replace(":", " ", 1) for f in [*fields, "lang_pred:string", "score:double"]))
     return out.withColumnsRenamed(dict(zip(own, keep, strict=True)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, settle
+from .shared import SPACE, quoted, settle
 
 #: Signals under an adaptive fence, and the least half-width of that fence (in the signal's own unit). Without it a group
 #: whose rows all agree (spread 0) would reject any row that differs at all.
@@ -121,8 +121,8 @@ def fences(rated: DataFrame, reach: float = REACH, least_rows: int = LEAST_ROWS)
 
     by_group = named(group, "g", ["_lang", "_source"])
     by_lang = named(merged(["_lang"]), "l", ["_lang"]).withColumnRenamed("_lang", "_lang2")
-    over_all = named(merged([]), "a", [])
-    joined = by_group.join(by_lang, F.col("_lang").eqNullSafe(F.col("_lang2")), "left").join(F.broadcast(over_all), how="left")  # one row
+    over_all = named(merged([]), "a", []).withColumn("_one", F.lit(1))
+    joined = by_group.withColumn("_one", F.lit(1)).join(by_lang, F.col("_lang").eqNullSafe(F.col("_lang2")), "left").join(F.broadcast(over_all), "_one", "left")  # one row
     pick = lambda s: F.when(F.col("n_g") >= least_rows, F.col(f"{s}_g")).when(F.col("n_l") >= least_rows, F.col(f"{s}_l")).otherwise(F.col(f"{s}_a"))
     return joined.select("_lang", "_source", *[pick(s).alias(f"hi_{s[2:]}") for s in SIGNALS])
 
@@ -136,7 +136,7 @@ def judge(docs: DataFrame, keep: list[str], reach: float = REACH, least_rows: in
     text, lang, source; other columns don't matter unless named in keep. store: the signals are checkpointed, so texts are
     read once; right where keep is narrow. Without it, texts are read twice and nothing of them is written.
     """
-    base = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], "text", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+    base = docs.select(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(keep)], "text", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
     own = [f"_k{i}" for i in range(len(keep))]
     rated = _rates(signals(base, [*own, "_lang", "_source"]))
     rated = settle(rated) if store else rated

@@ -53,6 +53,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def quoted(column: str):
+    """A column by its exact name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def veil(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns under neutral names c0, c1, ..., then the needed ones under their own, so that no name clashes."""
+    return docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], *needed)
+
+
+def unveil(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """Back to the columns of docs."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 # ---------------------------------------------------------------- 64-bit hashes on NumPy arrays
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import quoted, settle
 
 #: Addresses that one window sweeps, about.
 WINDOW_ROWS = 50_000
@@ -90,7 +90,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: st
     ruled = settle(rule_keys(rules))
     shape = ruled.agg(F.max("level"), F.collect_set("depth")).first()
     own = [f"_k{i}" for i in range(len(keep))]
-    named = pages.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    named = pages.select(*[quoted(c).alias(o) for c, o in zip(keep, own, strict=True)], host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     back = dict(zip(own, keep, strict=True))
     if not shape[1]:
         return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).withColumnsRenamed(back)
