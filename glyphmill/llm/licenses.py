@@ -101,7 +101,7 @@ def scan(docs: DataFrame, known: DataFrame, rules: list[tuple[str, str]] = list(
     Rows with equal doc_id and text are alike and each stay; a null doc_id is a row like others; an empty table gives an
     empty result; other columns don't matter.
     """
-    lengths = [r[0] for r in known.agg(F.min(F.length("sentence")), F.max(F.length("sentence"))).select(F.struct("*")).collect()[0]]
+    lengths = list(known.agg(F.coalesce(F.min(F.length("sentence")), F.lit(0)), F.coalesce(F.max(F.length("sentence")), F.lit(0))).first())
     key = ["doc_id", "h"]
     table = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     # A sentence of another length can't be known; that test is cheaper than the join.
@@ -140,13 +140,13 @@ def _sql() -> str:
     return rf"""
 WITH known(sentence, id) AS (VALUES {values}),
 docs AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
-lines AS (SELECT k, generate_subscripts(a, 1) AS at, unnest(a) AS s FROM (
-  SELECT k, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]+([ \t]|$)', chr(10) || '\1', 'g'), '[\n\r]+'), x -> regexp_matches(x, '[A-Za-z]')) AS a FROM docs)),
-hits AS (SELECT k, at, id FROM (SELECT k, at, trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS sentence FROM lines) JOIN known USING (sentence)),
-breaks AS (SELECT k, at, CASE WHEN at > 1 + lag(at) OVER (PARTITION BY k ORDER BY at) THEN '| ' ELSE '' END || id || ' ' AS id FROM hits),
-joined AS (SELECT k, string_agg(id, '' ORDER BY at) AS ids, count(*) AS n FROM breaks GROUP BY k),
+lines AS (SELECT k, generate_subscripts(a, 1) AS nth, unnest(a) AS s FROM (
+  SELECT k, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]+([ \t]|$)', chr(10) || '\1', 'g'), '[\n\r]+'), lambda x: regexp_matches(x, '[A-Za-z]')) AS a FROM docs)),
+hits AS (SELECT k, nth, id FROM (SELECT k, nth, trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS sentence FROM lines) JOIN known USING (sentence)),
+breaks AS (SELECT k, nth, CASE WHEN nth > 1 + lag(nth) OVER (PARTITION BY k ORDER BY nth) THEN '| ' ELSE '' END || id || ' ' AS id FROM hits),
+joined AS (SELECT k, string_agg(id, '' ORDER BY nth) AS ids, count(*) AS n FROM breaks GROUP BY k),
 found AS (SELECT k, n, regexp_extract_all({named}, '<([^>]+)>', 1) AS all_names FROM joined),
-firsts AS (SELECT k, n, list_filter(all_names, (x, i) -> list_position(all_names, x) = i) AS names FROM found)
+firsts AS (SELECT k, n, list_filter(all_names, lambda x, i: list_position(all_names, x) = i) AS names FROM found)
 SELECT doc_id, coalesce(array_to_string(names, ','), '') AS licenses, coalesce(n, 0) AS sentences FROM docs LEFT JOIN firsts USING (k)
 """
 

@@ -73,7 +73,7 @@ def rule_keys(rules: DataFrame) -> DataFrame:
         F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("hosts"), F.concat("host", "path").alias("rule"), "verdict").alias("rule"),
     )
     keyed = keyed.withColumn("lo", F.concat("prefix", F.lit("?"), "path").cast("binary")).withColumn("hi", F.concat(F.col("lo"), F.unhex(F.lit("FF"))))
-    ends = keyed.select("depth", "prefix", F.explode(F.array(F.struct(F.col("lo").alias("key"), F.lit(1).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("hi"), F.lit(0), F.lit(-1)))).alias("e"))
+    ends = keyed.select("depth", "prefix", F.explode(F.array(F.struct(F.col("lo").alias("key"), F.lit(1).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("hi").alias("key"), F.lit(0).alias("kind"), F.lit(-1).alias("step")))).alias("e"))
     order = W.partitionBy("depth", "prefix").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
     level = ends.select("depth", "prefix", "e.*").withColumn("level", F.sum("step").over(order)).filter("kind = 1").select("depth", "prefix", F.col("key").alias("lo"), "level")
     return keyed.join(level, ["depth", "prefix", "lo"]).select("depth", "prefix", "lo", "hi", F.col("level").cast("int").alias("level"), "rule")
@@ -108,7 +108,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: st
     )
     copies = ruled.join(salts, ["depth", "prefix"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     empty = F.lit(None).cast("string")
-    ends = copies.select("depth", "prefix", "salt", F.explode(F.array(F.struct(F.col("lo").alias("key"), F.lit(1).alias("kind")), F.struct(F.col("hi"), F.lit(0)))).alias("e"), "level", "rule")
+    ends = copies.select("depth", "prefix", "salt", F.explode(F.array(F.struct(F.col("lo").alias("key"), F.lit(1).alias("kind")), F.struct(F.col("hi").alias("key"), F.lit(0).alias("kind")))).alias("e"), "level", "rule")
     ends = ends.select("depth", "prefix", "salt", "e.key", "e.kind", "level", "rule", empty.alias("host"), empty.alias("path"))
     swept = _sweep(asked.unionByName(ends), ["depth", "prefix", "salt"], shape[0]).filter((F.col("kind") == 2) & F.col("active").isNotNull())
     won = swept.groupBy("host", "path").agg(F.max("active").alias("won"))
