@@ -27,39 +27,35 @@ def guess_language(text: Column) -> Column:
 # ---------------------------------------------------------------- sentences and words
 
 
-def _abbreviation(word: Column, language: Column) -> Column:
-    """Known in its language; in any, where the language is null or unknown."""
-    lists = {k: sorted({*v, *ABBREVIATIONS["latin"]}) for k, v in ABBREVIATIONS.items() if k != "latin"}
-    every = sorted({w for v in lists.values() for w in v})
-    out = F.when(language == "en", word.isin(lists["en"])).when(language == "it", word.isin(lists["it"])).when(language == "uk", word.isin(lists["uk"]))
-    return out.otherwise(word.isin(every))
+#: Marks a cut inside a text; a private-use character that texts have no use for (one that a text holds counts as a blank).
+CUT = "\ue000"
 
 
-def sentences(text: Column, language: Column) -> Column:
-    """Array of struct(start, text): cut behind . ! ? … before a blank, tab or line end, but not behind an abbreviation.
+def _abbreviations(language: str | None) -> str:
+    """Alternation of what a period may follow, of a language or of all."""
+    of = lambda k: {*ABBREVIATIONS[k], *ABBREVIATIONS["latin"]}
+    found = of(language) if language else set().union(*map(of, ("en", "it", "uk")))
+    return "|".join(sorted(found, key=lambda w: (-len(w), w)))
+
 
-    Offsets are code points. Chunks are cut at every mark first, then those that end in an abbreviation are joined to the
-    next by one fold over the chunks.
+def sentence_chunks(text: Column, language: Column) -> Column:
+    """Array of chunks whose concatenation is the text: cut behind . ! ? … before a blank, tab or line end.
+
+    No cut after an abbreviation of the language (null or another language: of any). Chunks keep their outer blanks.
     """
-    chunks = F.split(text, r"(?<=[.!?…])(?=[ \t\n])", -1)
+    marked = F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(" ")), r"(?<=[.!?…])(?=[ \t\n])", CUT)
 
-    def joined(parts: Column) -> Column:
-        def step(acc: Column, chunk: Column) -> Column:
-            last = F.element_at(acc, -1)
-            word = F.lower(F.regexp_extract(last, r"([\p{L}\p{N}'-]+)\.$", 1))
-            more = (F.size(acc) > 0) & (word != "") & _abbreviation(word, language)
-            return F.when(more, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, chunk)))).otherwise(F.concat(acc, F.array(chunk)))
+    def joined(lang: str | None) -> Column:
+        return F.regexp_replace(marked, rf"(?iu)(?<![\p{{L}}\p{{N}}'-])((?:{_abbreviations(lang)})\.){CUT}", "$1")
 
-        return F.aggregate(parts, F.array().cast("array<string>"), step)
+    out = F.when(language == "en", joined("en")).when(language == "it", joined("it")).when(language == "uk", joined("uk")).otherwise(joined(None))
+    return F.split(out, CUT, -1)
 
-    def placed(parts: Column) -> Column:
-        lengths = F.transform(parts, lambda p: F.length(p))
-        start = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda s, x: s + x))
-        lead = lambda p: F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))
-        rows = F.zip_with(start, parts, lambda s, p: F.struct((s + lead(p)).alias("start"), F.regexp_replace(p, r"(?U)^\s+|\s+$", "").alias("text")))
-        return F.filter(rows, lambda r: r["text"] != "")
 
-    return F.element_at(F.transform(F.array(joined(chunks)), placed), 1)
+def sentences(text: Column, language: Column) -> Column:
+    """Array of the sentences, outer white space gone, blank ones left out."""
+    trimmed = F.transform(sentence_chunks(text, language), lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.filter(trimmed, lambda c: c != "")
 
 
 def words(text: Column) -> Column:
