@@ -10,19 +10,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_BYTES = 2 << 20
-# Languages of a file by its name, folders of locale files.
-LOCALE_FOLDERS = ["locales", "locale", "i18n", "lang", "langs", "languages", "translations", "messages", "l10n"]
+# Extensions by scope, folders of locale files, what is never read.
+MARKUP = [".html", ".htm", ".xml", ".jsx", ".tsx", ".vue", ".svelte", ".js", ".ts", ".mjs", ".cjs"]
+BACKEND = [".py", ".php", ".rb", ".erb", ".go", ".java", ".cs"]
+CONTENT = MARKUP + BACKEND
+TECHNICAL = [*MARKUP, ".py", ".css", ".scss", ".less", ".go", ".rs", ".java", ".kt", ".php", ".rb", ".sh", ".sql", ".c", ".h", ".cpp", ".cs", ".swift", ".yml", ".yaml", ".toml"]
+LOCALE_FOLDERS = ["locales", "locale", "lang", "langs", "i18n", "translations", "translation", "messages", "strings"]
 IGNORED = [
-    ".git/", ".hg/", ".svn/", "node_modules/", "bower_components/", "vendor/", "dist/", "build/", "out/", "target/", ".next/", ".nuxt/", ".svelte-kit/", "coverage/",
-    "__pycache__/", ".venv/", "venv/", "env/", ".tox/", ".mypy_cache/", ".pytest_cache/", ".idea/", ".vscode/", "*.min.js", "*.min.css", "*.map", "*.lock",
+    ".git/", "node_modules/", "dist/", "build/", "out/", ".next/", ".nuxt/", ".svelte-kit/", "target/", "vendor/", "venv/", ".venv/", "env/",
+    "__pycache__/", ".pytest_cache/", ".mypy_cache/", ".idea/", ".vscode/", "coverage/", "*.min.js", "*.min.css", "*.map",
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "ios/Pods/", "android/build/", "android/.gradle/", ".gradle/", "*.egg-info/",
+    "bower_components/", "third_party/", "Pods/", "ClientSideAssets/", "wp-content/plugins/", "**/app/plugins/",
 ]
-SECTIONS = {"phrases": "phrase", "rules": "rule", "paths": "path", "selectors": "selector", "fingerprints": "fingerprint", "ignore": "fingerprint"}
+SECTIONS = {name: kind for kind in ("phrase", "rule", "path", "selector", "fingerprint") for name in (kind, f"{kind}s")}
 
 
 def ignore_regex(patterns: list[str]) -> str:
-    """One pattern for a list of globs: `x/` is a folder at any depth, a name without / matches at any depth."""
+    """One pattern for a list of globs: `x/` is a folder at any depth, a name without / matches at any depth, **/ is any folders."""
     parts = []
     for p in patterns:
+        p = p.removeprefix("**/")
         if p.endswith("/"):
             parts.append(f"(?:^|/){_glob(p[:-1])}/")
         elif "/" in p:
@@ -40,7 +47,7 @@ def _glob(p: str) -> str:
 def is_locale_file(path: Column) -> Column:
     """JSON or YAML in a folder of translations, or named by a language tag."""
     folders = "|".join(LOCALE_FOLDERS)
-    return path.rlike(r"(?i)\.(json|ya?ml)$") & (path.rlike(rf"(?i)(?:^|/)(?:{folders})/") | path.rlike(r"(?i)(?:^|/)[a-z]{2}(?:[-_][a-z]{2})?\.[a-z]+$"))
+    return path.rlike(r"(?i)\.(json|ya?ml)$") & (path.rlike(rf"(?i)(?:^|/)(?:{folders})/") | path.rlike(r"(?:^|/)[a-z]{2,3}(?:[-_][A-Za-z]{2,4})?\.[A-Za-z]+$"))
 
 
 def scan_files(spark: SparkSession, root: str, extensions: list[str], ignore: list[str] | None = None, max_files: int = 0, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -68,7 +68,10 @@ def measurement_issues(payloads: DataFrame, budgets: list[tuple[str, float, str,
 
 
 # Severity of the checks of element states.
-STATE_SEVERITY = {"focus-not-visible": "serious", "focus-obscured": "serious", "hover-only": "moderate", "dialog-focus": "serious", "reflow": "moderate", "motion": "moderate"}
+STATE_SEVERITY = {
+    "keyboard-trap": "serious", "focus-not-visible": "serious", "focus-order-mismatch": "moderate",
+    "hover-only-content": "moderate", "no-skip-link": "moderate", "focus-outside-viewport": "moderate",
+}
 
 
 def state_issues(payloads: DataFrame, severities: dict[str, str] | None = None) -> DataFrame:
