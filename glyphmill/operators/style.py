@@ -43,7 +43,7 @@ def cliches(sentence: Column, language: Column, lexicon: dict[str, list[str]] |
 
     def of(lang: str | None) -> Column:
         found = _candidates(lexicon, lang)
-        table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(phrase_pattern(p)).alias("r")) for p in found])
+        table = F.arrays_zip(F.split(F.lit("\n".join(found)), "\n").alias("p"), F.split(F.lit("\n".join(map(phrase_pattern, found))), "\n").alias("r"))
         some = "(?iu)" + "|".join(re.escape(p) for p in sorted(found, key=len, reverse=True))
         hits = F.transform(F.filter(table, lambda x: F.rlike(sentence, x["r"])), lambda x: x["p"])
         return F.when(sentence.rlike(some), hits).otherwise(F.array().cast("array<string>"))

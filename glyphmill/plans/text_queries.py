@@ -252,8 +252,8 @@ def role_style(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources of findings over the documents, merged by overlap; both are made from doc_id and length."""
     d = _docs(spark, sf_dir).select("doc_id", F.length("text").alias("n"))
-    offline = d.select(F.col("doc_id").alias("block_id"), F.explode(F.array(F.struct(F.lit(0).alias("start"), F.lit(10).alias("end"), (F.col("doc_id") % 10 / 10).alias("score")), F.struct(F.lit(20), F.lit(30), F.lit(0.5)))).alias("x"), F.when(F.col("doc_id") % 7 == 0, "characters").otherwise("style").alias("kind")).select("block_id", "x.*", "kind")
-    judged = d.filter("n > 12").select(F.col("doc_id").alias("block_id"), F.posexplode(F.array(F.struct(F.lit(5).alias("start"), F.lit(25).alias("end"), (F.col("doc_id") % 4 / 4).alias("score")), F.struct(F.lit(22), F.lit(28), F.lit(0.9)))).alias("seq", "x"), F.lit(None).cast("string").alias("error")).select("block_id", "seq", "x.*", "error")
+    offline = d.select(F.col("doc_id").alias("block_id"), F.explode(F.array(F.struct(F.lit(0).alias("start"), F.lit(10).alias("end"), (F.col("doc_id") % 10 / 10).alias("score")), F.struct(F.lit(20).alias("start"), F.lit(30).alias("end"), F.lit(0.5).alias("score")))).alias("x"), F.when(F.col("doc_id") % 7 == 0, "characters").otherwise("style").alias("kind")).select("block_id", "x.*", "kind")
+    judged = d.filter("n > 12").select(F.col("doc_id").alias("block_id"), F.posexplode(F.array(F.struct(F.lit(5).alias("start"), F.lit(25).alias("end"), (F.col("doc_id") % 4 / 4).alias("score")), F.struct(F.lit(22).alias("start"), F.lit(28).alias("end"), F.lit(0.9).alias("score")))).alias("seq", "x"), F.lit(None).cast("string").alias("error")).select("block_id", "seq", "x.*", "error")
     return findings.merge_hybrid(offline, judged).select("block_id", "start", "end", F.round("score", 6).alias("score"), "kind", "agreement")
 
 

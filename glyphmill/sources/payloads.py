@@ -18,9 +18,15 @@ BUDGETS = [
 ]
 
 
+def strict_json(raw: Column, schema: str) -> Column:
+    """The document as a struct; null if it is none."""
+    read = F.from_json(raw, f"{schema}, _corrupt_record string")
+    return F.when(read["_corrupt_record"].isNull(), read)
+
+
 def relaxed_json(raw: Column, schema: str) -> Column:
     """The document, or what stands between its first { and last }."""
-    return F.coalesce(F.from_json(F.when(F.trim(raw).rlike(r"(?s)^\{.*\}$"), raw), schema), F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), schema))
+    return F.coalesce(strict_json(raw, schema), strict_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), schema))
 
 
 def _rows(df: DataFrame, rule: Column, severity: Column, engine: str, selector: Column, snippet: Column, confidence: Column, details: Column) -> DataFrame:
@@ -34,7 +40,7 @@ def _broken(df: DataFrame, engine: str) -> DataFrame:
 
 def axe_issues(payloads: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Issues of (source, payload); what the engine couldn't decide needs a browser; excluded: (rule) left out."""
-    read = payloads.select("source", F.from_json("payload", _AXE).alias("p"))
+    read = payloads.select("source", strict_json(F.col("payload"), _AXE).alias("p"))
     both = read.filter("p.error IS NULL").select("source", F.explode(F.array(F.struct(F.lit("violation").alias("bucket"), F.col("p.violations").alias("entries")), F.struct(F.lit("incomplete").alias("bucket"), F.col("p.incomplete").alias("entries")))).alias("b"))
     entries = both.select("source", "b.bucket", F.explode("b.entries").alias("e"))
     if excluded is not None:
@@ -48,7 +54,7 @@ def axe_issues(payloads: DataFrame, excluded: DataFrame | None = None) -> DataFr
 
 def htmlcs_issues(payloads: DataFrame) -> DataFrame:
     """Errors and warnings of (source, payload); notices are no findings. Codes are cut to their first numeric part."""
-    read = payloads.select("source", F.from_json("payload", _HTMLCS).alias("p"))
+    read = payloads.select("source", strict_json(F.col("payload"), _HTMLCS).alias("p"))
     found = read.filter("p.error IS NULL").select("source", F.explode("p.messages").alias("m")).filter("m.type IN (1, 2)")
     parts = F.split("m.code", r"\.")
     code = F.coalesce(F.get(F.filter(parts, lambda x: x.rlike("^[0-9]")), F.lit(0)), F.element_at(parts, -1))
@@ -61,7 +67,7 @@ def measurement_issues(payloads: DataFrame, budgets: list[tuple[str, float, str,
     """An issue where a measure of (source, payload) is over its budget."""
     budgets = budgets or BUDGETS
     schema = ", ".join(f"{b[0]} double" for b in budgets) + ", error string"
-    read = payloads.select("source", F.from_json("payload", schema).alias("p")).filter("p IS NOT NULL AND p.error IS NULL")
+    read = payloads.select("source", strict_json(F.col("payload"), schema).alias("p")).filter("p IS NOT NULL AND p.error IS NULL")
     over = [F.when(F.col(f"p.{k}") > limit, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(k).alias("metric"), F.col(f"p.{k}").alias("value"), F.lit(limit).alias("budget"))) for k, limit, severity, rule in budgets]
     rows = read.select("source", F.explode(F.array_compact(F.array(*over))).alias("i")).select("source", "i.*")
     return rows.withColumns({"category": F.lit("performance"), "engine": F.lit("browser")})
@@ -77,7 +83,7 @@ STATE_SEVERITY = {
 def state_issues(payloads: DataFrame, severities: dict[str, str] | None = None) -> DataFrame:
     """Issues `state:*` of (source, payload); a check without a severity of its own is moderate."""
     table = severities or STATE_SEVERITY
-    read = payloads.select("source", F.from_json("payload", _STATES).alias("p")).filter("p.error IS NULL")
+    read = payloads.select("source", strict_json(F.col("payload"), _STATES).alias("p")).filter("p.error IS NULL")
     found = read.select("source", F.explode("p.findings").alias("f"))
     severity = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("f.rule")), F.lit("moderate"))
     return _rows(found, F.concat(F.lit("state:"), F.col("f.rule")), severity, "states", F.col("f.selector"), F.col("f.html"), F.lit("exact"), F.create_map(F.lit("why"), F.col("f.why")))
@@ -91,7 +97,7 @@ def judge_spans(replies: DataFrame) -> DataFrame:
     """
     read = replies.withColumn("p", relaxed_json(F.col("reply"), "findings array<struct<quote:string,score:double,reason:string>>"))
     found = read.filter("p IS NOT NULL").select("block_id", "text", F.posexplode("p.findings").alias("seq", "f"))
-    at = F.locate(F.lit(""), F.col("text")) * 0 + F.expr("locate(f.quote, text)")
+    at = F.expr("locate(f.quote, text)")
     hit = (F.coalesce("f.quote", F.lit("")) != "") & (at > 0)
     start, end = F.when(hit, at - 1).otherwise(0), F.when(hit, at - 1 + F.length("f.quote")).otherwise(F.length("text"))
     rows = found.select("block_id", "seq", start.cast("int").alias("start"), end.cast("int").alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f.score"))).alias("score"), F.lit(None).cast("string").alias("error"))
