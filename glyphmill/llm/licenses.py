@@ -83,8 +83,8 @@ END = r"[\n\r]+|[.!?;:]+(?=[ \t]|$)"
 
 
 def sentences(text: Column) -> Column:
-    """Array of the sentences of a text, the blank ones left out."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), END, -1), lambda s: s.rlike("[A-Za-z]"))
+    """Array of the sentences of a text, the blank ones left out; the colon of a licence tag ends none."""
+    return F.filter(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("Identifier:"), F.lit("Identifier ")), END, -1), lambda s: s.rlike("[A-Za-z]"))
 
 
 def normalise(sentence: Column) -> Column:
@@ -141,7 +141,7 @@ def _sql() -> str:
 WITH known(sentence, id) AS (VALUES {values}),
 docs AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
 lines AS (SELECT k, generate_subscripts(a, 1) AS nth, unnest(a) AS s FROM (
-  SELECT k, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]+([ \t]|$)', chr(10) || '\1', 'g'), '[\n\r]+'), lambda x: regexp_matches(x, '[A-Za-z]')) AS a FROM docs)),
+  SELECT k, list_filter(string_split_regex(regexp_replace(replace(coalesce(text, ''), 'Identifier:', 'Identifier '), '[.!?;:]+([ \t]|$)', chr(10) || '\1', 'g'), '[\n\r]+'), lambda x: regexp_matches(x, '[A-Za-z]')) AS a FROM docs)),
 hits AS (SELECT k, nth, id FROM (SELECT k, nth, trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS sentence FROM lines) JOIN known USING (sentence)),
 breaks AS (SELECT k, nth, CASE WHEN nth > 1 + lag(nth) OVER (PARTITION BY k ORDER BY nth) THEN '| ' ELSE '' END || id || ' ' AS id FROM hits),
 joined AS (SELECT k, string_agg(id, '' ORDER BY nth) AS ids, count(*) AS n FROM breaks GROUP BY k),
