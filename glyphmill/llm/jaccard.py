@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, drop_dir, mix, seed, settle, shared_dir, slices, small, word_hashes
+from .shared import Shelf, components, mix, seed, settle, slices, small, word_hashes
 
 SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
-#: Sets in a bucket that is compared at once, and in a block of the exact comparison.
-BUCKET, BLOCK = 200, 256
+#: Sets in a bucket that is compared at once, in a block of what is still large after the last split, and in a block of
+#: the exact comparison.
+BUCKET, LAST_BLOCK, BLOCK = 200, 1500, 256
+#: Pairs that a task holds before it keeps of them only what hangs together.
+PAIRS = 1 << 20
 #: Sketch: one value of 4 bits in each of 128 bins.
 BINS = 128
 _BITS = np.uint64((1 << 49) - 1)
@@ -220,7 +223,7 @@ def _bucket_edges(cand: DataFrame, threshold: float) -> DataFrame:
             bucket = table.column("b").to_numpy()
             fp = table.column("fp").combine_chunks()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(bucket), -1)
-            left, right = [], []
+            left, right, held = [], [], 0
             same = np.arange(len(bucket))
             for d in range(1, len(bucket)):
                 same = same[same < len(bucket) - d]
@@ -233,13 +236,20 @@ def _bucket_edges(cand: DataFrame, threshold: float) -> DataFrame:
                 near = same[off <= most]
                 left.append(near)
                 right.append(near + d)
+                held += len(near)
+                if held > PAIRS:
+                    root = _forest(np.concatenate(left), np.concatenate(right), len(bucket))
+                    hit = np.flatnonzero(root != np.arange(len(root)))
+                    left, right, held = [root[hit]], [hit], len(hit)
             if left:
                 root = _forest(np.concatenate(left), np.concatenate(right), len(bucket))
                 hit = np.flatnonzero(root != np.arange(len(root)))
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([fp.take(pa.array(hit)), fp.take(pa.array(root[hit]))], ["u", "v"])
+                # Rows stand by fingerprint, so a text has the same root in every bucket that holds the same texts.
+                pairs = {(x, y): None for x, y in zip(fp.take(pa.array(hit)).to_pylist(), fp.take(pa.array(root[hit])).to_pylist(), strict=True)}
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], ["u", "v"])
 
-    return cand.select("b", "fp", "sketch").repartition("b").sortWithinPartitions("b").mapInArrow(run, "u binary, v binary")
+    return cand.select("b", "fp", "sketch").repartition("b").sortWithinPartitions("b", "fp").mapInArrow(run, "u binary, v binary")
 
 
 def _blocked(df: DataFrame, key: str, size: Column, limit: int, node: str) -> DataFrame:
@@ -254,7 +264,7 @@ def _blocked(df: DataFrame, key: str, size: Column, limit: int, node: str) -> Da
     return pair.withColumn(key, F.when(F.col("_blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, "side_a", "side_b"))).drop("_blocks", "_j")
 
 
-def _candidates(table: DataFrame, reps: DataFrame, depth: int, threshold: float) -> DataFrame:
+def _candidates(table: DataFrame, reps: DataFrame, depth: int, threshold: float, shelf: Shelf) -> DataFrame:
     """Edges of the buckets of all runs."""
     cand, large = None, None
     for level in range(1, depth + 1):
@@ -264,12 +274,12 @@ def _candidates(table: DataFrame, reps: DataFrame, depth: int, threshold: float)
             nodes = table.select(F.explode(f"l{level}").alias("x"), "fp").select(F.col("x.p").alias("p"), F.col("x.b").alias("b"), "fp")
             rows = nodes.join(large.select(F.col("b").alias("p")), "p", "left_semi").select("b", "fp").distinct()
         counts = rows.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1")
-        counts = settle(counts)
+        counts = shelf.put(counts)
         few = rows.join(counts.filter(F.col("size") <= BUCKET), "b").select("b", "fp")
         cand = few if cand is None else cand.unionByName(few)
         large = counts.filter(F.col("size") > BUCKET)
         if level == depth:
-            split = _blocked(rows.join(large, "b"), "b", F.col("size"), BUCKET, "fp")
+            split = _blocked(rows.join(large, "b"), "b", F.col("size"), LAST_BLOCK, "fp")
             cand = cand.unionByName(split.select("b", "fp"))
     return _bucket_edges(cand.join(reps.select("fp", "sketch"), "fp"), threshold)
 
@@ -346,15 +356,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    folder = shared_dir(spark)
-    _table(docs, runs_for(recall, depth), depth, threshold).write.parquet(f"{folder}/sets")
-    table = spark.read.parquet(f"{folder}/sets")
+    shelf = Shelf(spark)
+    table = shelf.put(_table(docs, runs_for(recall, depth), depth, threshold))
     reps = table.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("sketch").alias("sketch"))
-    reps = settle(reps)
+    reps = shelf.put(reps)
     # 1. Which texts hang together, by sketch.
-    edges = settle(_candidates(table.filter("n > 0"), reps, depth, threshold).distinct())
-    groups = components(edges)
-    groups = settle(groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component"))
+    groups = components(_candidates(table.filter("n > 0"), reps, depth, threshold, shelf))
+    groups = shelf.put(groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component"))
     live = groups.join(reps.select("fp", "copies", "row"), F.col("node") == F.col("fp")).select("fp", "component", "size", "copies", F.col("row.doc_id").alias("rid"), F.col("row.h").alias("rh"))
     # 2. Their exact sets, compared in blocks.
     n_live = groups.count()
@@ -362,7 +370,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("rh")), "left_semi")
     tokens = _tokens(texts).dropDuplicates(["fp"])
     members = live.drop("rid", "rh").join(tokens, "fp").withColumn("key", F.xxhash64("component"))
-    found = settle(_exact(_blocked(members, "key", F.col("size"), BLOCK, "fp"), threshold))
+    found = shelf.put(_exact(_blocked(members, "key", F.col("size"), BLOCK, "fp"), threshold))
     # 3. Links by text, classes by verified links.
     links = found.groupBy("fp").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     classes = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")))
@@ -372,7 +380,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         "fp", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), "copies"
     )
     out = settle(table.select("doc_id", "h", "fp").join(by_text, "fp").select("doc_id", "h", "class_id", "n_links", "n_text_links", "copies"))
-    drop_dir(spark, folder)
+    shelf.close()
     return out
 
 

@@ -176,29 +176,57 @@ def slices(column: pa.Array, size: int = 2 << 20):
         at = to
 
 
+# ---------------------------------------------------------------- tables in the shared folder
+
+
+class Shelf:
+    """Intermediate tables in a folder of their own in the shared folder, deleted one by one or all at once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n = spark, shared_dir(spark), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Writes df and reads it back: the lineage ends here, and a lost executor costs nothing of it."""
+        self.n += 1
+        df.write.parquet(path := f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, last: int) -> None:
+        """Deletes the table before the last ones."""
+        drop_dir(self.spark, f"{self.folder}/{self.n - last}")
+
+    def close(self) -> None:
+        drop_dir(self.spark, self.folder)
+
+
 # ---------------------------------------------------------------- connected components
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: then v names the component."""
+    more = edges.groupBy("u").count().filter("count > 1").select("u")
+    chained = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u", "left_semi")
+    return more.unionByName(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (u, v), by alternating large-star and small-star rounds.
 
-    The component is its smallest node. Every round is two joins and two aggregations over edges and ends in a reliable
-    checkpoint, so neither links nor components reach the driver; rounds grow with the logarithm of a component's width.
-    No edges: an empty result.
+    The component is its smallest node. Every round is two joins and two aggregations over edges and ends in a written
+    table, so neither links nor components reach the driver; rounds grow with the logarithm of a component's width, and
+    edges that are stars already need none. No edges: an empty result.
     """
-    now = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while mark[0]:
+    shelf = Shelf(edges.sparkSession)
+    now = shelf.put(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = settle(moved.unionByName(least.withColumnRenamed("m", "v")).filter("u <> v").distinct())
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = new
-        if seen == mark:
-            break
-        mark = seen
+        now = shelf.put(moved.unionByName(least.withColumnRenamed("m", "v")).filter("u <> v").distinct())
+        shelf.drop(1)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = settle(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+    shelf.close()
+    return out
