@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Shelf, components, mix, seed, settle, slices, small, word_hashes
+from .shared import Shelf, components, mix, seed, settle, slices, word_hashes
 
 SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
 #: Sets in a bucket that is compared at once, in a block of what is still large after the last split, and in a block of
@@ -365,8 +365,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     groups = shelf.put(groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component"))
     live = groups.join(reps.select("fp", "copies", "row"), F.col("node") == F.col("fp")).select("fp", "component", "size", "copies", F.col("row.doc_id").alias("rid"), F.col("row.h").alias("rh"))
     # 2. Their exact sets, compared in blocks.
-    n_live = groups.count()
-    wanted = small(live.select("rid", "rh"), n_live)
+    wanted = live.select("rid", "rh").hint("shuffle_hash")  # one way at every size; texts aren't sorted
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("rh")), "left_semi")
     tokens = _tokens(texts).dropDuplicates(["fp"])
     members = live.drop("rid", "rh").join(tokens, "fp").withColumn("key", F.xxhash64("component"))
@@ -391,12 +390,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = found.groupBy("group").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.h").alias("_h"))
     kept = settle(kept.distinct())
     here = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    stay = here.join(small(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    stay = here.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
     # A row that occurs twice stays once; such rows are few and are found by their narrow keys.
     twice = found.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     twice = settle(twice)
+    if twice.isEmpty():
+        return stay.drop("_hash")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
-    mark = small(twice, twice.count())
+    mark = twice.hint("shuffle_hash")
     once = stay.join(mark, same, "left_anti").drop("_hash")
     return once.unionByName(stay.join(mark, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
 
