@@ -36,10 +36,14 @@ def sample(labelled: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_C
     Rows and the place of each passage are drawn by a hash of the text, so that reruns agree. All rows are counted.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit("sample"), "text").alias("h"))
-    counts = usable.groupBy("lang").count()
-    share = F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) * F.col("count") < passages
+    # One row per language comes to the driver, so that no text is shuffled to meet its language's count.
+    counts = dict(usable.groupBy("lang").count().collect())
+    if not counts:
+        return {}
+    count = F.try_element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("lang"))
+    share = F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) * count < passages
     at = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    drawn = usable.join(counts, "lang").filter(share).select("lang", F.substring("text", at, F.lit(chars)).alias("passage"), "h")
+    drawn = usable.filter(share).select("lang", F.substring("text", at, F.lit(chars)).alias("passage"), "h")
     out: dict[str, list[str]] = {}
     for lang, passage, _ in sorted(drawn.distinct().collect(), key=lambda r: (r[0], r[2], r[1])):
         got = out.setdefault(lang, [])

@@ -243,7 +243,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     times = took.filter("s > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.floor(F.col("t") / F.col("s")) + (part < (F.col("t") / F.col("s")) % 1).cast("long")).alias("_n")).filter("_n > 0")
     times = settle(times)
     here = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = here.join(small(times, times.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    joined = here.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
     return joined.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, quoted, settle
+from .shared import SPACE, quoted, settle, small
 
 #: Signals under an adaptive fence, and the least half-width of that fence (in the signal's own unit). Without it a group
 #: whose rows all agree (spread 0) would reject any row that differs at all.
@@ -143,6 +143,7 @@ def judge(docs: DataFrame, keep: list[str], reach: float = REACH, least_rows: in
     bounds = fences(rated if store else _rates(signals(base, ["_lang", "_source"])), reach, least_rows).select(F.col("_lang").alias("_l2"), F.col("_source").alias("_s2"), *[f"hi_{s[2:]}" for s in SIGNALS])
     failed = (F.col("n_words") < BASE_LEAST_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT_PERCENT * F.col("n_words"))
     over = [F.col(s) > F.col(f"hi_{s[2:]}") for s in SIGNALS]
+    bounds = small(bounds, bounds.count())
     joined = rated.join(bounds, F.col("_lang").eqNullSafe(F.col("_l2")) & F.col("_source").eqNullSafe(F.col("_s2")), "left")
     return joined.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be broadcast after they were counted.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 #: ASCII white space, as a character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
