@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,10 @@ def keep_disjoint(edits: DataFrame, key: str = "path") -> DataFrame:
     """
     extra = [c for c in edits.columns if c not in (key, "start", "end")]
     grouped = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.struct(*extra).alias("rest")))).alias("e"))
-    kind = f"struct<at:int,kept:array<boolean>>"  # noqa: F541
+    kind = "struct<at:int,kept:array<boolean>>"
 
     def step(acc: Column, x: Column) -> Column:
-        ok = (x["start"] >= acc["at"]) | ((x["start"] == x["end"]) & (x["start"] >= acc["at"]))
+        ok = x["start"] >= acc["at"]
         return F.struct(F.when(ok, x["end"]).otherwise(acc["at"]).cast("int").alias("at"), F.concat(acc["kept"], F.array(ok)).alias("kept"))
 
     kept = F.aggregate("e", F.struct(F.lit(0).alias("at"), F.array().cast("array<boolean>").alias("kept")).cast(kind), step)["kept"]
@@ -86,7 +88,10 @@ def suggest(text: Column, language: Column, phrases: dict[str, dict[str, str]])
     """
     from .style import phrase_pattern
 
-    def replaced(out: Column, table: dict[str, str]) -> Column:
+    def replaced(whole: Column, table: dict[str, str]) -> Column:
+        """One alternation decides whether a text goes through the table at all."""
+        some = "(?iu)" + "|".join(re.escape(p) for p in sorted(table, key=len, reverse=True)) if table else "(?!)"
+        out = whole
         for phrase, new in table.items():
             pattern = phrase_pattern(phrase)
             title = pattern.replace("(?iu)", r"(?iu)", 1)
@@ -95,7 +100,7 @@ def suggest(text: Column, language: Column, phrases: dict[str, dict[str, str]])
             at = title.index(")", 0) + 1
             out = F.regexp_replace(out, title[:at] + _after_boundary(title[at:], capital), _literal(upper))
             out = F.regexp_replace(out, title, _literal(new))
-        return out
+        return F.when(whole.rlike(some), out).otherwise(whole)
 
     english = phrases.get("en", {})
     out = F.when(F.coalesce(language, F.lit("en")) == "en", replaced(text, english))

@@ -195,7 +195,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offline rewriting of every text; null where nothing changes. Sequential, so it is tested on small texts."""
     tables = {lang: {p: r for p, r in t.items() if r is not None} for lang, t in SUGGESTIONS.items()}
     tail = F.get(F.array(*[F.lit(p.strip()) for p in PHRASES]), F.col("doc_id") % len(PHRASES))
-    return _docs(spark, sf_dir).select("doc_id", edits.suggest(F.concat(F.substring_index("text", " ", 3), F.lit(" "), tail), F.lit("en"), {"en": tables["en"]}).alias("suggestion"))
+    return _docs(spark, sf_dir).select("doc_id", edits.suggest(F.concat("text", F.lit(" "), tail), F.lit("en"), {"en": tables["en"]}).alias("suggestion"))
 
 
 def missing_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
