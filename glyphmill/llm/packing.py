@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,21 +26,56 @@ from .shared import settle, slices
 CAPACITY = 4096
 #: Tokens that one group packs, about; its pieces are a few hundred thousand narrow rows.
 GROUP_TOKENS = 64_000_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker remembers, newest and those before them.
+CACHE_WORDS = 120_000
 #: Where this tokenizer and str.split() disagree about white space, the whole text goes through the tokenizer.
 _ODD = re.compile("[\x1c-\x1f᠎]|<\\|(?:start|end)oftext\\|>")
 _STATE: dict = {}
 
 
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+#: Up to here letters are single code points whose composition and lower case are the same everywhere (but for U+0130).
+_LATIN = 0x250
+_SIMPLE = re.compile(f"[!-~\u00a1-\u012f\u0131-{chr(_LATIN - 1)}]*")
+_BYTES = _byte_letters()
+
+
+def _parts() -> re.Pattern:
+    """The vocabulary's own pattern on lower-case words of such letters."""
+    found = {x for c in range(33, _LATIN) for x in (chr(c), *chr(c).lower())}
+    of = lambda kind: "".join(re.escape(c) for c in sorted(found) if unicodedata.category(c)[0] == kind)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^{of('L')}{of('N')}]+")
+
+
 class Ids:
-    """Token ids as little-endian bytes. No token of this vocabulary spans white space, so ids are remembered by word."""
+    """Token ids as little-endian bytes. No token of this vocabulary spans white space, so ids are remembered by word.
+
+    A new word of Latin letters goes to the merges directly, past the steps that keep offsets; any other word, and a text
+    with odd white space or a special token, goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.parts = _parts()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        if not _SIMPLE.fullmatch(word):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            parts = self.parts.findall(word.lower())
+            ids = [t.id for p in parts for t in self.merge(p if p.isascii() else "".join([_BYTES[b] for b in p.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -47,13 +83,12 @@ class Ids:
         words = text.split()
         known = self.known
         if new := set(words).difference(known):
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            for at in range(0, len(new), 4096):
-                some = list(new)[at : at + 4096] if len(new) > 4096 else list(new)
-                for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+            if len(known) > CACHE_WORDS:  # a word that is met again moves on, others go with the words before them
+                self.older, self.known = known, {}
+                known, new = self.known, set(words)
+            older = self.older
+            for w in new:
+                known[w] = older.get(w) or self.word(w)
         return b"".join(map(known.__getitem__, words))
 
 

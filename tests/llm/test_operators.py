@@ -362,6 +362,19 @@ def test_fences_adapt(spark):
 # ---------------------------------------------------------------- 9
 
 
+def test_word_ids_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, tokenizer = packing.Ids(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(2)
+    letters = [chr(c) for c in range(33, 0x260)] + list("'sdltmrve'ABC  \t\n²½ǅµªßſΣς漢́­\x85\xa0")
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, int(rng.integers(0, 14))))
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
