@@ -18,10 +18,10 @@ def text(words, seed, n):
     return " ".join(r.choice(words) + r.choice(["", "s", "e", "ing"] if words is EN else ["", "ment", "eux"]) for _ in range(n))
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture(scope="module")  # 206 is held out: its false claim is not learned from
 def docs(spark):
     rows = [(i, text(EN, i, 120), "en", "ab"[i % 2], 1, "x") for i in range(40)] + [(100 + i, text(FR, i, 120), "fr", "c", 1, "x") for i in range(40)]
-    rows += [(200, rows[0][1] + " more", "en", "a", 1, "x"), (201, rows[0][1], "en", "a", 1, "x"), (202, "1 2 3 4 5 6 7 8 9 10 11 12 13", "en", "a", 1, "x"), (203, text(FR, 999, 200), "en", "a", 1, "x"), (204, "spam " * 200, "en", "a", 1, "x"), (205, None, None, None, None, None)]
+    rows += [(200, rows[0][1] + " more", "en", "a", 1, "x"), (201, rows[0][1], "en", "a", 1, "x"), (202, "1 2 3 4 5 6 7 8 9 10 11 12 13", "en", "a", 1, "x"), (206, text(FR, 999, 200), "en", "a", 1, "x"), (204, "spam " * 200, "en", "a", 1, "x"), (205, None, None, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
 
 
@@ -34,7 +34,7 @@ def test_stages(spark, docs, tmp_path):
     one = stages["quality rules"](spark, docs, "")
     assert one.schema.names == docs.schema.names and set(ids(docs)) - set(ids(one)) == {204, 205}
     two = stages["language id"](spark, one, "")
-    assert two.schema.names == docs.schema.names and set(ids(one)) - set(ids(two)) == {202, 203}
+    assert two.schema.names == docs.schema.names and set(ids(one)) - set(ids(two)) == {202, 206}
     three = stages["near duplicates"](spark, two, "")
     assert set(ids(two)) - set(ids(three)) == {200, 201} and max(ids(three).values()) == 1
     four = stages["mixing"](spark, three, "")
