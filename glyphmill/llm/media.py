@@ -12,6 +12,7 @@ import binascii
 import io
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,8 +97,9 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 def write_archives(named: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Stores (name string, text) as archives in folder; (archive, members, bytes) of each, to be run once by an action.
 
-    A task writes archives of about archive_bytes, each in one piece under a name that its content gives, so a task that
-    runs twice writes the same files again. Null text is an empty text. Memory: one archive, or one member if larger.
+    A task writes archives of about archive_bytes, each in one piece under a name of its own. A task that ran twice, or
+    that was lost, leaves archives that no row names: what counts are the rows that the action commits (see `manifest`).
+    Null text is an empty text. Memory: one archive, or one member if larger.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +109,12 @@ def write_archives(named: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         size = 0
 
         def flush() -> pa.RecordBatch:
-            out, digest = io.BytesIO(), sha256()
+            out = io.BytesIO()
             with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
                 for name, media in held:
                     archive.writestr(zipfile.ZipInfo(name), media)
-                    digest.update(f"{name}\x00{len(media)}\x00".encode())
-                    digest.update(media)
             data = out.getvalue()
-            file = f"{digest.hexdigest()[:32]}.zip"
+            file = f"{uuid.uuid4().hex}.zip"
             with store.open_output_stream(f"{root}/{file}") as to:
                 to.write(data)
             return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], ["archive", "members", "bytes"])
@@ -170,11 +171,16 @@ class MediaArchiveReader(DataSourceReader):
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.tries = int(options.get("tries", 3))
         self.on_error = options.get("onerror", "raise")
+        self.manifest = options.get("manifest")
 
     def partitions(self) -> list[_Range]:
         store, root = _store(self.folder)
-        files = [f for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".zip")]
-        return [_Range(f.path, at, min(at + self.range_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)] or [_Range("", 0, 0)]
+        if self.manifest:
+            listed = pq.read_table(_store(self.manifest)[1], columns=["archive", "bytes"], filesystem=store)
+            files = [(f"{root}/{name}", size) for name, size in zip(*(c.to_pylist() for c in listed.columns), strict=True)]
+        else:
+            files = [(f.path, f.size) for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".zip")]
+        return [_Range(path, at, min(at + self.range_bytes, size)) for path, size in sorted(files) for at in range(0, size, self.range_bytes)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.file:
@@ -204,7 +210,8 @@ class MediaArchiveReader(DataSourceReader):
 class MediaArchive(DataSource):
     """spark.read.format("media_archive").load(folder): (name, archive, offset, media, error) of all members.
 
-    Options: rangeBytes (of an archive in a partition), tries (of each member), onError: `raise` fails the query when a
+    Options: manifest (a table of archive and bytes: only those archives count; else all in the folder), rangeBytes (of an
+    archive in a partition), tries (of each member), onError: `raise` fails the query when a
     member stays unreadable, `row` gives it null media and its error. An empty or missing folder: no rows.
     """
 
@@ -251,7 +258,7 @@ def media_columns(docs: DataFrame, key: str, folder: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.concat_ws("|", F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.col(key).cast("string")).alias("name"), "text")
     write_archives(named, folder).write.parquet(f"{folder}/manifest")
-    found = features(spark.read.format("media_archive").load(folder))
+    found = features(spark.read.format("media_archive").option("manifest", f"{folder}/manifest").load(folder))
     parts = F.split("name", r"\|", 2)
     return found.select(F.get(parts, 1).cast(kind).alias(key), F.get(parts, 0).cast("long").alias("n_bytes"), *[c for c in found.columns if c != "name"])
 
