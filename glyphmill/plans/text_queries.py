@@ -309,4 +309,12 @@ SQL = {
         SELECT role, count(*) AS turns, sum(len(w))::BIGINT AS words, max(len(w)) AS longest, round(avg(len(list_distinct(w)) / nullif(len(w), 0)::DOUBLE), 6) AS diversity FROM w GROUP BY role""",
     "hybrid_merge": SQL_HYBRID,
 }
-SQL["missing_suggestions"] = "SELECT * FROM (VALUES ('', '')) t(language, phrase) WHERE false"
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in rows)
+
+
+SQL["missing_suggestions"] = f"""SELECT * FROM ({_values([(k, p) for k, ps in CLICHES.items() for p in ps])}) t(language, phrase)
+    EXCEPT SELECT * FROM ({_values([(k, p) for k, t in SUGGESTIONS.items() for p in t])})"""
