@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +84,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+@lru_cache(maxsize=1 << 16)
 def seed(*parts: object) -> np.uint64:
-    """A constant drawn from the parts."""
+    """A constant drawn from the parts; remembered, as inner loops ask for the same ones again and again."""
     h = np.array([0x9E3779B97F4A7C15], np.uint64)
     for b in "\x1f".join(map(str, parts)).encode():
         h = mix(h ^ np.uint64(b + 1))
