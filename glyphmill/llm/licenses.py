@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small
+
 #: Known licence sentences, normalised by normalise(), and their identifiers.
 SENTENCES = {
     # public licence notices and their customary short forms
@@ -101,13 +103,13 @@ def scan(docs: DataFrame, known: DataFrame, rules: list[tuple[str, str]] = list(
     Rows with equal doc_id and text are alike and each stay; a null doc_id is a row like others; an empty table gives an
     empty result; other columns don't matter.
     """
-    lengths = list(known.agg(F.coalesce(F.min(F.length("sentence")), F.lit(0)), F.coalesce(F.max(F.length("sentence")), F.lit(0))).first())
+    *lengths, n_known = known.agg(F.coalesce(F.min(F.length("sentence")), F.lit(0)), F.coalesce(F.max(F.length("sentence")), F.lit(0)), F.count("*")).first()
     key = ["doc_id", "h"]
     table = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     # A sentence of another length can't be known; that test is cheaper than the join.
     cut = F.filter(F.transform(sentences(F.col("text")), lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: F.length(x["s"]) >= lengths[0])
     rows = table.select(*key, F.explode(cut).alias("x")).select(*key, "x.at", normalise(F.col("x.s")).alias("sentence"))
-    hits = rows.filter(F.length("sentence").between(*lengths)).join(known, "sentence").select(*key, "at", "id").distinct()
+    hits = rows.filter(F.length("sentence").between(*lengths)).join(small(known, n_known), "sentence").select(*key, "at", "id").distinct()
     by_doc = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("r"), F.count("*").alias("sentences"))
     # Identifiers in one string; a bar where the next one isn't the very next sentence.
     joined = F.element_at(
