@@ -230,7 +230,8 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     cut = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     cut = cut.withColumn("lo", F.greatest(F.col("start") - F.col("block") * block, F.lit(0))).withColumn("hi", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
     drawn = slots(spark, sources, shard_slots, salt, block).groupBy(F.col("source").alias("i"), "block").agg(F.collect_list("take").alias("takes"))  # three at most
-    joined = cut.join(drawn, ["i", "block"], "left")
+    # The planner takes the slots for as small as the shard numbers that they are made from; they grow with the corpus.
+    joined = cut.join(drawn.hint("merge"), ["i", "block"], "left")
     took = F.aggregate(F.coalesce("takes", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda s, t: s + F.greatest(F.least(t.cast("long"), F.col("hi")) - F.col("lo"), F.lit(0)))
     taken = joined.groupBy("doc_id", "h", "source", "size", "source_size", "target", "i", "start").agg(F.sum(took).alias("taken")).drop("i", "start")
     return taken.unionByName(named.filter("size = 0").drop("i").withColumn("taken", F.lit(0).cast("long"))).select("doc_id", "h", "source", "size", "source_size", "target", "taken")
