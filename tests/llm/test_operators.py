@@ -101,6 +101,71 @@ def test_license_rules(spark, none):
     assert licenses.scan(none, known).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+3. Neither the name of Some Owner Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+STANDARD = [
+    (APACHE, "Apache-2.0", 3), (MIT, "MIT", 3), (GPL.format(":", "", 3), "GPL-3.0", 2), (GPL.format(";", "", 2), "GPL-2.0", 2), (GPL.format(":", "Affero ", 3), "AGPL-3.0", 2),
+    (GPL.format(":", "Lesser ", 3), "LGPL-3.0", 2), (BSD, "BSD-2-Clause", 3), (BSD3, "BSD-3-Clause", 4), (MPL, "MPL-2.0", 2),
+]
+
+
+def test_standard_notices(spark):
+    forms = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "/*\n * Copyright 2020 Someone\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\ncode();", lambda t: "# Copyright Someone\n" + re.sub(r"((?:\S+\s+){3})", r"\1\n# ", t)]
+    rows = [(10 * i + k, form(t)) for i, (t, _, _) in enumerate(STANDARD) for k, form in enumerate(forms)]
+    got = {r["doc_id"]: (r["licenses"], r["sentences"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_sentences(spark)).collect()}
+    assert got == {10 * i + k: ([name], n) for i, (_, name, n) in enumerate(STANDARD) for k in range(len(forms))}
+
+
+def test_every_known_sentence_wrapped_or_not(spark):
+    printed = [(s, i) for i, group in licenses.NOTICES.items() for s in group] + list(licenses.SENTENCES.items())
+    rows = [(2 * k + w, "Before\n" + (re.sub(r"(\S+ \S+) ", r"\1\n// ", s) if w else s) + ".\nAfter") for k, (s, _) in enumerate(printed) for w in (0, 1)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_sentences(spark)).filter("sentences < 1").collect()
+    assert got == []
+
+
 def test_url_rules_nest(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/bad/", "block"), ("example.net", "/en/b", "allow"), ("EXAMPLE.com", "/de/", "block"), ("org", "", "block"), (None, "/", "block")], "host string, path string, verdict string")
     cases = {
