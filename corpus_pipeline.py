@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: each document as often as the mix takes it."""
-    return unveil(mixing.mixed(veil(docs, "doc_id", "source", "text")), docs)
+    """Operator 2: of each document the words that the mix's slots take, a row for each pass."""
+    out = mixing.mixed(veil(docs, "doc_id", "source", "text"))
+    return unveil(out.withColumn(f"c{docs.columns.index('text')}", F.col("text")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ The words of each source are laid end to end and cut into blocks of fixed length
 slots; how many of them each source fills is a multinomial draw, taken under the condition that all shards together hit
 each source's target (a multivariate hypergeometric draw). The k-th slot of a source takes the block that a
 pseudorandom permutation of the source's block indices gives for k, a new permutation for each pass over the source.
-Slots and the documents that a block covers are joined by (source, block).
+Slots and the documents that a block covers are joined by (source, block), which gives each slot its spans of documents;
+what is taken of a document, and the texts that the mix holds, are made from those spans.
 
 The draws for a shard come from a splitting tree whose nodes have their own seeds, so any executor finds its shard's
 counts, and where they begin, in a logarithm of steps, and reruns agree.
@@ -164,7 +165,7 @@ def shard_counts(counts: np.ndarray, shards: int, shard_slots: int, salt: int):
 
 
 def slots(spark: SparkSession, sources: list[Source], shard_slots: int = SHARD_SLOTS, salt: int = 0, block: int = BLOCK) -> DataFrame:
-    """(shard, slot, source, block, take): take is the words of the block that the slot takes, from its start."""
+    """(shard, slot, source, block, take, pass): take is the words of the block that the slot takes, from its start."""
     counts = np.array([s.slots for s in sources], np.int64)
     shards = max(1, -(-int(counts.sum()) // shard_slots))
 
@@ -181,14 +182,14 @@ def slots(spark: SparkSession, sources: list[Source], shard_slots: int = SHARD_S
                     for p in np.unique(pass_).tolist():
                         where[pass_ == p] = permute(k[pass_ == p] % s.blocks, s.blocks, _key(i, p))
                     take = np.where(k == s.slots - 1, s.last or block, block)
-                    parts.append(pd.DataFrame({"shard": shard, "source": i, "block": where, "take": take}))
+                    parts.append(pd.DataFrame({"shard": shard, "source": i, "block": where, "take": take, "pass": pass_}))
                 if parts:
                     out = pd.concat(parts, ignore_index=True)
                     out["slot"] = permute(np.arange(len(out)), len(out), int(seed("shard", salt, shard)))
                     yield out
 
     ids = spark.range(0, shards, 1, max(1, min(shards, max(12, shards // 64))))
-    return ids.mapInPandas(run, "shard long, source int, block long, take int, slot long")
+    return ids.mapInPandas(run, "shard long, source int, block long, take int, pass int, slot long")
 
 
 # ---------------------------------------------------------------- documents
@@ -208,15 +209,9 @@ def places(sized: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return joined.withColumn("start", F.col("_b") + F.col("_i")).select(*sized.columns, "start")
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, salt: int = 0) -> DataFrame:
-    """(doc_id, h, source, size, source_size, target, taken), one row per row of docs (doc_id, text, source).
-
-    size: words [^\\x20\\x09-\\x0D]+ (null text: 0). Sources stand in code point order, null last, and weigh `weights`,
-    repeating; see targets(). taken: words of the row that all slots together take, at most `most` times its size, as no
-    block is in more than that many passes. h: hash of the text. A source without words has target 0. Null doc_ids and
-    repeated rows are rows like others; an empty table gives an empty result. One row per source, not per document,
-    comes to the driver.
-    """
+def _deal(docs: DataFrame, weights: tuple[float, ...], most: float, block: int, shard_slots: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, h, source, size, source_size, target, i), and those with words, with their start, once for each
+    block that they lie in and slot that it fills (once without a slot if none): block, lo, shard, slot, pass, n."""
     spark = docs.sparkSession
     sized = settle(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "source", F.size(words(F.col("text"))).cast("long").alias("size")))
     found = sorted(((r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
@@ -225,27 +220,69 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     table = spark.createDataFrame([(i, s.name, s.words, float(s.target)) for i, s in enumerate(sources)], "i int, _name string, source_size long, target double")
     named = sized.join(small(table, len(sources)), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     laid = places(named.filter("size > 0"))
-    if not any(s.slots for s in sources):
-        return named.select("doc_id", "h", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     cut = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     cut = cut.withColumn("lo", F.greatest(F.col("start") - F.col("block") * block, F.lit(0))).withColumn("hi", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
-    drawn = slots(spark, sources, shard_slots, salt, block).groupBy(F.col("source").alias("i"), "block").agg(F.collect_list("take").alias("takes"))  # three at most
+    drawn = slots(spark, sources, shard_slots, salt, block).withColumnRenamed("source", "i")
     # The planner takes the slots for as small as the shard numbers that they are made from; they grow with the corpus.
     joined = cut.join(drawn.hint("merge"), ["i", "block"], "left")
-    took = F.aggregate(F.coalesce("takes", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda s, t: s + F.greatest(F.least(t.cast("long"), F.col("hi")) - F.col("lo"), F.lit(0)))
-    taken = joined.groupBy("doc_id", "h", "source", "size", "source_size", "target", "i", "start").agg(F.sum(took).alias("taken")).drop("i", "start")
+    took = F.greatest(F.least(F.coalesce("take", F.lit(0)).cast("long"), F.col("hi")) - F.col("lo"), F.lit(0))
+    return named, joined.withColumn("n", took).drop("hi", "take")
+
+
+def mix_spans(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, salt: int = 0) -> DataFrame:
+    """The mix: (shard, slot, source, block, pass, at, doc_id, h, start, first, n), the spans of documents in each slot.
+
+    A slot's words are its spans by at, their place in the block: n words of the row from its word number first (from 0)
+    on. start tells the rows of a source apart. See mix_documents().
+    """
+    _, dealt = _deal(docs, weights, most, block, shard_slots, salt)
+    return dealt.filter("n > 0").select("shard", "slot", "source", "block", "pass", F.col("lo").alias("at"), "doc_id", "h", "start", (F.col("block") * block + F.col("lo") - F.col("start")).alias("first"), "n")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, salt: int = 0) -> DataFrame:
+    """(doc_id, h, source, size, source_size, target, taken), one row per row of docs (doc_id, text, source).
+
+    size: words [^\\x20\\x09-\\x0D]+ (null text: 0). Sources stand in code point order, null last, and weigh `weights`,
+    repeating; see targets(). taken: words of the row in the spans of all slots, at most `most` times its size, as no
+    block is in more than that many passes. h: hash of the text. A source without words has target 0. Null doc_ids and
+    repeated rows are rows like others; an empty table gives an empty result. One row per source, not per document,
+    comes to the driver.
+    """
+    named, dealt = _deal(docs, weights, most, block, shard_slots, salt)
+    taken = dealt.groupBy("doc_id", "h", "source", "size", "source_size", "target", "i", "start").agg(F.sum("n").alias("taken")).drop("i", "start")
     return taken.unionByName(named.filter("size = 0").drop("i").withColumn("taken", F.lit(0).cast("long"))).select("doc_id", "h", "source", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix has them: each row as often as its words are taken on average, the fraction by a hash of the row."""
-    took = mix_documents(docs, **options).groupBy("doc_id", "h").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    part = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "h"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    times = took.filter("s > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.floor(F.col("t") / F.col("s")) + (part < (F.col("t") / F.col("s")) % 1).cast("long")).alias("_n")).filter("_n > 0")
-    times = settle(times)
-    here = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = here.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, salt: int = 0) -> DataFrame:
+    """docs as the mix has them: of each row one for each pass that takes words of it, with just these words as its text.
+
+    A text that is taken whole stays as it is; else spans keep the white space inside them, and where words between two
+    spans aren't taken stands a line end. Other columns stay the row's. All texts together have the words that the slots take.
+    """
+    _, dealt = _deal(docs, weights, most, block, shard_slots, salt)
+
+    def key(h: str):
+        parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "source")]
+        return F.concat_ws("\x1f", F.col(h).cast("string"), F.length(parts[0]).cast("string"), *parts)
+
+    first = F.col("block") * block + F.col("lo") - F.col("start")
+    by_pass = dealt.filter("n > 0").groupBy(key("h").alias("_k"), "start", "size", "pass").agg(F.array_sort(F.collect_list(F.struct(first.alias("first"), "n"))).alias("spans"))
+    whole = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["n"]) == F.col("size")
+    lists = by_pass.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("start", "pass", whole.alias("whole"), "spans"))).alias("_lists"))
+    lists = settle(lists)
+    here = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_k", key("_hash"))
+    # Rows alike in id, text and source share their lists: the r-th of m takes every m-th.
+    alike = W.partitionBy("_k")
+    here = here.withColumn("_r", F.row_number().over(alike.orderBy("_hash"))).withColumn("_m", F.count("*").over(alike))
+    joined = here.join(lists.hint("shuffle_hash"), "_k")
+    mine = F.filter("_lists", lambda x, i: F.pmod(i, F.col("_m")) == F.col("_r") - 1)
+    # Each word with the white space behind it.
+    cut = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    out = joined.withColumn("_mine", mine).withColumn("_w", F.when(F.exists("_mine", lambda x: ~x["whole"]), cut)).withColumn("_x", F.explode("_mine"))
+    gap = lambda i: F.coalesce(F.get("_x.spans", i - 1)["first"] + F.get("_x.spans", i - 1)["n"] < F.get("_x.spans", i)["first"], F.lit(False))
+    spans = F.transform("_x.spans", lambda x, i: F.concat(F.when(gap(i), F.lit("\n")).otherwise(F.lit("")), F.array_join(F.slice("_w", (x["first"] + 1).cast("int"), x["n"].cast("int")), "")))
+    text = F.when(F.col("_x.whole"), F.col("text")).otherwise(F.regexp_replace(F.array_join(spans, ""), r"[\x20\x09-\x0D]+\z", ""))
+    return out.withColumn("text", text).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

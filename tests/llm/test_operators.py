@@ -269,6 +269,47 @@ def test_mix_against_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_documents(docs, block=8, shard_slots=50, salt=1).collect()), key=str)
 
 
+def test_mix_is_made_of_slots(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " \n".join(f"w{i}.{k}" for k in range(int(rng.integers(0, 90)))), "ab"[i % 2]) for i in range(60)] + [(100, " ".join(f"x{k}" for k in range(3000)), "b"), (101, "twice the same", "a"), (101, "twice the same", "a"), (None, "no id", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block": 8, "shard_slots": 50, "salt": 1}
+    text = {(r["doc_id"], r["h"]): words(r["text"]) for r in docs.withColumn("h", F.xxhash64("text")).collect()}
+    spans = mixing.mix_spans(docs, **options).collect()
+    size = Counter()
+    for _, t, n in rows:
+        size[n] += len(words(t))
+    names = ["a", "b", None]
+    goal = mixing.targets([size[n] for n in names], list(mixing.WEIGHTS))
+    sources = [mixing.plan(n, size[n], t, i, 8) for i, (n, t) in enumerate(zip(names, goal, strict=True))]
+    laid = {n: [None] * size[n] for n in names}  # the words of each source end to end
+    for r in spans:
+        for k in range(r["n"]):
+            laid[r["source"]][r["start"] + r["first"] + k] = text[r["doc_id"], r["h"]][r["first"] + k]
+    made = defaultdict(list)
+    for r in sorted(spans, key=lambda r: r["at"]):
+        made[r["shard"], r["slot"], r["source"]] += text[r["doc_id"], r["h"]][r["first"] : r["first"] + r["n"]]
+    counts = np.array([s.slots for s in sources])
+    shards = -(-int(counts.sum()) // 50)
+    of, wanted = mixing.shard_counts(counts, shards, 50, 1), {}
+    for shard in range(shards):
+        n, first = of(shard)
+        order, at = mixing.permute(np.arange(n.sum()), int(n.sum()), int(shared.seed("shard", 1, shard))).tolist(), 0
+        for i, s in enumerate(sources):
+            for k in range(first[i], first[i] + n[i]):
+                b = int(mixing.permute(np.array([k % s.blocks]), s.blocks, mixing._key(i, int(k // s.blocks)))[0])
+                wanted[shard, order[at], s.name] = laid[s.name][b * 8 : min(s.words, b * 8 + (s.last or 8 if k == s.slots - 1 else 8))]
+                at += 1
+    assert made == wanted
+    taken, emitted = Counter(), Counter()
+    for r in spans:
+        taken.update((r["doc_id"], w) for w in text[r["doc_id"], r["h"]][r["first"] : r["first"] + r["n"]])
+    for r in mixing.mixed(docs, **options).collect():
+        emitted.update((r["doc_id"], w) for w in words(r["text"]))
+    assert emitted == taken and sum(taken.values()) == sum(map(round, goal))
+    assert sum(r["taken"] for r in mixing.mix_documents(docs, **options).collect()) == sum(taken.values())
+
+
 def test_mix_odd(spark, odd, none):
     got = mixing.mix_documents(odd).collect()
     assert len(got) == len(ODD) and mixing.mix_documents(none).count() == 0
