@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from glyphmill.llm import jaccard, language, mixing, packing, quality
 from glyphmill.llm.shared import drop_dir, shared_dir, unveil, veil
 
-#: A document whose text reads as another language than it claims goes if the runner-up needs this share more phrases and
-#: the text has so many characters: a line of names or numbers proves nothing.
-SURE, LEAST_CHARS = 0.25, 300
+#: A document goes if the language that it claims needs this share and so many phrases more than the one it reads as: a
+#: line of names or numbers proves nothing, a sentence does.
+SURE, LEAST_MORE = 0.25, 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: texts without a language go, and those that surely aren't in the language they claim (null: any)."""
-    model = language.learn(docs)
+    model = language.learn(docs, check=(SURE, LEAST_MORE))
     hidden = veil(docs, "lang", "text")
-    found = language.identify(hidden, model, hidden.columns)
-    wrong = F.col("lang").isin(model.languages) & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE) & (F.length("text") >= LEAST_CHARS)
+    found = language.identify(hidden, model, hidden.columns, claim="lang")
+    wrong = (F.col("share") >= SURE) & (F.col("more") >= LEAST_MORE)
     return unveil(found.filter((F.col("lang_pred") != language.UNKNOWN) & ~F.coalesce(wrong, F.lit(False))), docs)
 
 

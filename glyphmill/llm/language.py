@@ -182,17 +182,42 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
 
     Score: by what share the runner-up needs more phrases than the winner (1 if there is but one language; 0 for `und`).
     """
+    return judge(texts, [None] * len(texts), model)[:2]
+
+
+def judge(texts: list[str | None], claims: list[str | None], model: Model) -> tuple[list[str], list[float], list[int | None], list[float | None]]:
+    """lang_pred, score, and how many more phrases the claimed language needs than the winner, and their share of its own.
+
+    The last two are null where no language is claimed, or one that the model lacks, and for `und`.
+    """
     rows = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lang, score, more, share = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [None] * len(texts)
     if not rows or not model.languages:
-        return lang, score
+        return lang, score, more, share
     found, _ = phrases([texts[i] for i in rows], model)
     best = found.argmin(1)
     two = np.sort(found, 1)[:, :2]
-    for i, b, t in zip(rows, best.tolist(), two.tolist(), strict=True):
+    column = {name: k for k, name in enumerate(model.languages)}
+    for i, n, b, t in zip(rows, found.tolist(), best.tolist(), two.tolist(), strict=True):
         lang[i] = model.languages[b]
         score[i] = 1.0 if len(t) < 2 else (t[1] - t[0]) / t[1] if t[1] else 0.0
-    return lang, score
+        if claims[i] in column:
+            own = n[column[claims[i]]]
+            more[i], share[i] = own - n[b], (own - n[b]) / own if own else 0.0
+    return lang, score, more, share
+
+
+def checked(samples: dict[str, list[str]], sure: float, least: int) -> dict[str, list[str]]:
+    """The sample without passages that surely aren't in their language: each is judged by the half that it isn't in."""
+    halves = [{lang: ts[k::2] for lang, ts in samples.items() if ts[k::2]} for k in (0, 1)]
+    good: dict[str, list[str]] = {}
+    for k in (0, 1):
+        flat = [(lang, t) for lang, ts in halves[k].items() for t in ts]
+        _, _, more, share = judge([t for _, t in flat], [lang for lang, _ in flat], train(halves[1 - k]))
+        for (lang, t), m, x in zip(flat, more, share, strict=True):
+            if m is None or m < least or x < sure:
+                good.setdefault(lang, []).append(t)
+    return good
 
 
 def held_out(doc_id: Column) -> Column:
@@ -200,14 +225,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, passages: int = PASSAGES) -> Model:
-    """A model from the text and non-null lang of rows that are not held out."""
-    return train(sample(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text"), passages))
+def learn(docs: DataFrame, passages: int = PASSAGES, check: tuple[float, int] | None = None) -> Model:
+    """A model from the text and non-null lang of rows that are not held out; check: see checked()."""
+    drawn = sample(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text"), passages)
+    return train(checked(drawn, *check) if check else drawn)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str], claim: str | None = None) -> DataFrame:
     """The columns keep of docs, then lang_pred and score, from the whole text alone.
 
+    claim: a column of languages; then more and share of judge() follow.
+
     Null, empty and letterless texts: `und`, 0. Equal texts, equal results; repeated rows and an empty table pass
     through. A text is parsed in lanes of 512 characters, so one of any length needs bounded memory beside itself.
     """
@@ -219,12 +247,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             text = batch.column(len(own))
             for a, b in slices(text):
                 part = batch.slice(a, b - a)
-                lang, score = predict(part.column(len(own)).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*own, "lang_pred", "score"])
-
-    narrow = docs.select(*[quoted(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col("text").alias("_text"))
-    fields = [f.simpleString() for f in narrow.schema.fields[:-1]]
-    out = narrow.mapInArrow(run, ", ".join(f.replace(":", " ", 1) for f in [*fields, "lang_pred:string", "score:double"]))
+                texts = part.column(len(own)).to_pylist()
+                found = judge(texts, part.column(len(own) + 1).to_pylist() if claim else [None] * len(texts), shared.value)
+                columns = [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.int64(), pa.float64()), strict=True)][: len(new)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *columns], [*own, *new])
+
+    narrow = docs.select(*[quoted(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col("text").alias("_text"), *([quoted(claim).cast("string").alias("_claim")] if claim else []))
+    new = {"lang_pred": "string", "score": "double"} | ({"more": "long", "share": "double"} if claim else {})
+    fields = [f.simpleString() for f in narrow.schema.fields[: len(own)]]
+    out = narrow.mapInArrow(run, ", ".join(f.replace(":", " ", 1) for f in [*fields, *[f"{k}:{t}" for k, t in new.items()]]))
     return out.withColumnsRenamed(dict(zip(own, keep, strict=True)))
 
 

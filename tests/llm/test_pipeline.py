@@ -1,5 +1,6 @@
 """The pipeline's stages on one small table, each against what it has to do."""
 
+import zlib
 from collections import Counter
 
 import pytest
@@ -43,6 +44,15 @@ def test_stages(spark, docs, tmp_path):
     assert ids(five.filter("piece = 0")) == ids(four)
 
 
+def test_mislabelled_rows_go_short_or_sampled(spark, docs):
+    free = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 4 != 2]  # not held out: learned from, if drawn
+    rows = [(free[0], text(FR, 777, 200), "en"), (free[1], text(FR, 778, 120), "en"), (free[2], text(FR, 5, 14), "en"), (free[3], text(EN, 6, 14), "fr"), (free[4], text(EN, 7, 14), "en"), (free[5], text(FR, 8, 14), None), (free[6], "Le 12", "en")]
+    more = spark.createDataFrame([(*r, "a", 1, "x") for r in rows], docs.schema)
+    kept = ids(dict(pipeline.STAGES)["language id"](spark, docs.unionByName(more), ""))
+    assert {i for i, *_ in rows if i in kept} == set(free[4:7])
+    assert set(range(40)) | set(range(100, 140)) <= set(kept)
+
+
 def test_run(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = pipeline.run(spark, str(tmp_path))
