@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Shelf, components, mix, seed, settle, slices, word_hashes
+from .shared import Shelf, components, mix, seed, settle, sieve, slices, small, word_hashes
 
 SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
 #: Sets in a bucket that is compared at once, in a block of what is still large after the last split, and in a block of
@@ -266,20 +266,22 @@ def _blocked(df: DataFrame, key: str, size: Column, limit: int, node: str) -> Da
 
 def _candidates(table: DataFrame, reps: DataFrame, depth: int, threshold: float, shelf: Shelf) -> DataFrame:
     """Edges of the buckets of all runs."""
-    cand, large = None, None
+    cand, large, many = None, None, 0
     for level in range(1, depth + 1):
         if level == 1:
             rows = table.select(F.explode("l1").alias("b"), "fp").distinct()
-        else:
+        else:  # only sets in large buckets go on
             nodes = table.select(F.explode(f"l{level}").alias("x"), "fp").select(F.col("x.p").alias("p"), F.col("x.b").alias("b"), "fp")
-            rows = nodes.join(large.select(F.col("b").alias("p")), "p", "left_semi").select("b", "fp").distinct()
-        counts = rows.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1")
-        counts = shelf.put(counts)
-        few = rows.join(counts.filter(F.col("size") <= BUCKET), "b").select("b", "fp")
+            rows = nodes.join(small(large.withColumnRenamed("b", "p"), many), "p", "left_semi").select("b", "fp").distinct()
+        counts = shelf.put(rows.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1"))
+        sizes = counts.filter(F.col("size") > BUCKET)
+        many = sizes.count()
+        large = sizes.select("b")
+        # Rows of large buckets leave before the join, so that none of its keys has more than BUCKET rows.
+        few = rows.join(small(large, many), "b", "left_anti").join(counts.filter(F.col("size") <= BUCKET).select("b"), "b", "left_semi")
         cand = few if cand is None else cand.unionByName(few)
-        large = counts.filter(F.col("size") > BUCKET)
         if level == depth:
-            split = _blocked(rows.join(large, "b"), "b", F.col("size"), LAST_BLOCK, "fp")
+            split = _blocked(rows.join(small(sizes, many), "b"), "b", F.col("size"), LAST_BLOCK, "fp")
             cand = cand.unionByName(split.select("b", "fp"))
     return _bucket_edges(cand.join(reps.select("fp", "sketch"), "fp"), threshold)
 
@@ -344,15 +346,21 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp binary, tokens binary")
 
 
+def _row(doc_id: str, h: str) -> Column:
+    """A number that stands for (doc_id, hash of the text)."""
+    return F.xxhash64(F.lit("row"), F.col(doc_id), F.col(h))
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, h, class_id, n_links, n_text_links, copies), one row per row of docs (doc_id, text).
-
-    class_id: least doc_id of all texts that hang together by links; n_links: other rows at Jaccard >= threshold, copies
-    counted one by one; n_text_links: other texts at the threshold; copies: rows of the same shingle set; h: hash of the
-    text, which with doc_id names the row. Words are [^\\x20\\x09-\\x0D]+ as they stand. A text of one to four words is one
-    shingle; null and empty texts have none and are copies of each other. Null doc_ids are rows like others (a class of
-    only such rows has class_id null); repeated rows are copies; an empty table gives an empty result; other columns are
-    ignored. Lost executors cost their own tasks: all intermediate results are checkpoints or tables in the shared folder.
+    """(doc_id, h, class_id, root, n_links, n_text_links, copies), one row per row of docs (doc_id, text).
+
+    class_id: least doc_id of all texts that hang together by links; root: the class's own key; n_links: other rows at
+    Jaccard >= threshold, copies counted one by one; n_text_links: other texts at the threshold; copies: rows of the same
+    shingle set; h: hash of the text, which with doc_id names the row. Words are [^\\x20\\x09-\\x0D]+ as they stand. A text
+    of one to four words is one shingle; null and empty texts have none and are copies of each other. Null doc_ids are
+    rows like others (a class of only such rows has class_id null); repeated rows are copies; an empty table gives an
+    empty result; other columns are ignored. Lost executors cost their own tasks: all intermediate results are
+    checkpoints or tables in the shared folder.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -362,44 +370,42 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     reps = shelf.put(reps)
     # 1. Which texts hang together, by sketch.
     groups = components(_candidates(table.filter("n > 0"), reps, depth, threshold, shelf))
-    groups = shelf.put(groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component"))
-    live = groups.join(reps.select("fp", "copies", "row"), F.col("node") == F.col("fp")).select("fp", "component", "size", "copies", F.col("row.doc_id").alias("rid"), F.col("row.h").alias("rh"))
-    # 2. Their exact sets, compared in blocks.
-    wanted = live.select("rid", "rh").hint("shuffle_hash")  # one way at every size; texts aren't sorted
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("rh")), "left_semi")
-    tokens = _tokens(texts).dropDuplicates(["fp"])
-    members = live.drop("rid", "rh").join(tokens, "fp").withColumn("key", F.xxhash64("component"))
+    groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")
+    live = shelf.put(groups.join(reps.select("fp", "copies", "row"), F.col("node") == F.col("fp")).select("fp", "component", "size", "copies", _row("row.doc_id", "row.h").alias("k")))
+    # 2. Their exact sets, compared in blocks. One row of each text is read again; what passes the sieve in vain has no partner.
+    asked = sieve(docs, F.xxhash64(F.lit("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit("")))), live.select("k"), live.count())
+    tokens = _tokens(asked.filter("maybe")).dropDuplicates(["fp"])
+    members = live.drop("k").join(tokens, "fp").withColumn("key", F.xxhash64("component"))
     found = shelf.put(_exact(_blocked(members, "key", F.col("size"), BLOCK, "fp"), threshold))
     # 3. Links by text, classes by verified links.
     links = found.groupBy("fp").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     classes = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")))
-    by_text = reps.select("fp", "copies", "least").join(links, "fp", "left").join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    heads = by_text.groupBy("component").agg(F.min("least").alias("class_id"))
-    by_text = by_text.join(heads, "component").select(
-        "fp", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), "copies"
+    by_text = reps.select("fp", "copies", "least").join(links, "fp", "left").join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    heads = by_text.groupBy("root").agg(F.min("least").alias("class_id"))
+    by_text = by_text.join(heads, "root").select(
+        "fp", "class_id", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), "copies"
     )
-    out = settle(table.select("doc_id", "h", "fp").join(by_text, "fp").select("doc_id", "h", "class_id", "n_links", "n_text_links", "copies"))
+    out = settle(table.select("doc_id", "h", "fp").join(by_text, "fp").select("doc_id", "h", "class_id", "root", "n_links", "n_text_links", "copies"))
     shelf.close()
     return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each class: the row with the least (doc_id, hash of the text), null ids last."""
-    found = jaccard_classes(docs).withColumn("group", F.struct("class_id", F.when(F.col("class_id").isNull(), F.col("h"))))
+    """docs without all but one row of each class: the row with the least (doc_id, hash of the text), null ids last.
+
+    A row that occurs twice stays once. Only rows that may have to go are shuffled, with their texts.
+    """
+    found = jaccard_classes(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    kept = found.groupBy("group").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.h").alias("_h"))
-    kept = settle(kept.distinct())
-    here = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    stay = here.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    # A row that occurs twice stays once; such rows are few and are found by their narrow keys.
-    twice = found.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    twice = settle(twice)
-    if twice.isEmpty():
-        return stay.drop("_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
-    mark = twice.hint("shuffle_hash")
-    once = stay.join(mark, same, "left_anti").drop("_hash")
-    return once.unionByName(stay.join(mark, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    first = found.groupBy("root").agg(F.min(order).alias("o")).select(_row("o.doc_id", "o.h").alias("k"))
+    rows = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.first("root").alias("root")).select("doc_id", "h", "n", _row("doc_id", "h").alias("k"))
+    doubtful = settle(rows.join(first.withColumn("stays", F.lit(True)), "k", "left").select("doc_id", "h", "k", "n", F.coalesce("stays", F.lit(False)).alias("stays")).filter("n > 1 OR NOT stays"))
+    here = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    here = sieve(here, F.xxhash64(F.lit("row"), "doc_id", "_h"), doubtful.select("k"), doubtful.count())
+    known = doubtful.select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"), "n", "stays").hint("shuffle_hash")
+    judged = here.filter("maybe").join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    once = judged.filter("n > 1 AND stays").dropDuplicates(["doc_id", "_h"])
+    return here.filter("NOT maybe").select(docs.columns).unionByName(judged.filter("n IS NULL").select(docs.columns)).unionByName(once.select(docs.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be broadcast after they were counted.
@@ -54,6 +54,24 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Rows of a sieve at most, each of 64 slots: its size is bounded however many keys it has.
+SIEVE_ROWS = 1 << 18
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
+    """df with maybe: false for rows whose key (long) surely is none of keys (k long, about n); others need a join.
+
+    A Bloom filter with one hash as a relation of words of 64 slots, at most SIEVE_ROWS rows, which is broadcast. It has
+    about 32 slots for each key (3 % pass in vain) up to half a million keys, and lets more and more pass beyond.
+    """
+    rows = min(SIEVE_ROWS, max(1, n // 2))
+    slot = lambda k: F.pmod(F.xxhash64(F.lit("sieve"), k), F.lit(rows * 64))
+    words = keys.select(slot(F.col("k")).alias("_s")).groupBy(F.shiftright("_s", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(_s & 63 AS INT)))").alias("_bits"))
+    placed = df.withColumn("_s", slot(key)).withColumn("_word", F.shiftright("_s", 6))
+    set_ = F.expr("shiftrightunsigned(_bits, CAST(_s & 63 AS INT)) & 1L") == 1
+    return placed.join(F.broadcast(words), "_word", "left").withColumn("maybe", F.coalesce(set_, F.lit(False))).drop("_s", "_word", "_bits")
+
+
 def quoted(column: str):
     """A column by its exact name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
@@ -211,9 +229,27 @@ def _stars(edges: DataFrame) -> bool:
     return more.unionByName(chained).isEmpty()
 
 
+#: Edges of a node from which on it is a hub.
+HUB = 256
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): m is the least v of u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = least.filter(F.col("n") > HUB).select("u", "m")
+    found = hubs.count()
+    if not found:
+        return edges.join(least.select("u", "m"), "u")
+    rest = edges.join(small(hubs.select("u"), found), "u", "left_anti").join(least.filter(F.col("n") <= HUB).select("u", "m"), "u")
+    return rest.unionByName(edges.join(small(hubs, found), "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (u, v), by alternating large-star and small-star rounds.
 
+    A node with over HUB edges (the middle of a star) meets its least neighbour by a broadcast of such nodes behind their
+    count, so that its edges needn't come into one task.
+
     The component is its smallest node. Every round is two joins and two aggregations over edges and ends in a written
     table, so neither links nor components reach the driver; rounds grow with the logarithm of a component's width, and
     edges that are stars already need none. No edges: an empty result.
@@ -222,8 +258,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = shelf.put(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        # After the large star a node has its least neighbours only, which are few.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = shelf.put(moved.unionByName(least.withColumnRenamed("m", "v")).filter("u <> v").distinct())
