@@ -4,14 +4,16 @@ For each language a suffix automaton of a bounded sample of labelled text is bui
 longest phrases that the automaton has read; few phrases per character mean that text and sample share their language.
 The language that needs the fewest phrases wins.
 
-The automata are laid out as one dense transition table that is broadcast (its size is bounded by the sample size and
-the number of languages, not by the corpus), and many pieces of text walk through it side by side, one NumPy step per
-character position, so the cost per character is a table look-up.
+The automata are laid out as one dense transition table of at most CELLS entries that is broadcast, whatever the corpus,
+the languages and their scripts. A text walks through it in many lanes side by side, one NumPy step per position; where
+a lane's last phrase goes on, it is followed into the next lane until both are in one state, so the phrases are those of
+one walk from the text's beginning to its end.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,12 @@ from .shared import quoted, slices
 
 #: Bound of the labelled sample: passages per language, and code points of each passage.
 PASSAGES, PASSAGE_CHARS = 60, 800
-#: A text is parsed in lanes of so many characters; a phrase ends with its lane.
-LANE = 512
+#: Bound of the automata's table, in entries of 4 bytes; a language's sample is cut to its share of it.
+CELLS = 1 << 26
+#: Letters with a symbol of their own; rarer ones are written with up to three of DIGITS symbols.
+FREQUENT, DIGITS = 62, 64
+#: A text is parsed in lanes of so many symbols, and so many characters of it at a time.
+LANE, SEGMENT = 512, 1 << 21
 UNKNOWN = "und"
 
 
@@ -52,128 +58,212 @@ def sample(labelled: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_C
     return out
 
 
-def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
-    """Transitions of the smallest automaton of all substrings; state 0 is its root."""
-    moves: list[dict[int, int]] = [{}]
+def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
+    """Transitions (states x letters, 0: none) of the smallest automaton of all substrings; state 0 is its root."""
+    moves = np.zeros((2 * len(codes) + 1, letters), np.int32)
     link, length, last = [-1], [0], 0
     for c in codes:
-        here, p = len(moves), last
-        moves.append({})
+        here, p = len(link), last
         length.append(length[last] + 1)
         link.append(0)
-        while p >= 0 and c not in moves[p]:
-            moves[p][c] = here
+        while p >= 0 and not moves[p, c]:
+            moves[p, c] = here
             p = link[p]
         if p >= 0:
-            q = moves[p][c]
+            q = int(moves[p, c])
             if length[p] + 1 == length[q]:
                 link[here] = q
             else:
-                twin = len(moves)
-                moves.append(dict(moves[q]))
+                twin = len(link)
+                moves[twin] = moves[q]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and moves[p].get(c) == q:
-                    moves[p][c] = twin
+                while p >= 0 and moves[p, c] == q:
+                    moves[p, c] = twin
                     p = link[p]
                 link[q] = link[here] = twin
         last = here
-    return moves
+    return moves[: len(link)].copy()
 
 
 @dataclass
-class Model:
-    """languages; fold: code point to letter code (0: no letter, last: a letter never read); table: see dense()."""
+class Alphabet:
+    """fold: code point to symbol (0: no letter, last: a letter never read), or to letters + number of a rare letter, which
+    is written with `width` symbols from `digit` on."""
 
-    languages: list[str]
     fold: np.ndarray
     letters: int
+    digit: int
+    width: int
+
+
+@dataclass
+class Model:
+    """table: for state and symbol 4 * (place of the next state's row) + phrases that end; roots: the languages' states 0."""
+
+    languages: list[str]
+    alphabet: Alphabet
     table: np.ndarray
     roots: np.ndarray
 
 
-def letter_codes(texts: list[str]) -> tuple[np.ndarray, int]:
-    """Code of every code point: 0 for what is no letter, small numbers for letters of the texts, one more for the rest."""
-    known = {c: i + 1 for i, c in enumerate(sorted({c.lower()[0] for t in texts for c in t if c.isalpha()}))}
-    fold = np.zeros(0x110000, np.uint16)
-    for cp in range(0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            fold[cp] = known.get(c.lower()[0], len(known) + 1)
-    return fold, len(known) + 2
+@lru_cache(maxsize=1)
+def _lower() -> np.ndarray:
+    """The lower-case letter of each code point; 0 for what is no letter."""
+    return np.array([ord(c.lower()[0]) if (c := chr(cp)).isalpha() else 0 for cp in range(0x110000)], np.uint32)
 
 
-def collapse(codes: np.ndarray) -> np.ndarray:
-    """Runs of non-letters become one separator."""
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    return codes[keep]
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def to_codes(text: str, fold: np.ndarray) -> np.ndarray:
-    return fold[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+def alphabet_of(texts: list[str]) -> Alphabet:
+    letters, counts = np.unique(_lower()[_points("".join(texts))], return_counts=True)
+    order = sorted((-n, c) for c, n in zip(letters.tolist(), counts.tolist(), strict=True) if c)
+    often, rare = sorted(c for _, c in order[:FREQUENT]), sorted(c for _, c in order[FREQUENT:])
+    width = next(w for w in (1, 2, 3) if len(rare) <= DIGITS**w)
+    digit = len(often) + 1
+    size = digit + (DIGITS if rare else 0) + 1
+    known = np.full(0x110000, size - 1, np.uint32)
+    known[0] = 0
+    known[often] = np.arange(len(often)) + 1
+    known[rare] = np.arange(len(rare)) + size
+    return Alphabet(known[_lower()], size, digit, width)
+
+
+def symbols(texts: list[str], alphabet: Alphabet, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts, and where each begins. Runs of non-letters are one separator, none at a text's beginning.
+
+    inside: the (one) text goes on behind letters, so that a separator at its beginning counts.
+    """
+    raw = alphabet.fold[_points("".join(texts))]
+    ends = np.cumsum([len(t) for t in texts])
+    keep = np.ones(len(raw), bool)
+    keep[1:] = (raw[1:] != 0) | (raw[:-1] != 0)
+    if not inside:
+        first = np.concatenate([[0], ends[:-1]])
+        first = first[first < len(raw)]
+        keep[first] = raw[first] != 0
+    at = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])]
+    raw = raw[keep]
+    rare = raw >= alphabet.letters
+    if not rare.any():
+        return raw.astype(np.int32), at
+    n = np.where(rare, alphabet.width, 1)
+    place = np.concatenate([[0], np.cumsum(n)])
+    out = np.repeat(raw, n).astype(np.int64)
+    for k in range(alphabet.width):
+        out[place[:-1][rare] + k] = alphabet.digit + ((raw[rare].astype(np.int64) - alphabet.letters) // DIGITS ** (alphabet.width - 1 - k)) % DIGITS
+    return out.astype(np.int32), place[at]
 
 
 def train(samples: dict[str, list[str]]) -> Model:
     """One automaton per language. No language: a model that answers `und`."""
     languages = sorted(samples)
-    fold, letters = letter_codes([t for ts in samples.values() for t in ts])
+    alphabet = alphabet_of([t for ts in samples.values() for t in ts])
+    most = CELLS // (2 * max(1, len(languages)) * alphabet.letters) - 1
     tables, roots, base = [], [], 0
     for lang in languages:
-        codes = collapse(np.concatenate([np.append(to_codes(t, fold), 0) for t in samples[lang]]))
-        moves = suffix_automaton(codes.tolist())
-        nxt = np.zeros((len(moves), letters), np.int64)
-        for s, row in enumerate(moves):
-            for c, to in row.items():
-                nxt[s, c] = to
-        # value = 4 * (place of the next state's row) + phrases that end: a step that the state lacks ends its phrase and
-        # begins one with this letter; a letter that even the root lacks is a phrase of its own.
-        here = np.arange(len(moves))[:, None] > 0
-        missing = nxt == 0
-        target = np.where(missing, nxt[0][None, :], nxt)
-        ends = np.where(missing, here.astype(np.int64) + (nxt[0] == 0)[None, :], 0)
-        tables.append(((target * letters + base) * 4 + ends).ravel())
+        # Each passage begins behind a separator and ends with one.
+        codes = symbols(["".join(t + "\n" for t in samples[lang])], alphabet)[0][:most]
+        moves = suffix_automaton(codes.tolist(), alphabet.letters)
+        # A step that the state lacks ends its phrase and begins one with this letter; a letter that even the root lacks is
+        # a phrase of its own.
+        missing, root = moves == 0, moves[0].copy()
+        np.copyto(moves, np.broadcast_to(root, moves.shape), where=missing)
+        moves *= alphabet.letters
+        moves += base
+        moves *= 4
+        moves[1:] += missing[1:]
+        moves += missing & (root == 0)
+        tables.append(moves.ravel())
         roots.append(base)
-        base += nxt.size
-    table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-    return Model(languages, fold, letters, table.astype(np.int32) if base * 4 < 2**31 else table, np.array(roots, np.int64))
+        base += moves.size
+    return Model(languages, alphabet, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32))
 
 
 # ---------------------------------------------------------------- parsing
 
 
-def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x languages) phrases, and the letters and separators parsed of each document."""
-    joined = "\n".join(texts) + "\n"
-    codes = to_codes(joined, model.fold)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    codes = codes[keep].astype(np.int32)
-    edges = np.concatenate([[0], kept[ends]])
-    lengths = np.diff(edges)
-    counts = -(-lengths // LANE)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = edges[doc] + nth * LANE
-    size = np.minimum(LANE, edges[doc + 1] - start)
+def _walk(codes: np.ndarray, edges: np.ndarray, model: Model, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end inside each piece, and the states at its end (both languages x pieces), from these states on."""
+    table, n_lang, pieces = model.table, len(model.languages), len(edges) - 1
+    counts = -(-np.diff(edges) // LANE)
+    first = np.cumsum(counts) - counts
+    piece = np.repeat(np.arange(pieces), counts)
+    nth = np.arange(len(piece)) - first[piece]
+    start = edges[piece] + nth * LANE
+    size = np.minimum(LANE, edges[piece + 1] - start)
+    # 1. All lanes side by side, the longest first: the first of a piece from its state, others from the root.
     order = np.argsort(-size, kind="stable")
-    doc, start, size = doc[order], start[order], size[order]
-    n_lang = len(model.languages)
-    state = np.repeat(model.roots[:, None].astype(np.int32 if model.table.dtype == np.int32 else np.int64), len(doc), 1)
-    found = np.zeros((n_lang, len(doc)), np.int32)
-    longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest), "left")
+    rank = np.argsort(order)
+    begin = np.repeat(model.roots[:, None], len(piece), 1)
+    begin[:, nth == 0] = state[:, piece[nth == 0]]
+    now, found = begin[:, order], np.zeros((n_lang, len(piece)), np.int32)
+    longest = int(size.max(initial=0))
+    active, from_ = np.searchsorted(-size[order], -np.arange(longest), "left"), start[order]
+    steps = np.empty((longest, n_lang, len(piece)), np.int32)
     for i in range(longest):
         n = active[i]
-        v = model.table[state[:, :n] + codes[start[:n] + i]]
+        v = table[now[:, :n] + codes[from_[:n] + i]]
+        steps[i, :, :n] = v
         found[:, :n] += v & 3
-        state[:, :n] = v >> 2
-    found += state != model.roots[:, None]
-    out = np.zeros((len(texts), n_lang), np.int64)
-    for k in range(n_lang):
-        out[:, k] = np.bincount(doc, found[k], len(texts))
+        now[:, :n] = v >> 2
+    found, now = found[:, rank], now[:, rank]
+    # 2. Each lane goes on into the next ones until it is in their state: what it finds there, what they had found till then.
+    last = np.ones(len(piece), bool)
+    last[:-1] = piece[1:] != piece[:-1]
+    more, less = np.zeros_like(found), np.zeros_like(found)
+    land = np.full(found.shape, -1)
+    end = now.copy()
+    lang, lane = (x.ravel() for x in np.meshgrid(np.arange(n_lang), np.flatnonzero(~last), indexing="ij"))
+    target, at = lane + 1, np.zeros(len(lane), np.int64)
+    here, gained, theirs = now[lang, lane], np.zeros(len(lane), np.int32), np.zeros(len(lane), np.int32)
+    while len(lane):
+        v, w = table[here + codes[start[target] + at]], steps[at, lang, rank[target]]
+        here, gained, theirs, at = v >> 2, gained + (v & 3), theirs + (w & 3), at + 1
+        met = here == w >> 2
+        through = ~met & (at == size[target])
+        gone = met | through & last[target]
+        if gone.any():
+            k, m = lang[gone], lane[gone]
+            more[k, m], less[k, m], end[k, m] = gained[gone], np.where(met[gone], theirs[gone], 0), here[gone]
+            land[k, m] = np.where(met[gone], target[gone], -1)
+        on = through & ~gone
+        target, at, theirs = target + on, np.where(on, 0, at), np.where(on, 0, theirs)
+        stay = ~gone
+        lang, lane, target, at, here, gained, theirs = (x[stay] for x in (lang, lane, target, at, here, gained, theirs))
+    # 3. From each piece's first lane along the lanes that it met.
+    total, final = np.zeros((n_lang, pieces), np.int64), state.copy()
+    k, p = (x.ravel() for x in np.meshgrid(np.arange(n_lang), np.flatnonzero(counts), indexing="ij"))
+    m = first[p]
+    total[k, p] = found[k, m]
+    while len(k):
+        to = land[k, m]
+        total[k, p] += more[k, m] - less[k, m] + np.where(to >= 0, found[k, to], 0)
+        over = to < 0
+        final[k[over], p[over]] = end[k[over], m[over]]
+        k, p, m = k[~over], p[~over], to[~over]
+    return total, final
+
+
+def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x languages) phrases, and each document's symbols. A text is walked through SEGMENT characters at a time."""
+    out, lengths = np.zeros((len(texts), len(model.languages)), np.int64), np.zeros(len(texts), np.int64)
+    short = [i for i, t in enumerate(texts) if len(t) < SEGMENT]
+    rooted = lambda n: np.repeat(model.roots[:, None], n, 1)
+    if short:
+        codes, edges = symbols([texts[i] + "\n" for i in short], model.alphabet)
+        total, final = _walk(codes, edges, model, rooted(len(short)))
+        out[short], lengths[short] = (total + (final != model.roots[:, None])).T, np.diff(edges)
+    for i in sorted(set(range(len(texts))) - set(short)):
+        state, inside, text = rooted(1), False, texts[i] + "\n"
+        for a in range(0, len(text), SEGMENT):
+            codes, edges = symbols([text[a : a + SEGMENT]], model.alphabet, inside)
+            total, state = _walk(codes, edges, model, state)
+            out[i], lengths[i] = out[i] + total[:, 0], lengths[i] + len(codes)
+            inside = bool(codes[-1]) if len(codes) else inside
+        out[i] += state[:, 0] != model.roots
     return out, lengths
 
 
@@ -237,7 +327,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], claim: str | None =
     claim: a column of languages; then more and share of judge() follow.
 
     Null, empty and letterless texts: `und`, 0. Equal texts, equal results; repeated rows and an empty table pass
-    through. A text is parsed in lanes of 512 characters, so one of any length needs bounded memory beside itself.
+    through. A text of any length needs bounded memory beside itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [f"_k{i}" for i in range(len(keep))]

@@ -342,6 +342,31 @@ def test_phrases_by_definition():
             assert found[i, k] == longest_matches(t + " ", samples[lang][0] + " ")
 
 
+def test_phrases_run_over_lanes_and_segments(monkeypatch):
+    rng = np.random.default_rng(8)
+    words_of = {"a": "the cat sat on the mat and the rat".split(), "b": "le chat est sur le tapis et un rat".split()}
+    samples = {k: [" ".join(rng.choice(v, 300))] for k, v in words_of.items()}
+    model = language.train(samples)
+    texts = [" ".join(rng.choice([*words_of["a"], *words_of["b"], "zq"], n)) for n in (1, 100, 1500, 3000)] + ["ab" * 3000, "a" * 5000, "cat " * 900, "x"]
+    for segment in (1 << 21, 700):
+        monkeypatch.setattr(language, "SEGMENT", segment)
+        found, _ = language.phrases(texts, model)
+        assert found.tolist() == [[longest_matches(t + " ", samples[k][0] + " ") for k in model.languages] for t in map(lambda t: re.sub(" +", " ", t + " ")[:-1], texts)]
+
+
+def test_rare_letters_are_digits(monkeypatch):
+    monkeypatch.setattr(language, "FREQUENT", 3)
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(500))
+    samples = {"zh": [han * 3], "en": ["the cat sat on the mat " * 20]}
+    model = language.train(samples)
+    assert model.alphabet.letters == 3 + language.DIGITS + 2 and model.alphabet.width == 2
+    assert language.predict([han[100:400], "the mat sat", han[7:9], "Ω"], model)[0][:3] == ["zh", "en", "zh"]
+    found, _ = language.phrases([han[100:400]], model)
+    assert found[0, model.languages.index("zh")] <= 2
+    monkeypatch.setattr(language, "CELLS", 40_000)
+    assert len(language.train(samples).table) <= 40_000
+
+
 def test_language_edges(spark, odd, none):
     model = language.learn(odd)
     got = language.identify(odd, model, ["doc_id", "kept"]).collect()
