@@ -1,15 +1,19 @@
 """Operator 7, HTML extraction by layout-aware rendering.
 
-A tokenizer feeds a tree builder that closes what HTML closes by implication; a walk over the tree leaves out what is
-not visible and emits text blocks with their spacing, list marks and numbers, and tables with cells aligned by column.
-All visible text comes out: what repeats on every page (navigation, footers) is as visible as the rest.
+A scanner that reads each character once feeds a tree builder that closes what HTML closes by implication; a walk over
+the tree leaves out what is not visible and emits text blocks with their spacing, list marks and numbers, and tables
+with cells aligned by column. All visible text comes out: what repeats on every page (navigation, footers) is as visible
+as the rest. Nothing depends on the depth of the markup: look-ups in the open elements go by position, and the walk keeps
+its own stack.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -21,13 +25,16 @@ from .shared import quoted, slices
 _NAMES = lambda s: frozenset(s.split())
 VOID = _NAMES("area base br col embed hr img input link meta param source track wbr")
 RAW = _NAMES("script style textarea title xmp iframe noembed noframes noscript")
-HIDDEN = _NAMES("head script style title template noscript iframe noembed noframes object canvas audio video svg datalist select option meta link base")
+HIDDEN = _NAMES(
+    "head script style title template noscript iframe noembed noframes object canvas audio video datalist meta link base meter progress rp desc metadata defs symbol"
+)
 BLOCK = _NAMES(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption thead tbody tfoot tr ul"
 )
 #: Blocks with a blank line around them.
 SPACED = _NAMES("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu dir pre table figure fieldset hr")
 CLOSES_P = BLOCK - _NAMES("body html tr thead tbody tfoot caption legend dd dt li") | _NAMES("li dd dt")
+_ROWS = _NAMES("thead tbody tfoot tr td th caption colgroup")
 #: A start tag ends these open elements, unless one of the second set stands in between.
 IMPLIED = {
     "li": (_NAMES("li"), _NAMES("ul ol menu dir")),
@@ -38,17 +45,35 @@ IMPLIED = {
     "tr": (_NAMES("tr td th caption colgroup"), _NAMES("table")),
     "td": (_NAMES("td th"), _NAMES("table tr")),
     "th": (_NAMES("td th"), _NAMES("table tr")),
-    "thead": (_NAMES("thead tbody tfoot tr td th caption colgroup"), _NAMES("table")),
-    "tbody": (_NAMES("thead tbody tfoot tr td th caption colgroup"), _NAMES("table")),
-    "tfoot": (_NAMES("thead tbody tfoot tr td th caption colgroup"), _NAMES("table")),
+    "thead": (_ROWS, _NAMES("table")),
+    "tbody": (_ROWS, _NAMES("table")),
+    "tfoot": (_ROWS, _NAMES("table")),
     "body": (_NAMES("head"), _NAMES("")),
 }
-#: An end tag looks for its element no further up than these.
+#: An end tag looks for its element no further up than these; those of tables only up to the table.
 SCOPE = _NAMES("table td th caption template html")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_TABLE_ENDS = _NAMES("table tr td th thead tbody tfoot caption body html")
+#: Inputs without text of their own.
+_MUTE = _NAMES("hidden checkbox radio password file image range color")
+#: Indents grow up to so many columns; tables inside so many others stand cell by cell, a line each.
+MOST_INDENT, ALIGNED_DEPTH = 120, 40
+
+_TAG_NAME = re.compile(r"[^\s/>]+")
+_SKIP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]+")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
+def _unescape(s: str) -> str:
+    """Character references become characters; a number beyond all code points becomes U+FFFD, however long."""
+    if "&" not in s:
+        return s
+    return html.unescape(_HUGE.sub("�", _ZEROS.sub(r"&#\1", s)) if "&#" in s else s)
 
 
 @dataclass(slots=True)
@@ -60,97 +85,142 @@ class Node:
     children: list = field(default_factory=list)
 
 
-def _attributes(source: str) -> dict[str, str]:
+class _Open:
+    """The open elements, and where those of each name stand among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, tags: frozenset[str] | tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names; 0: none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def start(self, tag: str) -> None:
+        """What a start tag ends by implication."""
+        if tag in CLOSES_P and (p := self.last(("p",))) > max(self.last(SCOPE), self.last(("button",))):
+            self.cut(p)
+        if tag in IMPLIED:
+            ends, stops = IMPLIED[tag]
+            inside = self.last(stops) + 1
+            if found := [places[k] for t in ends if (places := self.at.get(t)) and (k := bisect_left(places, inside)) < len(places)]:
+                self.cut(min(found))
+
+    def end(self, tag: str) -> None:
+        """Ends the nearest open element of that name, and what is open inside it; an end tag without one is passed over."""
+        here = self.last((tag,))
+        if here and here >= self.last(("table",) if tag in _TABLE_ENDS else SCOPE):
+            self.cut(here)
+
+
+def _attributes(source: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """Attributes from at on, whether the tag ends with a slash, and where it ends; -1 if the source ends before."""
     out: dict[str, str] = {}
-    if source and not source.isspace():
-        for name, a, b, c in _ATTRIBUTE.findall(source):
-            value = a or b or c
-            out.setdefault(name.lower(), html.unescape(value) if "&" in value else value)
-    return out
+    n = len(source)
+    while True:
+        gap = _SKIP.match(source, at)
+        at = gap.end()
+        if at >= n:
+            return out, False, -1
+        if source[at] == ">":
+            return out, gap[0].endswith("/"), at + 1
+        name = _ATTRIBUTE.match(source, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(source, at):
+            at = equals.end()
+            if at < n and source[at] in "\"'":
+                close = source.find(source[at], at + 1)
+                if close < 0:
+                    return out, False, -1
+                value, at = source[at + 1 : close], close + 1
+            elif bare := _UNQUOTED.match(source, at):
+                value, at = bare[0], bare.end()
+        out.setdefault(name[0].lower(), _unescape(value))
 
 
 def parse(source: str) -> Node:
-    """The tree of a page or fragment; nothing is an error. Depth is bounded by the page's own open elements."""
+    """The tree of a page or fragment; nothing is an error. What is inside a tag that never ends isn't text."""
     root = Node("#root", {})
-    stack = [root]
-    at, n = 0, len(source)
+    open_ = _Open(root)
+    n, at = len(source), 0
 
     def text(a: int, b: int) -> None:
         if b > a:
-            part = source[a:b]
-            stack[-1].children.append(html.unescape(part) if "&" in part else part)
-
-    while at < n:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            text(at, n)
-            break
-        text(at, m.start())
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if source.startswith("<![CDATA[", m.start()):
-                text(m.start() + 9, at - 3 if source.startswith("]]>", at - 3) else at)
+            open_.stack[-1].children.append(_unescape(source[a:b]))
+
+    def behind(mark: str, from_: int) -> int:
+        found = source.find(mark, from_)
+        return n if found < 0 else found + len(mark)
+
+    begun = 0  # of the text that is not yet in the tree
+    while (at := source.find("<", at)) >= 0:
+        kind = source[at + 1 : at + 2]
+        closing = kind == "/"
+        letter = source[at + 2 : at + 3] if closing else kind
+        if not (letter.isascii() and letter.isalpha()):
+            if not closing and kind not in ("!", "?") or not letter:
+                at += 1
+                continue
+            text(begun, at)
+            if source.startswith("<!--", at):
+                at = at + 5 if source.startswith("<!-->", at) else behind("-->", at + 4)
+            elif source.startswith("<![CDATA[", at):
+                end = behind("]]>", at + 9)
+                if end > at + 9:
+                    open_.stack[-1].children.append(source[at + 9 : end - 3 if source.endswith("]]>", at + 9, end) else end])
+                at = end
+            else:
+                at = behind(">", at + 2)
+            begun = at
             continue
-        tag = tag.lower()
-        if m[1]:
-            _end(stack, tag)
+        text(begun, at)
+        name = _TAG_NAME.match(source, at + 1 + closing)
+        tag = name[0].lower()
+        attrs, slash, at = _attributes(source, name.end())
+        if at < 0:
+            return root
+        begun = at
+        if closing:
+            open_.end(tag)
             continue
-        _start(stack, tag)
-        node = Node(tag, _attributes(m[3]))
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        open_.start(tag)
+        node = Node(tag, attrs)
+        open_.stack[-1].children.append(node)
+        if tag in VOID or slash and tag not in BLOCK and tag not in RAW:
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            stop = close.start() if close else n
-            body = source[at:stop]
-            node.children.append(html.unescape(body) if tag in ("title", "textarea") else body)
-            at = close.end() if close else n
+        if tag not in RAW:
+            open_.push(node)
             continue
-        stack.append(node)
+        close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+        stop = close.start() if close else n
+        body = source[at:stop]
+        node.children.append(_unescape(body) if tag in ("title", "textarea") else body)
+        at = begun = behind(">", stop) if close else n
+    text(begun, n)
     return root
 
 
-def _start(stack: list[Node], tag: str) -> None:
-    if tag in CLOSES_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPE or stack[i].tag == "button":
-                break
-    if tag in IMPLIED:
-        ends, stops = IMPLIED[tag]
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stops:
-                break
-            if stack[i].tag in ends:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
-
-
-def _end(stack: list[Node], tag: str) -> None:
-    """Ends the nearest open element of that name, and what is open inside it; an end tag without one is passed over."""
-    table = tag in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "body", "html")
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in SCOPE and not table or table and stack[i].tag == "table":
-            return
-
-
-def visible(node: Node) -> bool:
-    """Not of a hidden kind, nor hidden by attribute or inline style, nor a hidden input."""
+def displayed(node: Node) -> bool:
+    """Whether the element has a place on the page: not of a hidden kind, nor `display: none` by attribute or style."""
     if node.tag in HIDDEN:
         return False
     a = node.attrs
-    if not a:
-        return True
-    return not ("hidden" in a or "style" in a and _INVISIBLE.search(a["style"]) or node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a)
+    return not a or not ("hidden" in a or "style" in a and _DISPLAY.search(a["style"]) or node.tag == "dialog" and "open" not in a)
+
+
+def _seen(node: Node, seen: bool) -> bool:
+    """Whether the element's own text is visible; unless it says so itself, as its parent's."""
+    if "style" in node.attrs and (found := _VISIBILITY.findall(node.attrs["style"])):
+        return found[-1].lower() == "visible"
+    return seen
 
 
 class _Writer:
@@ -159,7 +229,7 @@ class _Writer:
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.parts: list[str] = []
-        self.indent = ""
+        self.indent = 0
         self.mark = ""
         self.blank = False
 
@@ -172,8 +242,8 @@ class _Writer:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        self.lines.append(f"{self.indent}{self.mark}{s}".rstrip())
-        self.indent += " " * len(self.mark)
+        self.lines.append(f"{' ' * self.indent}{self.mark}{s}".rstrip())
+        self.indent = min(MOST_INDENT, self.indent + len(self.mark))
         self.mark = ""
 
     def end_line(self, keep_empty: bool = False) -> None:
@@ -187,156 +257,233 @@ class _Writer:
         self.blank = True
 
 
+#: A step of the walk hands over the steps that come first.
+_Steps = Generator["_Steps", None, None]
+
+
+def _walk(steps: _Steps) -> None:
+    todo = [steps]
+    while todo:
+        inner = next(todo[-1], None)
+        if inner is None:
+            todo.pop()
+        else:
+            todo.append(inner)
+
+
 def render(source: str | None) -> str:
     """All visible text of a page, laid out. Null: empty."""
     out = _Writer()
-    _children(parse(source or ""), out, 0)
+    _walk(_children(parse(source or ""), out, True, 0))
     out.end_line()
     return "\n".join(out.lines)
 
 
-#: Elements inside one another that are laid out one by one; what is deeper is read as running text.
-DEEPEST = 150
-
+def _int(s: str, least: int, most: int, other: int) -> int:
+    return max(least, min(most, int(s))) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", s) else other
 
-def _all_text(node: Node) -> str:
-    parts, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif x is node or visible(x):
-            todo.extend(reversed(x.children))
-            if x.tag in BLOCK or x.tag == "br":
-                parts.append(" ")
-    return "".join(parts)
 
-
-def _children(node: Node, out: _Writer, depth: int) -> None:
-    if depth > DEEPEST:
-        out.inline(_all_text(node))
-        return
-    number = int(node.attrs.get("start", "1")) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "1")) else 1
+def _children(node: Node, out: _Writer, seen: bool, tables: int) -> _Steps:
+    """Writes what is inside node. seen: whether its own text is visible; tables: in how many tables it stands."""
+    number = _int(node.attrs.get("start", "1"), -(10**9), 10**9, 1) if node.tag == "ol" else 1
+    summary = None
+    if node.tag == "details" and "open" not in node.attrs:  # closed: its first summary alone
+        summary = next((c for c in node.children if isinstance(c, Node) and c.tag == "summary"), node)
     for child in node.children:
+        if summary is not None and child is not summary:
+            continue
         if isinstance(child, str):
-            out.inline(child)
+            if seen:
+                out.inline(child)
             continue
-        if not visible(child):
+        if not displayed(child):
             continue
-        tag = child.tag
+        tag, shows = child.tag, _seen(child, seen)
         if tag == "br":
             out.end_line(keep_empty=bool(out.parts))
         elif tag == "img":
-            if alt := child.attrs.get("alt", "").strip():
+            if shows and (alt := child.attrs.get("alt", "").strip()):
                 out.inline(f" {alt} ")
         elif tag == "input":
-            if child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-                out.inline(child.attrs.get("value", ""))
+            if shows and child.attrs.get("type", "").lower() not in _MUTE and (value := child.attrs.get("value") or child.attrs.get("placeholder", "")):
+                out.inline(f" {value} ")
+        elif tag == "select":
+            if shows:
+                out.inline(" " + " ".join(_options(child)) + " ")
         elif tag == "hr":
             out.space()
-        elif tag == "pre":
-            _pre(child, out)
+        elif tag in ("pre", "textarea", "xmp"):
+            _pre(child, out, shows)
         elif tag == "table":
-            _table(child, out, depth)
+            yield _table(child, out, shows, tables)
         elif tag == "li":
             out.end_line()
+            if node.tag == "ol" and (own := child.attrs.get("value")):
+                number = _int(own, -(10**9), 10**9, number)
             before, out.mark = out.indent, f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            _children(child, out, depth + 1)
+            yield _children(child, out, shows, tables)
             out.end_line()
             out.indent, out.mark = before, ""
         elif tag in ("dd", "blockquote"):
             out.space() if tag == "blockquote" else out.end_line()
-            before, out.indent = out.indent, out.indent + "    "
-            _children(child, out, depth + 1)
+            before, out.indent = out.indent, min(MOST_INDENT, out.indent + 4)
+            yield _children(child, out, shows, tables)
             out.space() if tag == "blockquote" else out.end_line()
             out.indent = before
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dir") and node.tag == "li"
             out.space() if tag in SPACED and not nested else out.end_line()
-            _children(child, out, depth + 1)
+            yield _children(child, out, shows, tables)
             out.space() if tag in SPACED and not nested else out.end_line()
         else:
-            _children(child, out, depth + 1)
+            yield _children(child, out, shows, tables)
 
 
-def _pre(node: Node, out: _Writer) -> None:
-    out.space()
-    parts, todo = [], [node]
+def _plain(node: Node, seen: bool = True) -> str:
+    """Visible text inside node as it stands in the source."""
+    parts: list[str] = []
+    todo: list[tuple[Node | str, bool]] = [(node, seen)]
     while todo:
-        x = todo.pop()
+        x, shows = todo.pop()
         if isinstance(x, str):
-            parts.append(x)
-        elif x is node or visible(x):
+            parts.append(x if shows else "")
+        elif x is node or displayed(x):
             parts.append("\n" if x.tag == "br" else "")
-            todo.extend(reversed(x.children))
-    for s in "".join(parts).replace("\r\n", "\n").strip("\n").split("\n"):
-        out.line(s)
-    out.blank = True
+            todo.extend((c, shows if isinstance(c, str) else _seen(c, shows)) for c in reversed(x.children))
+    return "".join(parts)
 
 
-def _cell(node: Node, depth: int) -> list[str]:
-    inner = _Writer()
-    _children(node, inner, depth + 1)
-    inner.end_line()
-    return inner.lines
+def _options(select: Node) -> list[str]:
+    """The labels that a list of choices shows: all of a list box, the selected or else the first of a drop-down."""
+    found, todo = [], [*reversed(select.children)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and displayed(x):
+            if x.tag == "option":
+                found.append(x)
+            else:
+                todo.extend(reversed(x.children))
+    if not ("multiple" in select.attrs or _int(select.attrs.get("size", "1"), 1, 1000, 1) > 1):
+        found = [x for x in found if "selected" in x.attrs][-1:] or found[:1]
+    return [x.attrs.get("label") or _BLANK.sub(" ", _plain(x)).strip() for x in found]
 
 
-def _table(node: Node, out: _Writer, depth: int) -> None:
-    """Cells of a column start at one place, two blanks behind the widest; a column span takes its columns' places."""
+def _pre(node: Node, out: _Writer, seen: bool) -> None:
     out.space()
-    rows: list[list[tuple[list[str], int]]] = []
+    text = _plain(node, seen).replace("\r\n", "\n").strip("\n")
+    if text:
+        for s in text.split("\n"):
+            out.line(s)
+    out.blank = True
+
+
+def _table(node: Node, out: _Writer, seen: bool, tables: int) -> _Steps:
+    """Cells of a column start at one place, two blanks behind the widest.
+
+    A column span takes its columns' places, a row span its column in the rows below. Headers stand first, footers last.
+    """
+    out.space()
+    sections: dict[str, list[list[list[tuple[Node, bool]]]]] = {"thead": [], "tbody": [], "tfoot": []}
     loose: list = []
+    captions: list[tuple[Node, bool]] = []
+
+    def row(tr: Node, shows: bool) -> list[tuple[Node, bool]]:
+        cells = []
+        for c in tr.children:
+            if isinstance(c, Node) and c.tag in ("td", "th"):
+                if displayed(c):
+                    cells.append((c, _seen(c, shows)))
+            elif isinstance(c, Node) and displayed(c) or isinstance(c, str) and shows and not c.isspace():
+                loose.append(c)
+        return cells
 
-    def walk(x: Node) -> None:
-        for c in x.children:
-            if isinstance(c, str):
-                if not c.isspace():
-                    loose.append(c)
-            elif not visible(c):
-                continue
-            elif c.tag == "tr":
-                cells = [d for d in c.children if isinstance(d, Node) and d.tag in ("td", "th") and visible(d)]
-                other = [d for d in c.children if not (isinstance(d, Node) and d.tag in ("td", "th"))]
-                loose.extend(d for d in other if isinstance(d, Node) and visible(d) or isinstance(d, str) and not d.isspace())
-                rows.append([(_cell(d, depth), max(1, min(100, int(s))) if (s := d.attrs.get("colspan", "1")).isascii() and s.isdigit() else 1) for d in cells])
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                walk(c)
+    bodies: list[tuple[Node, bool]] = []
+    direct: list[list[tuple[Node, bool]]] = []
+    for c in node.children:
+        if isinstance(c, str):
+            if seen and not c.isspace():
+                loose.append(c)
+        elif displayed(c):
+            shows = _seen(c, seen)
+            if c.tag == "tr":
+                if not direct:
+                    sections["tbody"].append(direct)
+                direct.append(row(c, shows))
+            elif c.tag in sections:
+                bodies.append((c, shows))
+                group: list[list[tuple[Node, bool]]] = []
+                for d in c.children:
+                    if isinstance(d, Node) and d.tag == "tr":
+                        if displayed(d):
+                            group.append(row(d, _seen(d, shows)))
+                    elif isinstance(d, Node) and displayed(d) or isinstance(d, str) and shows and not d.isspace():
+                        loose.append(d)
+                sections[c.tag].append(group)
+                direct = []
             elif c.tag == "caption":
-                for s in _cell(c, depth):
-                    out.line(s)
+                captions.append((c, shows))
             else:
                 loose.append(c)
-
-    walk(node)
+    for c, shows in captions:
+        yield _children(c, out, shows, tables)
+        out.end_line()
     if loose:  # text inside a table but outside its cells stands before it
-        _children(Node("div", {}, loose), out, depth + 1)
+        yield _children(Node("div", {}, loose), out, seen, tables)
         out.end_line()
+    groups = [g for part in sections.values() for g in part]
+    if tables >= ALIGNED_DEPTH or sum(len(r) for g in groups for r in g) == 1:
+        for c, shows in (cell for g in groups for r in g for cell in r):
+            yield _children(c, out, shows, tables + 1)
+            out.end_line()
+        out.blank = True
+        return
+    rows: list[list[tuple[int, list[str], int]]] = []
+    for g in groups:
+        busy: dict[int, int] = {}  # rows that a column stays taken from above
+        for k, cells in enumerate(g):
+            placed, at, below = [], 0, {}
+            for c, shows in cells:
+                while busy.get(at, 0) > 0:
+                    at += 1
+                inner = _Writer()
+                yield _children(c, inner, shows, tables + 1)
+                inner.end_line()
+                across = _int(c.attrs.get("colspan", "1"), 1, 1000, 1)
+                down = _int(c.attrs.get("rowspan", "1"), 0, 65534, 1) or len(g) - k
+                if down > 1:
+                    below |= dict.fromkeys(range(at, at + across), min(down, len(g) - k))
+                placed.append((at, inner.lines, across))
+                at += across
+            busy = {c: n - 1 for c, n in (busy | below).items() if n > 1}
+            rows.append(placed)
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
+    for cells in rows:
+        for at, lines, across in cells:
+            if across == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-            at += span
-    for row in rows:
-        height = max((len(lines) for lines, _ in row), default=0)
-        for k in range(height):
-            s, at, place = "", 0, 0
-            for lines, span in row:
-                s = s.ljust(place) + (lines[k] if k < len(lines) else "")
-                place += sum(widths.get(at + j, 0) + 2 for j in range(span))
-                at += span
-                place = max(place, len(s) + 1)
-            out.line(s)
+    used = sorted(widths)
+    starts = [0]
+    for c in used:
+        starts.append(starts[-1] + widths[c] + 2)
+    for cells in rows:
+        for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            s, parts = 0, []
+            for at, lines, _ in cells:
+                text = lines[k] if k < len(lines) else ""
+                if text:
+                    place = max(starts[bisect_left(used, at)], s + 1 if s else 0)
+                    parts.append(" " * (place - s) + text)
+                    s = place + len(text)
+            out.line("".join(parts))
     out.blank = True
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of pages, then text, all visible text of html, and n_chars and n_lines of it.
 
-    Null or empty html: empty text, 0, 0. Broken markup never fails. Repeated rows, null keys and an empty table pass
-    through; other columns are ignored unless named in keep.
+    Null or empty html: empty text, 0, 0. Broken markup never fails, and time grows with the page's length, whatever is in
+    it. Repeated rows, null keys and an empty table pass through; other columns are ignored unless named in keep.
     """
     own = [f"_k{i}" for i in range(len(keep))]
     narrow = pages.select(*[quoted(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col("html").alias("_html"))

@@ -28,7 +28,7 @@ from .shared import Shelf, components, mix, seed, settle, sieve, slices, small,
 SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99, 3
 #: Sets in a bucket that is compared at once, in a block of what is still large after the last split, and in a block of
 #: the exact comparison.
-BUCKET, LAST_BLOCK, BLOCK = 200, 1500, 256
+BUCKET, LAST_BLOCK, BLOCK = 200, 1000, 256
 #: Pairs that a task holds before it keeps of them only what hangs together.
 PAIRS = 1 << 20
 #: Sketch: one value of 4 bits in each of 128 bins.
