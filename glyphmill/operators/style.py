@@ -16,14 +16,6 @@ REPORT, CAP = 0.33, 0.32
 _OPEN, _CLOSE = "\ue001", "\ue002"
 
 
-def phrase_pattern(phrase: str) -> str:
-    """Case-insensitive; a word boundary on the sides where the phrase has a word character."""
-    word = lambda c: c.isalnum() or c == "_"
-    left = r"(?<![\p{L}\p{N}_])" if word(phrase[0]) else ""
-    right = r"(?![\p{L}\p{N}_])" if word(phrase[-1]) else ""
-    return f"(?iu){left}{re.escape(phrase)}{right}"
-
-
 def _candidates(lexicon: dict[str, list[str]], language: str | None) -> list[str]:
     """A language's phrases, then English ones; without a language all, each once."""
     lists = [lexicon["en"], *[v for k, v in lexicon.items() if k != "en"]] if language is None else [lexicon.get(language, []) if language != "en" else [], lexicon["en"]]
@@ -37,16 +29,56 @@ def _by_language(language: Column, of, lexicon) -> Column:
     return out.otherwise(of("en"))
 
 
+#: Characters that match a plain letter without regard to case, though lower-casing doesn't give it; and these letters.
+_FOLDED = ("ſİıKÅς", "siikåσ")
+_BEFORE, _BEHIND = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def phrase_pattern(phrase: str) -> str:
+    """Case-insensitive; a word boundary on the sides where the phrase has a word character."""
+    return f"(?iu){_BEFORE if _is_word(phrase[0]) else ''}{re.escape(phrase)}{_BEHIND if _is_word(phrase[-1]) else ''}"
+
+
+def _longest_here(phrases: list[str]) -> str:
+    """A pattern that matches nothing but captures the longest phrase that begins where it stands.
+
+    Phrases are dealt by their first character and by whether a word may stand before, so most places cost one look.
+    """
+    heads: dict[str, list[str]] = {}
+    for p in sorted(phrases, key=len, reverse=True):
+        heads.setdefault(p[0], []).append(re.escape(p[1:]) + (_BEHIND if _is_word(p[-1]) else ""))
+    branch = lambda c: f"{re.escape(c)}(?:{'|'.join(heads[c])})"
+    inside, free = ([c for c in heads if _is_word(c) == w] for w in (True, False))
+    parts = [f"(?=[{''.join(inside)}]){_BEFORE}(?:{'|'.join(map(branch, inside))})"] if inside else []
+    return f"(?iu)(?=({'|'.join(parts + list(map(branch, free)))}))"
+
+
+def _begins(phrase: str, other: str) -> bool:
+    """Whether other also stands where phrase was found: it is a beginning of it that ends at a word's end."""
+    return phrase.startswith(other) and (len(phrase) == len(other) or not (_is_word(other[-1]) and _is_word(phrase[len(other)])))
+
+
 def cliches(sentence: Column, language: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """Array of the phrases found, in the order of the lists. One alternation decides whether single phrases are tried."""
+    """Array of the phrases found, in the order of the lists.
+
+    One pass finds the longest phrase at each place; what else begins there is a beginning of that phrase, so a fixed table
+    of them gives the rest. Phrases may overlap. The work grows with the text, hardly with the number of phrases.
+    """
     lexicon = lexicon or CLICHES
 
     def of(lang: str | None) -> Column:
         found = _candidates(lexicon, lang)
-        table = F.arrays_zip(F.split(F.lit("\n".join(found)), "\n").alias("p"), F.split(F.lit("\n".join(map(phrase_pattern, found))), "\n").alias("r"))
-        some = "(?iu)" + "|".join(re.escape(p) for p in sorted(found, key=len, reverse=True))
-        hits = F.transform(F.filter(table, lambda x: F.rlike(sentence, x["r"])), lambda x: x["p"])
-        return F.when(sentence.rlike(some), hits).otherwise(F.array().cast("array<string>"))
+        low = [p.lower() for p in found]
+        places = {p: [k for k, q in enumerate(low) if _begins(p, q)] for p in low}
+        table = F.str_to_map(F.lit("\n".join(f"{p}\t{','.join(map(str, ks))}" for p, ks in places.items())), F.lit("\n"), F.lit("\t"))
+        names = F.split(F.lit("\n".join(found)), "\n")
+        seen = F.array_distinct(F.transform(F.regexp_extract_all(sentence, F.lit(_longest_here(found)), F.lit(1)), lambda m: F.lower(F.translate(m, *_FOLDED))))
+        order = F.array_sort(F.array_distinct(F.flatten(F.transform(seen, lambda m: F.transform(F.split(F.try_element_at(table, m), ","), lambda k: k.cast("int"))))))
+        return F.transform(order, lambda k: F.get(names, k))
 
     return _by_language(language, of, lexicon)
 

@@ -131,7 +131,7 @@ def _sql_cliches() -> str:
     return f"""
 WITH lex(language, k, phrase, pattern) AS (VALUES {", ".join(rows)}),
 docs AS (SELECT doc_id, text, lower(text) AS low, {SQL_LANGUAGE} AS language FROM {SQL_PHRASED}),
-hits AS (SELECT doc_id, k, phrase FROM docs JOIN lex ON lex.language = coalesce(docs.language, 'en') AND contains(low, phrase) WHERE regexp_matches(text, pattern))
+hits AS (SELECT doc_id, k, phrase FROM docs JOIN lex ON lex.language = coalesce(docs.language, 'en') WHERE CASE WHEN contains(low, phrase) THEN regexp_matches(text, pattern) ELSE false END)
 SELECT doc_id, coalesce(string_agg(phrase, '|' ORDER BY k), '') AS phrases FROM docs LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
 
 
