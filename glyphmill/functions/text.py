@@ -10,14 +10,20 @@ from .lexicon import ABBREVIATIONS, ITALIAN_MARKERS
 # ---------------------------------------------------------------- language
 
 
+_CYRILLIC = "[А-Яа-яЇїІіЄєҐґ]"
+
+
 def guess_language_or_null(text: Column) -> Column:
-    """uk by 30 % Cyrillic letters; null under five words; it by a marker word; else en."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    cyrillic = F.regexp_count(text, F.lit("[А-Яа-яЇїІіЄєҐґ]"))
-    n_words = F.size(F.array_remove(F.split(text, r"(?U)\s+", -1), ""))
+    """uk by 30 % Cyrillic letters; null under five words; it by a marker word; else en.
+
+    Letters are counted, as lengths of runs, only where there is a Cyrillic one; five words are looked for from the start.
+    """
+    runs = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    cyrillic = text.rlike(_CYRILLIC) & (runs(f"{_CYRILLIC}+") / F.nullif(runs(r"\p{L}+"), F.lit(0)) >= 0.30)
+    five_words = text.rlike(r"^(?U)\s*+(?:\S++\s++){4}\S")
     padded = F.lower(F.concat(F.lit(" "), text, F.lit(" ")))
     marked = padded.rlike(" (" + "|".join(ITALIAN_MARKERS) + ") ")
-    return F.when(cyrillic / F.nullif(letters, F.lit(0)) >= 0.30, "uk").when(n_words < 5, F.lit(None)).when(marked, "it").otherwise("en")
+    return F.when(cyrillic, "uk").when(~five_words, F.lit(None)).when(marked, "it").otherwise("en")
 
 
 def guess_language(text: Column) -> Column:
