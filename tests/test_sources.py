@@ -1,8 +1,9 @@
 """Files, lists and payloads."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators.code_blocks import code_blocks, extract
+from glyphmill.operators.code_blocks import code_blocks, extract, is_content, is_key, is_technical
 from glyphmill.sources import files, payloads
 
 
@@ -46,6 +47,45 @@ def test_pathological_tag_is_linear():
     assert time.time() - began < 2
 
 
+def test_names_lead_to_copy():
+    of = lambda raw, path: [t for *_, t, _ in extract(raw, path, "content", False)]
+    assert of("<p>Don't stop here, it's fine</p>", "a.html") == ["Don't stop here, it's fine"]
+    assert of('<Card style={{a: 1}} :title="bound value here">Shown to readers</Card>', "a.vue") == ["Shown to readers"]
+    assert of("x.textContent = 'It\\'s all done now'; y.value = 'not for readers'", "a.js") == ["It\\'s all done now"]
+    assert of('i18n.t("Hello dear reader"); i18n.x("Hello other one"); this.$tc("Hello third one")', "a.js") == ["Hello dear reader", "Hello third one"]
+    assert of('{"title": `Words of a title`, "other": "Words of no title"}', "a.js") == ["Words of a title"]
+    assert of('raise E(detail="Words of a detail")\nx = _("Marked for translation")\n  y = "Not a constant"\n# title="In a comment here"', "a.py") == ["Words of a detail", "Marked for translation"]
+    assert of('echo "Words that are echoed"; {{ \'Words of a template\' }}', "a.php") == ["Words that are echoed", "Words of a template"]
+    assert of('flash[:notice] = "Saved your changes" <%= "Words in a page" %>', "a.erb") == ["Saved your changes", "Words in a page"]
+    assert of("<script>t('Not read in scripts')</script><!-- <p>nor in comments</p> --><T>nor parameters of types</T>", "a.html") == []
+    assert of("<p>Words /* with a comment */ inside</p>", "a.tsx") == []  # not as it stands in the file
+
+
+@pytest.mark.parametrize("text", ["${a} is the name", "https://a.b/c d", "text/x-markdown", "snake_case_name", "src/app/main.ts", "../up/one", ".card > .title", "DD/MM/YYYY", "%Y-%m-%d"])
+def test_technical_shapes(text):
+    assert is_technical(text) and not is_content(text)
+
+
+@pytest.mark.parametrize("text", ["a => b and more", "function (x) and more", "return the value", "ends like this;", "let there be x", "CONSTANT_NAME", "short", "12345678 90", "// a comment here"])
+def test_what_is_no_copy(text):
+    assert not is_content(text)
+
+
+def test_references_and_words_are_copy():
+    assert is_content("Tom &amp; Jerry&nbsp;") and is_content("Exported yesterday, functional again") and not is_key("Hello. There")
+
+
+@pytest.mark.parametrize("piece", ["<a x= \"", "<a {", "{", "='", "title=\"", "/*", "<!--", "A.-", "<script", '"', "\\'", "  ", "#", "<p '<p \"", "A='x' "])
+def test_hostile_files_are_linear(piece):
+    import time
+
+    began = time.time()
+    for path in ("a.tsx", "a.py", "a.erb"):
+        extract(piece * (300_000 // len(piece)), path, "both", False)
+    extract(piece * (300_000 // len(piece)), "en.json", "both", True)
+    assert time.time() - began < 10
+
+
 def test_payloads(spark):
     of = lambda s: spark.createDataFrame([("p", s)], "source string, payload string")
     bad = payloads.axe_issues(of("not json")).first()
