@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import quoted, settle
 
-#: Addresses that one window sweeps, about.
-WINDOW_ROWS = 50_000
+#: Addresses that one window sweeps, about; at least RULE_SHARE times the rules that it is given a copy of.
+WINDOW_ROWS, RULE_SHARE = 2_000, 10
 #: The rules of op4: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: What an address gets that no rule fits.
@@ -98,9 +98,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: st
     labels = _reversed(F.col("host"))
     depths = F.filter(F.array(*[F.lit(d) for d in sorted(shape[1])]), lambda d: d <= F.size(labels))
     probes = unique.withColumn("depth", F.explode(depths)).withColumn("prefix", _prefix(labels, F.col("depth")))
-    heads = ruled.select("depth", "prefix").distinct()
-    probes = settle(probes.join(heads, ["depth", "prefix"], "left_semi"))
-    salts = probes.groupBy("depth", "prefix").agg(F.ceil(F.count("*") / window_rows).cast("int").alias("salts"))
+    heads = ruled.groupBy("depth", "prefix").agg(F.count("*").alias("rules"))
+    probes = settle(probes.join(heads.select("depth", "prefix"), ["depth", "prefix"], "left_semi"))
+    asked_of = probes.groupBy("depth", "prefix").agg(F.count("*").alias("n")).join(heads, ["depth", "prefix"])
+    salts = asked_of.select("depth", "prefix", F.ceil(F.col("n") / F.greatest(F.lit(window_rows), RULE_SHARE * F.col("rules"))).cast("int").alias("salts"))
     nothing = F.lit(None).cast(ruled.schema["rule"].dataType)
     asked = probes.join(salts, ["depth", "prefix"]).select(
         "depth", "prefix", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"),
@@ -110,7 +111,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: st
     empty = F.lit(None).cast("string")
     ends = copies.select("depth", "prefix", "salt", F.explode(F.array(F.struct(F.col("lo").alias("key"), F.lit(1).alias("kind")), F.struct(F.col("hi").alias("key"), F.lit(0).alias("kind")))).alias("e"), "level", "rule")
     ends = ends.select("depth", "prefix", "salt", "e.key", "e.kind", "level", "rule", empty.alias("host"), empty.alias("path"))
-    swept = _sweep(asked.unionByName(ends), ["depth", "prefix", "salt"], shape[0]).filter((F.col("kind") == 2) & F.col("active").isNotNull())
+    dealt = asked.unionByName(ends).repartition("depth", "prefix", "salt")  # by itself the plan would leave out the salt
+    swept = _sweep(dealt, ["depth", "prefix", "salt"], shape[0]).filter((F.col("kind") == 2) & F.col("active").isNotNull())
     won = swept.groupBy("host", "path").agg(F.max("active").alias("won"))
     joined = named.join(won.withColumnsRenamed({"host": "_h", "path": "_p"}), (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
     return joined.select(*own, "host", "path", F.col("won.rule").alias("rule"), F.coalesce(F.col("won.verdict"), F.lit(default)).alias("verdict")).withColumnsRenamed(back)
