@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -177,6 +178,15 @@ def test_url_rules_nest(spark):
     for window_rows in (2, 1000):
         got = [(r["page_id"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, rules, ["page_id"], window_rows=window_rows).collect()]
         assert sorted(got, key=str) == sorted([(i, *v) for i, v in enumerate(cases.values())] * 2, key=str)
+    shuffled = urls.filter_urls(pages, rules, ["page_id"])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where nothing is small: windows stay dealt by salt
+    try:
+        shuffled.collect()
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(depth#\d+, prefix#\d+, salt#\d+", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert {r["verdict"] for r in urls.filter_urls(pages, rules.limit(0), ["page_id"]).collect()} == {"allow"}
     assert urls.filter_urls(pages.limit(0), rules, ["page_id"]).count() == 0
 
@@ -448,12 +458,56 @@ def test_html(source, text):
 
 def test_html_deep_and_edges(spark):
     assert html_text.render("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
+    deep = "<div>" * 400 + '<img alt="cat"><pre>a\n  b</pre><ul><li>x<li>y</ul>' + "</div>" * 400
+    assert html_text.render(deep) == "cat\n\na\n  b\n\n- x\n- y"
     assert html_text.render("<a href=\"x>" * 2000).count("x") >= 0
     table = spark.createDataFrame([(1, None, "t"), (1, "<p>x", "t"), (None, "<p>x", "t")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"], r["n_lines"]) for r in html_text.extract(table, ["page_id"]).collect()) == [(0, "x", 1, 1), (1, "", 0, 0), (1, "x", 1, 1)]
     assert html_text.extract(table.limit(0), ["page_id"]).count() == 0
 
 
+def built_page(r, depth=0, seen=True):
+    """A random piece of markup, and the words that a reader sees of it, in order: known as it is built."""
+    word = f"w{r.randrange(10**6)}"
+    kind = r.randrange(14) if depth < 7 else 0
+    if kind < 3:
+        return f" {word} ", [word] if seen else []
+    if kind == 3:
+        return f"<{(h := r.choice(['script', 'style', 'noscript', 'template']))}>{word}</{h}>", []
+    if kind == 4:
+        return f"<!-- <p>{word}</p> -->", []
+    if kind == 5:
+        return f'<img alt="{word}">', [word] if seen else []
+    inner, shown = map(list, zip(*(built_page(r, depth + 1, seen and kind not in (6, 7)) for _ in range(r.randrange(1, 4))), strict=True))
+    body, shown = "".join(inner), [w for ws in shown for w in ws]
+    if kind in (6, 7):
+        return f"<div {r.choice(['hidden', 'style=\"display:none\"', 'STYLE = display:none'])}>{body}</div>", []
+    if kind == 8:
+        return f"<ul><li>{body}<li>{word}</ul>", [*shown, *([word] if seen else [])]
+    if kind == 9:
+        return f"<table><tr><td>{word}<td>{word}x<tr><td>{word}y</table>", [word, word + "x", word + "y"] if seen else []
+    if kind == 10:
+        return f"<p>{word}<div>{body}</div>", [*([word] if seen else []), *shown]
+    return f"<{(t := r.choice(['div', 'section', 'span', 'b', 'blockquote', 'a']))} title='not > shown'>{body}</{t}>", shown
+
+
+def test_all_visible_text_and_nothing_else():
+    r = random.Random(7)
+    for _ in range(300):
+        parts = [built_page(r) for _ in range(6)]
+        got = re.findall(r"w[0-9]+[xy]?", html_text.render("<!doctype html><body>" + "".join(p for p, _ in parts)))
+        assert got == [w for _, ws in parts for w in ws]
+
+
+@pytest.mark.parametrize("piece", ['<a x= "', "<a ", "<!--", "<![CDATA[", "</p", "<p>", "<table><tr><td>", "<b><p>", "&#", "<textarea>", "<li><ul>", "<a b='c", "< ", "<a/", "=", "</table>", "<select><option>", '<td rowspan=65534 colspan=1000>'])
+def test_hostile_pages_are_linear(piece):
+    import time
+
+    began = time.time()
+    html_text.render(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -490,6 +544,20 @@ def test_fences_adapt(spark):
     assert all(got.values())
 
 
+def test_fences_follow_their_group(spark):
+    """Groups with other habits get other fences, on both sides; only a group without any spread takes the fixed distance."""
+    r = random.Random(8)
+    prose = lambda i, src, letters, marks: (i, " ".join("x" * r.choice(letters) + r.choice(marks) for _ in range(60)), "en", src, None)
+    rows = [prose(i, "short", [3, 4, 5], ["", "", "."]) for i in range(200)] + [prose(300 + i, "long", [11, 12, 13, 14, 15], ["", ".", "!", "?.."]) for i in range(200)]
+    rows += [(600 + i, "one two three four five six seven eight nine ten", "en", "same", None) for i in range(200)]
+    rows += [prose(900, "short", [13], [""]), prose(901, "long", [13], [""]), prose(902, "long", [4], [""])]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, DOCS), ["doc_id", "source"]).collect()}
+    fence = {x["source"]: x for x in got.values()}
+    assert fence["short"]["hi_length"] < fence["long"]["lo_length"] and fence["short"]["hi_marks"] < fence["long"]["hi_marks"]
+    assert abs(fence["same"]["hi_length"] - fence["same"]["lo_length"] - 6) < 1e-9
+    assert not got[900]["kept"] and not got[902]["kept"]
+
+
 # ---------------------------------------------------------------- 9
 
 
