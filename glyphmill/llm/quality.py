@@ -97,7 +97,8 @@ def signals(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.regexp_count("_t", F.lit(r"\p{Punct}")).cast("long").alias("n_marks"),
         F.element_at(F.transform(F.array(lines), lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("d"))), 1).alias("_l"),
         repeated_words(windows(F.col("_w"))).alias("n_repeat_words"),
-        F.size(F.filter(F.col("_w"), lambda x, i: (i > 0) & (F.get(F.col("_w"), i - 1) == x))).cast("long").alias("n_same"),
+        # The array is bound once: were the column named inside, a filter pushed down would split the text anew for each word.
+        F.element_at(F.transform(F.array(F.col("_w")), lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (F.get(w, i - 1) == x)))), 1).cast("long").alias("n_same"),
     ).select(
         *keep, "n_words", "word_chars", "n_symbols", "n_marks",
         F.col("_l.n").cast("long").alias("n_lines"), F.col("_l.d").cast("long").alias("n_dup_lines"), "n_repeat_words", "n_same",
@@ -167,7 +168,8 @@ def judge(docs: DataFrame, keep: list[str], reach: float = 1.0, least_rows: int
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & ~over).alias("kept"),
+        # One term of both sides of the join: a filter by it stays above, so no signal is computed a second time to filter early.
+        (F.greatest(failed.cast("int"), over.cast("int")) == 0).alias("kept"),
         *limits,
     )
 

@@ -64,3 +64,14 @@ def test_empty(spark, docs):
     nothing = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, nothing, "").count() == 0
+
+
+def test_quality_stage_is_linear_in_long_texts(spark):
+    """The stage's own filter doesn't reach into the signals, where it would split a text anew for each of its words."""
+    import time
+
+    long = " ".join(f"word{i} stands here." for i in range(60_000))
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "short", "en", "a", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    began = time.time()
+    assert [r.doc_id for r in pipeline.quality_rules(spark, docs, "").select("doc_id").collect()] == [1]
+    assert time.time() - began < 60
