@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir, which all executors share; where it is unset (one machine), in a temporary folder.
+    """A reliable checkpoint in spark.checkpoint.dir, which all executors share; where it is unset, in a temporary folder on a local master only.
 
     For what several plans read and is dear to make again (parsed markup), or what an iteration would pile up.
     """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='glyphmill-')}")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='glyphmill-')}")
     return df.checkpoint(eager=True)
