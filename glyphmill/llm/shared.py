@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -18,17 +19,24 @@ BROADCAST_ROWS = 50_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """A temporary folder for checkpoints, on a local master only: no other machine reads it."""
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset (tests, one machine), a temporary folder is set as checkpoint folder.
+    Where the setting is unset, a local master (tests) takes a temporary folder as checkpoint folder; a cluster fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
+        base = _own_dir(spark)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/glyphmill-{uuid.uuid4().hex}"
 
@@ -45,7 +53,7 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='glyphmill-')}")
+        spark.sparkContext.setCheckpointDir(base or _own_dir(spark))
     return df.checkpoint(eager=True)
 
 
