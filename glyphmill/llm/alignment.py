@@ -11,8 +11,8 @@ a link of a document, a frequent group is one row per segment, and segments boun
 A document that holds a pair in several different groups would count more than once; tasks write these surpluses down,
 summed by pair, and the count takes them off. Counts are therefore exact.
 
-Texts are cut before blanks, where neither tokenizer ever joins (checked against B's vocabulary when it is loaded), and
-the pieces are remembered by worker.
+Long texts are tokenized in stretches that end before a blank, where neither tokenizer ever joins (checked against B's
+vocabulary when it is loaded); groups, their keys and their counts are made with NumPy for some thousand texts at once.
 """
 
 from __future__ import annotations
@@ -31,28 +31,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import _BYTES
-from .shared import Shelf, settle, slices
+from .shared import Shelf, mix, settle, slices
 
-#: A segment ends after so many documents, group references or different groups, and at the end of its task.
+#: A segment ends after so many documents, group references or different groups (about), and at the end of its task.
 SEGMENT_DOCS, SEGMENT_ENTRIES, SEGMENT_GROUPS = 8192, 2_000_000, 150_000
-#: Pieces of text that a worker remembers, and up to what length.
-CACHE_PIECES, CACHE_CHARS = 300_000, 64
-#: Blanks behind white space (or U+180E, which only old tables call white space) are no place to cut.
-_GLUED = re.compile("[\\s᠎] ")
-_CUT = re.compile("(?<=[^\\s᠎])(?= )")
+#: Characters that a tokenizer is given at once, about; more only where a text has no blank to cut at.
+STRETCH = 100_000
+#: A blank before which a text may be cut: what stands before it is no white space (nor U+180E, which old tables call so).
+_CUT = re.compile("(?<=[^\\s\u180e]) ")
 #: What stands for a blank in B's pieces; a text that holds one never reads back as itself.
-_MARK = "▁"
+_MARK = "\u2581"
+#: Fixed value: the pattern by which this kind of byte-level vocabulary splits texts.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose classes all libraries agree on; other texts go through the vocabulary's own library, which is slower.
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u2010-\u2027\u2030-\u205e\u20ac\u2122\u2713\u4e00-\u9fa5]*")
 _STATE: dict = {}
 
 
 class Groups:
-    """Groups of a text under two tokenizers: byte-level BPE (A) and sentencepiece with byte fallback (B).
+    """Token ids of texts under byte-level BPE (A) and sentencepiece with byte fallback (B), and the groups known so far.
 
     Special tokens' strings inside texts are plain text.
     """
 
     def __init__(self, byte_bpe: str, piece_bpe: str) -> None:
+        import json
+
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_bpe)
@@ -62,48 +68,77 @@ class Groups:
         self.a_bytes = [bytes(byte_of[c] for c in self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(names)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in part], np.int64) for part in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id(_MARK)
-        self.joins = any(_MARK in p.lstrip(_MARK) for p in names)  # then a text is one piece
+        self.joins = any(_MARK in p.lstrip(_MARK) for p in names)  # then texts are never cut
+        with open(byte_bpe, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
+        # Where ids follow the order of merges, ranks say the same as merges, and a faster library may apply them.
+        self.fast = None
+        if [model["vocab"].get(x + y) for x, y in pairs] == list(range(256, 256 + len(pairs))):
+            self.fast = Encoding("a", pat_str=_SPLIT, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if i not in special}, special_tokens={})
         self.forget()
 
     def forget(self) -> None:
-        #: piece -> (group ids, A tokens, B tokens, groups as text); key -> id; by id: key, codes of its different pairs.
-        self.known: dict[str, tuple | None] = {}
-        self.ids: dict[str, int] = {}
+        #: hash of a group's ids -> number; by number: key, codes of its different pairs.
+        self.ids: dict[int, int] = {}
         self.keys: list[str] = []
         self.pairs: list[list[int]] = []
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces of blank + text, each beginning with a blank."""
-        if self.joins:
-            return [" " + text]
-        if text[:1] != " " and not _GLUED.search(text):
-            return [" " + x for x in text.split(" ")]
-        return _CUT.split(" " + text)
-
-    def piece(self, piece: str) -> tuple | None:
-        """None if the bytes of A's or B's tokens aren't the piece's own."""
-        a = self.a.encode(piece, add_special_tokens=False).ids
-        b = self.b.encode(piece[1:]) if piece != " " else [self.blank]
-        data = piece.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-            return None
-        keys = [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in self.groups(a, b)]
-        return [self.intern(k) for k in keys], len(a), len(b), ";".join(keys)
+    def cut(self, text: str, stretch: int = STRETCH) -> list[str]:
+        """blank + text in stretches, each beginning with a blank."""
+        out, whole, at = [], " " + text, 0
+        while not self.joins and len(whole) - at > stretch and (found := _CUT.search(whole, at + stretch)):
+            out.append(whole[at : found.start()])
+            at = found.start()
+        return [*out, whole[at:]]
 
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        i = j = 0
-        while i < len(a):
-            from_a, from_b, end_a, end_b = i, j, len(self.a_bytes[a[i]]), len(self.b_bytes[b[j]])
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += len(self.a_bytes[a[i]])
-                    i += 1
-                else:
-                    end_b += len(self.b_bytes[b[j]])
-                    j += 1
-            yield a[from_a:i], b[from_b:j]
+    def encode(self, text: str | None, stretch: int = STRETCH) -> tuple[list[int], list[int]] | None:
+        """A's and B's ids; None if the text is empty or the bytes of its tokens aren't blank + text."""
+        if not text or _MARK in text:
+            return None
+        a: list[int] = []
+        b: list[int] = []
+        for part in self.cut(text, stretch):
+            if self.fast and _PLAIN.fullmatch(part):
+                a += self.fast.encode_ordinary(part)
+            else:
+                own = self.a.encode(part, add_special_tokens=False).ids
+                if b"".join(map(self.a_bytes.__getitem__, own)) != part.encode():
+                    return None
+                a += own
+            b += self.b.encode(part[1:]) if part != " " else [self.blank]
+        return (a, b) if b"".join(map(self.b_bytes.__getitem__, b)) == f" {text}".encode() else None
+
+    def number(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the groups in order, where in a each ends) of ids of the same bytes. A group goes by a 64-bit hash of its ids."""
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        at = np.zeros(int(ends_a[-1]) + 1, np.int32)
+        at[ends_a] = np.arange(1, len(a) + 1)
+        met = at[ends_b]
+        stop_b = np.flatnonzero(met) + 1
+        stop_a = met[stop_b - 1].astype(np.int64)
+        start_a, start_b = (np.concatenate([[0], x[:-1]]) for x in (stop_a, stop_b))
+
+        def hashed(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, side: int) -> np.ndarray:
+            inside = np.arange(len(ids)) - np.repeat(start, stop - start)
+            return np.add.reduceat(mix((ids.astype(np.uint64) << np.uint64(1) | np.uint64(side)) ^ (inside.astype(np.uint64) << np.uint64(24))), start)
+
+        with np.errstate(over="ignore"):
+            code = mix(hashed(a, start_a, stop_a, 0) + mix(hashed(b, start_b, stop_b, 1)))
+        kinds, first, back = np.unique(code, return_index=True, return_inverse=True)
+        own = np.empty(len(kinds), np.int32)
+        for k, (h, i) in enumerate(zip(kinds.tolist(), first.tolist(), strict=True)):
+            n = self.ids.get(h)
+            if n is None:
+                n = self.ids[h] = len(self.keys)
+                key = f"{','.join(map(str, a[start_a[i] : stop_a[i]].tolist()))}|{','.join(map(str, b[start_b[i] : stop_b[i]].tolist()))}"
+                self.keys.append(key)
+                self.pairs.append(list({x << 32 | y for x, y in self.links(key)}))
+            own[k] = n
+        return own[back], stop_a
 
     def links(self, key: str) -> Iterator[tuple[int, int]]:
         """Pairs of ids whose tokens overlap, in order, as often as they do."""
@@ -121,29 +156,6 @@ class Groups:
                 j += 1
                 end_b += len(self.b_bytes[b[j]])
 
-    def intern(self, key: str) -> int:
-        if key not in self.ids:
-            self.ids[key] = len(self.keys)
-            self.keys.append(key)
-            self.pairs.append(list({x << 32 | y for x, y in self.links(key)}))
-        return self.ids[key]
-
-    def of(self, text: str | None) -> list[tuple]:
-        """The pieces' groups in order; none if the text is empty or doesn't read back as itself."""
-        if not text or _MARK in text:
-            return []
-        found, known = [], self.known
-        for p in self.cut(text):
-            have = known.get(p, False)
-            if have is False:
-                have = self.piece(p)
-                if len(p) <= CACHE_CHARS:
-                    known[p] = have
-            if have is None:
-                return []
-            found.append(have)
-        return found
-
 
 def groups_of(byte_bpe: str, piece_bpe: str) -> Groups:
     """The worker's own tokenizers, loaded once."""
@@ -170,23 +182,34 @@ class _Segment:
         self.surplus: Counter = Counter()
         self.entries = 0
 
-    def add(self, doc_id: object, text: str | None, groups: Groups) -> None:
-        found = groups.of(text)
-        if not found:
-            self.rows.append((doc_id, 0, 0, 0, "", [], []))
-            return
-        ids, times = np.unique(np.fromiter(chain.from_iterable([x[0] for x in found]), np.int32), return_counts=True)
-        digest = hashlib.sha256(";".join([x[3] for x in found]).encode()).hexdigest()
-        self.rows.append((doc_id, sum([x[1] for x in found]), sum([x[2] for x in found]), int(times.sum()), digest, ids, times.astype(np.int32)))
-        self.entries += len(ids)
-        own = ids.tolist()
-        self.docs.update(own)
-        pairs = list(chain.from_iterable(map(groups.pairs.__getitem__, own)))
-        if len(set(pairs)) < len(pairs):
-            self.surplus.update({p: n - 1 for p, n in Counter(pairs).items() if n > 1})
+    def add(self, doc_ids: list, texts: list[str | None], groups: Groups) -> None:
+        found = [groups.encode(t) for t in texts]
+        made = [x for x in found if x]
+        if made:
+            a, b = (np.fromiter(chain.from_iterable([x[side] for x in made]), np.int32) for side in (0, 1))
+            numbers, stops = groups.number(a, b)
+            doc_of = np.searchsorted(np.cumsum([len(x[0]) for x in made]), stops)
+            kinds, times = np.unique(doc_of.astype(np.int64) << 32 | numbers, return_counts=True)
+            spans = np.searchsorted(doc_of, np.arange(len(made) + 1))
+            cuts = np.searchsorted(kinds >> 32, np.arange(len(made) + 1))
+            kinds, times, numbers = (kinds & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32), numbers.tolist()
+        k = 0
+        for doc_id, ids in zip(doc_ids, found, strict=True):
+            if not ids:
+                self.rows.append((doc_id, 0, 0, 0, "", [], []))
+                continue
+            keys, own, often = map(groups.keys.__getitem__, numbers[spans[k] : spans[k + 1]]), kinds[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]]
+            self.rows.append((doc_id, len(ids[0]), len(ids[1]), int(spans[k + 1] - spans[k]), hashlib.sha256(";".join(keys).encode()).hexdigest(), own, often))
+            self.entries += len(own)
+            own = own.tolist()
+            self.docs.update(own)
+            pairs = list(chain.from_iterable(map(groups.pairs.__getitem__, own)))
+            if len(set(pairs)) < len(pairs):
+                self.surplus.update({p: n - 1 for p, n in Counter(pairs).items() if n > 1})
+            k += 1
 
     def full(self, groups: Groups, docs: int) -> bool:
-        return len(self.rows) >= docs or self.entries >= SEGMENT_ENTRIES or len(groups.keys) >= SEGMENT_GROUPS or len(groups.known) >= CACHE_PIECES
+        return len(self.rows) >= docs or self.entries >= SEGMENT_ENTRIES or len(groups.keys) >= SEGMENT_GROUPS
 
     def _batch(self, n: int, kind: int, **columns: object) -> pa.RecordBatch:
         given = {"kind": [kind] * n, "segment": [self.number] * n} | columns
@@ -211,13 +234,14 @@ def cut_corpus(docs: DataFrame, byte_bpe: str, piece_bpe: str, segment_docs: int
         for batch in batches:
             segment = segment or _Segment(number, batch.schema.field(0).type)
             for lo, hi in slices(batch.column(1)):
-                for doc_id, text in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), strict=True):
-                    segment.add(doc_id, text, groups)
+                for at in range(lo, hi, segment_docs):
+                    to = min(hi, at + segment_docs)
+                    segment.add(*(batch.column(c)[at:to].to_pylist() for c in (0, 1)), groups)
                     if segment.full(groups, segment_docs):
                         yield from segment.batches(groups)
                         number += 1
                         segment = _Segment(number, batch.schema.field(0).type)
-                        if len(groups.keys) >= SEGMENT_GROUPS or len(groups.known) >= CACHE_PIECES:
+                        if len(groups.keys) >= SEGMENT_GROUPS:
                             groups.forget()
         if segment:
             yield from segment.batches(groups)
@@ -285,8 +309,7 @@ def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, segment_docs: int = SE
     n_best: links whose pair has the highest count of its A id, ties included; count_sum: counts summed over links;
     groups_sha256: of the groups `a1,a2|b1;...` in order. Texts that are null or empty, or whose tokens' bytes aren't
     blank + text, have no tokens: zeros and ''. Null doc_id is kept; repeated rows count as documents of their own; other
-    columns are ignored; very long texts are cut into pieces, and what isn't cut before a blank is one piece; an empty
-    table gives an empty result. A text is read and tokenized once.
+    columns are ignored; long texts are tokenized in stretches; an empty table gives an empty result. A text is read and tokenized once.
     """
     shelf = Shelf(docs.sparkSession)
     cut = shelf.put(cut_corpus(docs, byte_bpe, piece_bpe, segment_docs))

@@ -234,14 +234,16 @@ def test_alignment_matches_brute_force(spark):
     same([tuple(r) for r in alignment.align(docs, *paths()).collect()], aligned(rows))
 
 
-def test_pieces_read_like_whole_texts():
+def test_stretches_read_like_whole_texts():
     groups = alignment.Groups(*paths())
+    slow = alignment.Groups(*paths())
+    slow.fast = None
+    assert groups.fast and not groups.joins
     rng = random.Random(17)
-    for _ in range(400):
-        text = "".join(rng.choices(["word", "it's", " ", "  ", "\n", "\n ", " \n", "é", "漢字", "12", "...", "  ", "᠎ ", "\x1c ", "<s>", "x "], k=12))
-        parts = groups.of(text)
-        whole = groups.piece(" " + text)
-        assert (whole is None) == (not parts) and (whole is None or ";".join(p[3] for p in parts) == whole[3]), repr(text)
+    for _ in range(600):
+        text = "".join(rng.choices(["word", "it's", " ", "  ", "\n", "\n ", " \n", "é", "漢字", "12", "...", "\u3000 ", "\u180e ", "\x1c ", "\xa0", "<s>", "x ", "<|endoftext|>", "\u0301", "Ж"], k=14))
+        whole = groups.encode(text, 10**9)
+        assert groups.encode(text, 1) == whole == slow.encode(text, 3), repr(text)
 
 
 def test_alignment_small_segments(spark):
