@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import binding, colour, contrast, host_of
+from ..sources.css import small_blocks_dropped
 from ..sources.dom import elements
 from .stage import settle
 
@@ -181,7 +182,6 @@ def document_facts(rows: DataFrame) -> DataFrame:
     name = F.lower(_value("name"))
     stylesheet = link & F.array_contains("rel", "stylesheet")
     blocking = head & ((script & (_value("src") != "") & ~_has("async") & ~_has("defer") & (_value("type") != "module")) | (stylesheet & F.lower(F.coalesce(F.nullif(_at("media"), F.lit("")), F.lit("all"))).isin("all", "screen")))
-    label_for = F.coalesce(F.nullif(_at("for"), F.lit("")), _at("htmlfor"))
     role = F.lower(F.trim(_value("role")))
     url = F.coalesce(F.nullif(_at("src"), F.lit("")), _at("href"), F.lit(""))
     languages = "(?i)/(en|uk|it|de|fr|es|pl)"
@@ -193,9 +193,7 @@ def document_facts(rows: DataFrame) -> DataFrame:
         F.max(_tag("body")).alias("has_body"),
         first(_tag("title"), _place()).alias("title"),
         F.count_if(_tag("h1") & (F.col("text") != "")).alias("n_h1"),
-        F.collect_list(F.when(_has("id"), F.struct(_at("id").alias("id"), "pos", "text"))).alias("ids"),
         some(_has("id") & body, _at("id")).alias("body_ids"),
-        some(_tag("label") & (F.col("text") != ""), label_for).alias("label_for"),
         first(meta & (name == "description"), _place()).alias("description"),
         F.sort_array(F.collect_list(F.when(link & F.array_contains("rel", "canonical"), F.struct("pos", "selector", "line", "snippet")))).alias("canonical"),
         some(meta, F.lower(F.coalesce(F.nullif(_at("property"), F.lit("")), F.nullif(_at("name"), F.lit("")), F.lit("")))).alias("meta_names"),
@@ -213,27 +211,75 @@ def document_facts(rows: DataFrame) -> DataFrame:
     )
 
 
-def descendant_facts(rows: DataFrame) -> DataFrame:
-    """(doc_id, pos, ...): counts over an element's descendants of the few kinds that rules ask for."""
-    kinds = rows.filter(_tag("tr", "th", "track", "img", "a", "li", "abbr"))
-    up = kinds.select("doc_id", F.explode("ancestor_pos").alias("_up"), "pos", "tag", "attr", "own")
-    return up.groupBy("doc_id", F.col("_up").alias("pos")).agg(
-        F.count_if(_tag("tr")).alias("n_tr"), F.count_if(_tag("th")).alias("n_th"), F.count_if(_tag("th") & (_value("scope") != "")).alias("n_scoped"),
-        F.count_if(_tag("track")).alias("n_tracks"), F.count_if(_tag("track") & F.lower(_value("kind")).isin("captions", "subtitles")).alias("n_captions"),
-        F.count_if(_tag("img")).alias("n_img"), F.min_by(F.when(_tag("img"), F.trim(_value("alt"))), F.when(_tag("img"), F.col("pos"))).alias("img_alt"),
-        F.count_if(_tag("a", "li")).alias("n_items"), F.collect_set(F.when(_tag("abbr"), F.col("own"))).alias("abbrs"),
-    )
+#: What is counted among an element's descendants, by name.
+COUNTED = {
+    "n_tr": lambda: _tag("tr"), "n_th": lambda: _tag("th"), "n_scoped": lambda: _tag("th") & (_value("scope") != ""), "n_tracks": lambda: _tag("track"),
+    "n_captions": lambda: _tag("track") & F.lower(_value("kind")).isin("captions", "subtitles"), "n_img": lambda: _tag("img"), "n_items": lambda: _tag("a", "li"),
+}
+
+
+def with_descendants(rows: DataFrame) -> DataFrame:
+    """The elements of rows with counts of some kinds of descendants (COUNTED), and img_alt, the trimmed alt of the first image below.
+
+    A running count over the document, taken at an element and where its descendants end: linear, however deep they are.
+    """
+    by_doc = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+    counted = rows.withColumns({f"_{c}": F.count_if(kind()).over(by_doc) for c, kind in COUNTED.items()})
+    counted = counted.withColumn("_img", F.last(F.when(_tag("img"), F.struct("pos", F.trim(_value("alt")).alias("alt"))), ignorenulls=True).over(later))
+    ends = rows.select("doc_id", F.col("pos").alias("last"), *[F.count_if(kind()).over(by_doc).alias(f"_e{c}") for c, kind in COUNTED.items()])
+    out = elements(counted).join(ends, ["doc_id", "last"])
+    out = out.withColumns({c: F.col(f"_e{c}") - F.col(f"_{c}") for c in COUNTED} | {"img_alt": F.when(F.col("_img.pos") <= F.col("last"), F.col("_img.alt"))})
+    return out.drop("_img", *[f"_{c}" for c in COUNTED], *[f"_e{c}" for c in COUNTED])
+
+
+def next_after(probes: DataFrame, marks: DataFrame, part: list[str]) -> DataFrame:
+    """probes (part ..., at, ...) with next: the first of marks (part ..., at, value) behind at, as struct(at, value); null without one."""
+    own = [c for c in probes.columns if c not in part]
+    nothing = F.lit(None).cast(f"struct<at:int,value:{marks.schema['value'].dataType.simpleString()}>")
+    asked = probes.select(*part, F.col("at").cast("int").alias("_at"), F.lit(0).alias("_kind"), F.struct(*own).alias("_own"), nothing.alias("_mark"))
+    given = marks.select(*part, F.col("at").cast("int").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(asked.schema["_own"].dataType).alias("_own"), F.struct(F.col("at").cast("int").alias("at"), "value").alias("_mark"))
+    later = W.partitionBy(*part).orderBy(F.desc("_at"), "_kind").rowsBetween(W.unboundedPreceding, 0)
+    swept = asked.unionByName(given).withColumn("next", F.last("_mark", ignorenulls=True).over(later)).filter("_kind = 0")
+    return swept.select(*part, *[F.col(f"_own.{c}").alias(c) for c in own], "next")
+
+
+def references(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What elements refer to by id: (doc_id, pos, labelled_by), (doc_id, pos, broken: map of attribute to missing ids), (doc_id, pos, for_label).
+
+    Tokens are rows and meet ids by key; no row carries the ids of its document.
+    """
+    tokens = lambda name: F.array_remove(F.split(_value(name), r"\s+", -1), "")
+    ids = e.filter(_has("id")).select("doc_id", _at("id").alias("id"), "pos", "text")
+    asked = e.filter(F.trim(_value("aria-labelledby")) != "").select("doc_id", "pos", F.explode(F.array_distinct(F.split(F.trim(_value("aria-labelledby")), r"\s+"))).alias("id"), F.col("parent").alias("at"), "parent_last")
+    met = next_after(asked, ids.filter("text <> ''").select("doc_id", "id", F.col("pos").alias("at"), F.col("text").alias("value")), ["doc_id", "id"])
+    named = met.filter("next.at <= parent_last").groupBy("doc_id", "pos").agg(F.min("next")["value"].alias("labelled_by"))
+    kinds = F.array(*[F.struct(F.lit(n).alias("attribute"), tokens(n).alias("tokens")) for n in REFERRING])
+    some = F.lit(False)
+    for n in REFERRING:
+        some |= _has(n)
+    asks = e.filter(some).select("doc_id", "pos", F.explode(kinds).alias("k")).select("doc_id", "pos", "k.attribute", F.posexplode("k.tokens").alias("nth", "id"))
+    missing = asks.join(ids.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
+    listed = missing.groupBy("doc_id", "pos", "attribute").agg(F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("m"))
+    broken = listed.groupBy("doc_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("attribute", F.array_join(F.transform("m", lambda x: x["id"]), " ")))).alias("broken"))
+    label_for = F.coalesce(F.nullif(_at("for"), F.lit("")), _at("htmlfor"))
+    labels = e.filter(_tag("label") & (F.col("text") != "")).select("doc_id", label_for.alias("id")).filter("id is not null").distinct()
+    fields = e.filter(_tag("input", "select", "textarea") & (_value("id") != "")).select("doc_id", "pos", _at("id").alias("id"))
+    return named, broken, fields.join(labels, ["doc_id", "id"]).select("doc_id", "pos", F.lit(True).alias("for_label"))
+
+
+#: Attributes that name other elements by id.
+REFERRING = ("aria-labelledby", "aria-describedby", "aria-controls", "aria-owns")
 
 
 # ---------------------------------------------------------------- CSS
 
 
-def without_small_screens(css: Column) -> Column:
-    """CSS without @media blocks whose first max-width is at most 900px; a block ends with its own braces."""
-    inner = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
-    blocks = F.regexp_extract_all(css, F.lit(r"@media[^{]*\{" + inner + r"(?:\}|$)"), 0)
-    small = F.filter(blocks, lambda b: F.coalesce(F.regexp_extract(b, r"max-width\s*:\s*(\d+)px", 1).try_cast("int"), F.lit(99_999)) <= 900)
-    return F.aggregate(small, css, lambda s, b: F.replace(s, b, F.lit("")))
+def without_small_screens(rows: DataFrame, css: Column) -> DataFrame:
+    """rows with _css: their CSS without blocks for small screens. Only what has @media in it leaves the JVM."""
+    named = rows.withColumn("_css", css).filter(F.col("_css").isNotNull())
+    media = F.contains("_css", F.lit("@media"))
+    return named.filter(~media).unionByName(named.filter(media).withColumn("_css", small_blocks_dropped("_css")))
 
 
 # ---------------------------------------------------------------- rules
@@ -242,9 +288,7 @@ def without_small_screens(css: Column) -> Column:
 def _name() -> Column:
     """A rough accessible name: label, title, labelled-by inside the parent, alt, a button's value, text, an image's alt."""
     filled = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
-    tokens = F.split(F.trim(_value("aria-labelledby")), r"\s+")
-    found = F.filter("ids", lambda i: F.array_contains(tokens, i["id"]) & (i["pos"] > F.col("parent")) & (i["pos"] <= F.col("parent_last")) & (i["text"] != ""))
-    by = F.when(F.trim(_value("aria-labelledby")) != "", F.get(F.transform(found, lambda i: i["text"]), F.lit(0)))
+    by = F.col("labelled_by")
     value = F.when(_tag("input") & F.lower(_value("type")).isin("submit", "button", "reset"), filled(_at("value")))
     return F.coalesce(filled(_at("aria-label")), filled(_at("title")), by, F.when(_tag("img"), F.trim(_value("alt"))), value, filled(F.col("text")), F.col("img_alt"), F.lit(""))
 
@@ -260,7 +304,7 @@ def _element_rules() -> list[Column]:
     rule("image-alt", img & ~_has("alt"), _details(src=F.substring(src, 1, 120)), fix=opening_tag("alt", ""))
     alt = F.trim(_value("alt"))
     rule("image-alt-filename", img & alt.rlike(r"(?i)^[\p{L}\p{N}_\-. ]+\.(png|jpe?g|gif|svg|webp|avif)$"), _details(alt=alt))
-    labelled = _inside("label") | ((_value("id") != "") & F.array_contains("label_for", _at("id")))
+    labelled = _inside("label") | F.col("for_label")
     control = _tag(*INTERACTIVE) & ~(_tag("input") & F.lower(F.coalesce(_at("type"), F.lit("text"))).isin(UNLABELLED_INPUTS)) & (~_tag("a") | _has("href"))
     rule("control-name", control & ~(_tag("input", "select", "textarea") & F.coalesce(labelled, F.lit(False))) & (_name() == "") & (_value("aria-hidden") != "true"), _details(element=F.col("tag")))
     said = F.regexp_replace(F.lower("text"), r"^[ .!?:»«\"']+|[ .!?:»«\"']+$", "")
@@ -270,10 +314,9 @@ def _element_rules() -> list[Column]:
     index = F.trim(_value("tabindex")).try_cast("int")
     rule("tabindex-positive", index > 0, _details(value=index, element=F.col("tag")), fix=opening_tag("tabindex", "0"))
     rule("duplicate-id", (F.trim(_value("id")) != "") & (F.col("id_rank") > 1), _details(id=F.trim(_at("id"))))
-    known = F.transform("ids", lambda i: i["id"])
-    for name in ("aria-labelledby", "aria-describedby", "aria-controls", "aria-owns"):
-        missing = F.filter(F.array_remove(F.split(_value(name), r"\s+", -1), ""), lambda t: ~F.array_contains(known, t))
-        rule("aria-reference-broken", F.size(missing) > 0, _details(attribute=name, missing=F.array_join(missing, " ")))
+    for name in REFERRING:
+        missing = F.try_element_at("broken", F.lit(name))
+        rule("aria-reference-broken", missing.isNotNull(), _details(attribute=name, missing=missing))
     rule("button-type", _tag("button") & (_value("type") == "") & _inside("form"), fix=opening_tag("type", "button"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     rule("media-captions", media & (none("n_captions") == 0), _details(element=F.col("tag"), tracks=none("n_tracks")))
@@ -393,19 +436,19 @@ def issues(rows: DataFrame) -> DataFrame:
     by_doc = W.partitionBy("doc_id").orderBy("pos")
     upto = by_doc.rowsBetween(W.unboundedPreceding, -1)
     e = elements(rows)
-    langs = e.filter(_has("lang") & (F.col("tag") != "")).groupBy("doc_id").agg(F.collect_set("pos").alias("lang_pos"))
-    ranked = e.withColumns(
+    ranked = with_descendants(rows).withColumns(
         {
             "before": F.when(heading.isNotNull(), F.last(heading, ignorenulls=True).over(upto)),
             "img_rank": F.count_if(_tag("img")).over(by_doc.rowsBetween(W.unboundedPreceding, 0)),
             "id_rank": F.row_number().over(W.partitionBy("doc_id", F.trim(_value("id"))).orderBy("pos")),
         }
     )
-    known = ranked.join(descendant_facts(e), ["doc_id", "pos"], "left").join(facts.select("doc_id", "ids", "label_for", "html"), "doc_id").join(langs, "doc_id", "left")
-    known = known.withColumn("lang_above", F.coalesce(F.arrays_overlap("ancestor_pos", "lang_pos"), F.lit(False)))
+    known = ranked.join(facts.select("doc_id", "html"), "doc_id")
+    for found in references(e):
+        known = known.join(found, ["doc_id", "pos"], "left")
     some = lambda cols: F.explode(F.array_compact(F.array(*cols))).alias("i")
     css = F.when(_tag("style"), F.col("text")).otherwise(_at("style"))
-    styled = known.withColumn("_css", without_small_screens(css)).filter(F.col("_css").isNotNull())
+    styled = without_small_screens(known, css)
     single = known.select("doc_id", "source", "kind", some(_element_rules()))
     sheets = styled.select("doc_id", "source", "kind", F.explode(F.flatten(F.array(*[F.array_compact(F.transform(F.regexp_extract_all("_css", F.lit(p), 0), f)) for _, p, f in _css_rules()]))).alias("i"))
     crumbs = [F.array_contains("classes", "breadcrumb"), F.array_contains("classes", "breadcrumbs"), *[_value("aria-label") == v for v in ("breadcrumb", "Breadcrumbs", "Breadcrumb")]]
@@ -414,9 +457,11 @@ def issues(rows: DataFrame) -> DataFrame:
     trail = trail.select("doc_id", "source", "kind", _issue("breadcrumb-markup", _details(element=F.col("tag")), fix=F.lit('<nav aria-label="breadcrumb"><ol>…</ol></nav>')).alias("i"))
     t = rows.filter(_tag("#text", "#comment", "#doctype")).alias("t")
     up = e.select("doc_id", F.col("pos").alias("parent"), F.col("tag").alias("_tag"), F.col("selector").alias("_selector"), F.col("line").alias("_line"))
-    held = descendant_facts(e).select("doc_id", F.col("pos").alias("parent"), "abbrs")
-    short = F.filter(F.array(*[F.lit(x) for x in sorted(ABBREVIATIONS)]), lambda x: F.contains(F.col("text"), x) & ~F.exists(F.coalesce("abbrs", F.array().cast("array<string>")), lambda y: F.contains(y, x)))
-    spelled = t.join(up, ["doc_id", "parent"], "left").join(held, ["doc_id", "parent"], "left").filter(F.coalesce("_tag", F.lit("")).isin("script", "style", "code", "pre", "abbr") == F.lit(False)).withColumn("_a", F.get(short, F.lit(0))).filter(F.col("_a").isNotNull())
+    short = lambda text: F.explode(F.filter(F.array(*[F.lit(x) for x in sorted(ABBREVIATIONS)]), lambda x: F.contains(text, x))).alias("_a")
+    told = e.filter(_tag("abbr")).select("doc_id", short(F.col("own")), F.col("pos").alias("at"), F.lit(True).alias("value"))
+    said = t.join(up, ["doc_id", "parent"], "left").filter(~F.coalesce("_tag", F.lit("")).isin("script", "style", "code", "pre", "abbr")).select("doc_id", "source", "kind", "pos", F.col("parent").alias("at"), "parent_last", "_selector", "_line", short(F.col("text")))
+    unsaid = next_after(said, told, ["doc_id", "_a"]).filter("next is null or next.at > parent_last")
+    spelled = unsaid.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "pos").orderBy("_a"))).filter("_n = 1")
     # Of several abbreviations in one text the first by code point is named.
     spelled = spelled.select(
         "doc_id", "source", "kind",

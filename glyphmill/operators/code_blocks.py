@@ -7,6 +7,7 @@ between tags. What counts as copy is decided by names that lead to a literal and
 
 from __future__ import annotations
 
+from bisect import bisect_left
 import re
 import string
 from collections.abc import Iterator
@@ -431,7 +432,8 @@ def code_blocks(files: DataFrame, scope: str = "content") -> DataFrame:
                 rows = extract(text or "", path, scope, locale)
                 if rows:
                     start, end, body, kind = map(list, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([text.count("\n", 0, s) + 1 for s in start], pa.int32()), pa.array(body), pa.array(kind)], ["path", "start", "end", "line", "text", "kind"])
+                    breaks = [m.start() for m in re.finditer("\n", text)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([bisect_left(breaks, s) + 1 for s in start], pa.int32()), pa.array(body), pa.array(kind)], ["path", "start", "end", "line", "text", "kind"])
 
     found = files.select("path", "text", is_locale_file(F.col("path")).alias("_l")).mapInArrow(run, "path string, start int, end int, line int, text string, kind string")
     return found.select(F.substring(F.sha2(F.concat_ws("|", "path", F.col("start").cast("string"), "text"), 256), 1, 16).alias("block_id"), "*", T.guess_language(F.col("text")).alias("language_hint"))

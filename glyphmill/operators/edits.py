@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def splice(texts: DataFrame, edits: DataFrame, key: str = "block_id") -> DataFrame:
+def splice(texts: DataFrame, edits: DataFrame, key: str = "block_id", order: Column | None = None) -> DataFrame:
     """(key, text) of texts (key, text) with edits (key, start, end, new) made.
 
-    Edits don't overlap (see keep_disjoint). The pieces between edits are cut from the original, so order and lengths of
+    Edits don't overlap (see keep_disjoint); insertions (start is end) at one place stand in the order of `order`, before
+    what is replaced there. The pieces between edits are cut from the original, so order and lengths of
     the replacements don't matter; a text without edits stays as it is.
     """
-    by_text = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_e"))
+    by_text = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.lit(0) if order is None else order).alias("_o"), "new"))).alias("_e"))
     joined = texts.join(by_text, key, "left")
 
     def pieces(e: Column) -> Column:

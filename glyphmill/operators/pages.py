@@ -29,9 +29,7 @@ def page_blocks(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = settle(nodes(pages, "doc_id", "html", "source"))
     e = elements(rows)
     c = e.filter(F.col("tag").isin(CANDIDATES)).withColumn("skipped", F.arrays_overlap("ancestors", F.array(*[F.lit(s) for s in SKIP])))
-    up = c.select("doc_id", "pos", "text", F.explode("ancestor_pos").alias("up"))
-    same = up.join(c.select("doc_id", F.col("pos").alias("up"), F.col("text").alias("up_text")), ["doc_id", "up"]).filter(F.col("text") == F.col("up_text")).select("doc_id", "pos").distinct().withColumn("repeats", F.lit(True))
-    judged = c.join(same, ["doc_id", "pos"], "left").withColumn("fate", F.when(F.col("skipped"), "skipped").when(F.length("text") < SHORTEST, F.when(F.col("text") != "", "short").otherwise("empty")).when(F.col("repeats"), "repeat").otherwise("kept"))
+    judged = c.withColumn("fate", F.when(F.col("skipped"), "skipped").when(F.length("text") < SHORTEST, F.when(F.col("text") != "", "short").otherwise("empty")).when(F.col("repeats"), "repeat").otherwise("kept"))
     own = e.filter(F.col("tag").isin(CONTAINERS) & ~F.arrays_overlap("ancestors", F.array(*[F.lit(s) for s in SKIP])) & (F.col("own") != ""))
     own = own.withColumn("fate", F.when(F.length("own") < SHORTEST, "short").otherwise("kept"))
     cols = lambda text, kind: (_block_id(kind).alias("block_id"), F.col("doc_id"), F.col("source"), F.col("selector").alias("dom_path"), F.col("pos"), F.col("line"), F.col(text).alias("text"), T.guess_language(F.col(text)).alias("language_hint"), F.lit(kind).alias("kind"))

@@ -15,19 +15,23 @@ UNSEEN = ["script", "style", "template", "noscript"]
 def following_text(rows: DataFrame) -> DataFrame:
     """(doc_id, pos, context) of each heading that elements follow beside it: their text up to the next heading, 300 characters.
 
-    rows: DOM rows. Each text meets, for each element around it, the last heading before that element under the same
-    parent: a row per text and level, no text beside every heading. A section is gathered only as far as it is shown.
+    rows: DOM rows. A section is a range of the document's texts, from the heading's end to the next heading under the same
+    parent or the parent's end; it meets its first texts by their numbers, never more than it shows.
     """
-    headings = rows.filter(F.col("tag").isin(HEADINGS)).select("doc_id", "parent", F.col("pos").alias("at"), F.lit(True).alias("_h"), F.lit(-1).alias("pos"), F.lit("").alias("text"))
-    seen = rows.filter((F.col("tag") == "#text") & ~F.arrays_overlap("ancestors", F.array(*[F.lit(t) for t in UNSEEN]))).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).filter("text <> ''")
-    levels = seen.select("doc_id", "pos", "text", "ancestor_pos", "ancestors", F.posexplode("ancestor_pos").alias("_k", "at")).filter(~F.get("ancestors", F.col("_k")).isin(HEADINGS))
-    inside = levels.select("doc_id", F.coalesce(F.get("ancestor_pos", F.col("_k") - 1), F.lit(-1)).alias("parent"), "at", F.lit(False).alias("_h"), "pos", "text")
-    before = W.partitionBy("doc_id", "parent").orderBy("at", "pos").rowsBetween(W.unboundedPreceding, 0)
-    owned = headings.unionByName(inside).withColumn("_head", F.last(F.when(F.col("_h"), F.col("at")), ignorenulls=True).over(before)).filter("NOT _h AND _head IS NOT NULL")
-    so_far = F.coalesce(F.sum(F.length("text")).over(W.partitionBy("doc_id", "_head").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    near = owned.withColumn("_n", so_far).filter(F.col("_n") <= GATHERED)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    return near.groupBy("doc_id", F.col("_head").alias("pos")).agg(F.substring(joined, 1, CONTEXT).alias("context"))
+    shown = (F.col("tag") == "#text") & ~F.arrays_overlap("ancestors", F.array(*[F.lit(t) for t in UNSEEN])) & (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    by_doc = W.partitionBy("doc_id").orderBy("pos")
+    numbered = rows.select("doc_id", "pos", "parent", "parent_last", "last", "tag", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), shown.alias("shown")).withColumn("n", F.count_if("shown").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
+    texts = numbered.filter("shown").select("doc_id", "n", "text", "parent")
+    heads = rows.filter(F.col("tag").isin(HEADINGS)).select("doc_id", "pos", "last", (F.lead("pos").over(W.partitionBy("doc_id", "parent").orderBy("pos")) - 1).alias("_next"), "parent_last", "parent")
+    heads = heads.withColumn("_end", F.coalesce("_next", F.when(F.col("parent") >= 0, F.col("parent_last")), F.col("parent_last") - 1))
+    at = lambda name, c: numbered.select("doc_id", F.col("pos").alias(c), F.col("n").alias(name))
+    ranged = heads.join(at("_from", "last"), ["doc_id", "last"]).join(at("_to", "_end"), ["doc_id", "_end"])
+    asked = ranged.filter("_to > _from").select("doc_id", "pos", "parent", F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_to"), F.col("_from") + GATHERED + 1))).alias("n"))
+    owned = asked.join(texts.withColumnRenamed("parent", "_beside"), ["doc_id", "n"]).filter(F.col("_beside") != F.col("parent"))
+    so_far = F.coalesce(F.sum(F.length("text")).over(W.partitionBy("doc_id", "pos").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    near = owned.withColumn("_so_far", so_far).filter(F.col("_so_far") <= GATHERED)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ")
+    return near.groupBy("doc_id", "pos").agg(F.substring(joined, 1, CONTEXT).alias("context"))
 
 
 def review_candidates(rows: DataFrame) -> DataFrame:

@@ -50,21 +50,70 @@ def is_locale_file(path: Column) -> Column:
     return path.rlike(r"(?i)\.(json|ya?ml)$") & (path.rlike(rf"(?i)(?:^|/)(?:{folders})/") | path.rlike(r"(?:^|/)[a-z]{2,3}(?:[-_][A-Za-z]{2,4})?\.[A-Za-z]+$"))
 
 
+def _rules(rel: Column, extensions: list[str], ignore: list[str] | None) -> Column:
+    suffix = F.lower(F.regexp_extract(rel, r"(\.[^./]*)$", 1))
+    return (suffix.isin([e.lower() for e in extensions]) | is_locale_file(rel)) & ~rel.rlike(ignore_regex([*IGNORED, *(ignore or [])]))
+
+
+def _relative(path: Column, root: str) -> Column:
+    base = root.rstrip("/") + "/"
+    return F.regexp_replace(path, "^.*?" + re.escape(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", base)), "")
+
+
+def list_files(spark: SparkSession, root: str, extensions: list[str], ignore: list[str] | None = None) -> DataFrame:
+    """(path, bytes, wanted) of all files under root, from the listing alone: no content is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    rel = _relative(F.col("path"), root)
+    return files.select(rel.alias("path"), F.col("length").alias("bytes"), _rules(rel, extensions, ignore).alias("wanted"))
+
+
 def scan_files(spark: SparkSession, root: str, extensions: list[str], ignore: list[str] | None = None, max_files: int = 0, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, text, error) of the files under root, by path; 0 files: without limit.
+    """(path, text, error) of the files under root; 0 files: without limit, else the first by path.
 
-    Extension and ignore rules act on the listing, before contents are read. Files over max_bytes and files that aren't
-    UTF-8 are error rows. Locale files count whatever the extension.
+    Extension, ignore and size rules act on the files' metadata, so the plan opens no file that they exclude; a limit is
+    the path of the last file that counts, found in the listing. Files over max_bytes and files that aren't UTF-8 are error
+    rows. Locale files count whatever the extension.
     """
-    base = root.rstrip("/") + "/"
+    listed = list_files(spark, root, extensions, ignore).filter("wanted")
+    uri, size = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), F.col("_metadata.file_size")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    tail = F.regexp_replace(F.col("path"), "^.*?" + re.escape(re.sub(r"^file:/*", "/", base)), "")
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    wanted = files.withColumn("rel", tail).filter((suffix.isin([e.lower() for e in extensions]) | is_locale_file(F.col("rel"))) & ~F.col("rel").rlike(ignore_regex([*IGNORED, *(ignore or [])])))
-    wanted = wanted.orderBy("rel").limit(max_files) if max_files else wanted
-    large = F.col("length") > max_bytes
-    text = F.when(~large & F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return wanted.select(F.col("rel").alias("path"), text.alias("text"), F.when(large, "too large").when(text.isNull(), "not UTF-8").alias("error"))
+    chosen = files.filter(_rules(_relative(uri, root), extensions, ignore) & (size <= max_bytes))
+    if max_files:
+        last = listed.select("path").orderBy("path").offset(max_files - 1).limit(1).collect()
+        if last:
+            listed, chosen = listed.filter(F.col("path") <= last[0].path), chosen.filter(_relative(uri, root) <= last[0].path)
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    read = chosen.select(_relative(F.col("path"), root).alias("path"), text.alias("text")).withColumn("error", F.when(F.col("text").isNull(), "not UTF-8"))
+    large = listed.filter(F.col("bytes") > max_bytes).select("path", F.lit(None).cast("string").alias("text"), F.lit("too large").alias("error"))
+    return read.unionByName(large)
+
+
+def _one_file(spark: SparkSession, path: str, name: str, max_bytes: int) -> DataFrame:
+    file = spark.read.format("binaryFile").load(path).select(F.when(F.col("length") <= max_bytes, F.col("content").cast("string")).alias("t"), "length")
+    text = F.when(F.is_valid_utf8("t"), F.col("t"))
+    return file.select(F.lit(name).alias("path"), text.alias("text"), F.when(F.col("length") > max_bytes, "too large").when(text.isNull(), "not UTF-8").alias("error"))
+
+
+def collect_files(spark: SparkSession, paths: list[str], extensions: list[str], ignore: list[str] | None = None, max_files: int = 0, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, list[str]]:
+    """((root, path, text, error) of what the paths name, paths that don't exist).
+
+    A folder is scanned by the rules; a file that is named itself is read whatever they say, but for its size. The paths
+    are the user's own few; a missing one is named instead of making the scan look clean.
+    """
+    conf, out, missing = spark.sparkContext._jsc.hadoopConfiguration(), None, []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            missing.append(path)
+            continue
+        if fs.getFileStatus(p).isDirectory():
+            found = scan_files(spark, path, extensions, ignore, max_files, max_bytes)
+        else:
+            found = _one_file(spark, path, p.getName(), max_bytes)
+        found = found.select(F.lit(path).alias("root"), "path", "text", "error")
+        out = found if out is None else out.unionByName(found)
+    return (spark.createDataFrame([], "root string, path string, text string, error string") if out is None else out), missing
 
 
 def parse_suppressions(lines: DataFrame) -> DataFrame:
