@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 SMALLEST = "/root/testdata/sf0.001"
-MODULES = ["text_queries", "page_queries", "report_queries", "operation_queries"]
+MODULES = ["text_queries", "page_queries", "report_queries", "operation_queries", "rule_queries"]
 SQL = {k: q for m in MODULES for k, q in importlib.import_module(f"glyphmill.plans.{m}").SQL.items()}
 QUERIES = {k: f for m in MODULES for k, f in importlib.import_module(f"glyphmill.plans.{m}").QUERIES.items()}
 
