@@ -92,8 +92,9 @@ def _leads(index: DataFrame, items: Items) -> DataFrame:
 
 
 def _held(asked: DataFrame, index: DataFrame, n: int) -> DataFrame:
-    """Those of asked (k1, k2, term, pos, ...; n rows) that have a posting. Other texts' postings stay out of the shuffle."""
-    near = sieve(index, F.col("k1"), asked.select(F.col("k1").alias("k")).distinct(), n).filter("maybe").select(*KEY, "term", "pos")
+    """Those of asked (k1, k2, term, pos, ...; n rows) that have a posting. Postings that nothing asks for stay out of the shuffle, but for a few."""
+    whole = F.xxhash64(*KEY, "term", "pos")
+    near = sieve(index, whole, asked.select(whole.alias("k")).distinct(), n).filter("maybe").select(*KEY, "term", "pos")
     return asked.join(near, [*KEY, "term", "pos"], "left_semi")
 
 
@@ -113,7 +114,9 @@ def phrase_spans(index: DataFrame, items: Items, shelf: Shelf) -> DataFrame:
     one = shelf.put(_first(index, leads))
     pairs = leads.select("item", "p1", "p2", F.col("term2").alias("term")).distinct()
     asked = shelf.put(one.join(small(pairs, pairs.count()), ["item", "p1"]).withColumn("pos", F.col("diagonal") + F.col("p2")).filter("pos >= 0"))
-    two = shelf.put(_held(asked, index, asked.count()))
+    seconds = pairs.select("term").distinct()
+    listed = index.join(small(seconds, seconds.count()), "term", "left_semi")  # the lists of second terms alone
+    two = shelf.put(_held(asked, listed, asked.count()))
     rest = two.join(leads.select("item", "p1", "p2", "s", "size"), ["item", "p1", "p2"]).filter("diagonal + s >= 0")
     rest = rest.select(*KEY, "item", "diagonal", F.explode(F.expr("sequence(s, s + size - 1)")).alias("p")).distinct()
     asked = shelf.put(rest.join(items.terms, ["item", "p"]).withColumn("pos", F.col("diagonal") + F.col("p")))
