@@ -180,6 +180,20 @@ class Phrases(BlockDetector):
                         yield m.start(), m.end(), self.STRONG if " " in phrase else self.WEAK, phrase
 
 
+class PhraseLoad(Phrases):
+    """One finding over a text that holds phrases: each different one takes its weight of what the others left."""
+
+    name = "phrase-load"
+
+    def spans(self, text: str, language: str | None) -> Iterator[tuple[int, int, float, str]]:
+        weights = {why: weight for _, _, weight, why in super().spans(text, language)}
+        rest = 1.0
+        for phrase in sorted(weights):
+            rest *= 1 - weights[phrase]
+        if weights:
+            yield 0, len(text), round(1 - rest, 6), f"{len(weights)} phrases"
+
+
 class OddCharacters(BlockDetector):
     """Runs of characters that aren't on a keyboard: invisible ones, odd blanks, typographic marks."""
 
@@ -226,10 +240,10 @@ def offline(blocks: DataFrame) -> DataFrame:
 
 
 def default_registry() -> Registry:
-    """The library's own detectors: offline (also heuristic), phrases, odd-characters (also characters), repeats."""
+    """The library's own detectors: offline (also heuristic), phrases, phrase-load, odd-characters (also characters), repeats."""
     out = Registry()
     out.register("offline", offline)
-    for detector in (Phrases, OddCharacters, Repeats):
+    for detector in (Phrases, PhraseLoad, OddCharacters, Repeats):
         out.register(detector.name, detector)
     out.alias("heuristic", "offline")
     out.alias("characters", "odd-characters")

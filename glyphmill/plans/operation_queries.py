@@ -11,7 +11,7 @@ from ..operators import code_blocks, fixes, fragments, matching, registry
 from .text_queries import ODD, PHRASES, SQL_ODD, SQL_PHRASED, _docs, _sql_cliches, _with_odd, _with_phrases
 
 
-class _Euro(registry.BlockDetector):
+class Euro(registry.BlockDetector):
     """Counts euros, and can't stand a text with an ellipsis."""
 
     name = "euro"
@@ -28,7 +28,7 @@ class _Euro(registry.BlockDetector):
 def detector_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.13.2: detectors called by SQL over all texts, one of them failing on some: rows, distinct findings and errors by detector."""
     known = registry.default_registry()
-    known.register("euro", _Euro)
+    known.register("euro", Euro)
     known.install(spark)
     phrased = _with_phrases(_docs(spark, sf_dir)).select(F.col("doc_id").alias("block_id"), "text", F.coalesce(T.guess_language_or_null(F.col("text")), F.lit("en")).alias("language_hint"))
     phrased.createOrReplaceTempView("_phrased_blocks")
@@ -121,13 +121,13 @@ def planted_issues(sources: DataFrame) -> DataFrame:
 QUERIES = {f.__name__: f for f in (detector_calls, judgment_matches, source_file_audit, source_file_blocks, fixed_pages)}
 
 _quoted = lambda c: f"'{chr(c)}'"
-_CLASS = "[" + "".join(dict.fromkeys([*map(chr, INVISIBLE), *map(chr, SPACES), *TYPOGRAPHY])) + "]"
-_KIND = f"CASE WHEN x IN ({', '.join(_quoted(c) for c in INVISIBLE)}) THEN 'invisible' WHEN x IN ({', '.join(_quoted(c) for c in SPACES)}) THEN 'space' ELSE 'typography' END"
+CLASS = "[" + "".join(dict.fromkeys([*map(chr, INVISIBLE), *map(chr, SPACES), *TYPOGRAPHY])) + "]"
+KIND = f"CASE WHEN x IN ({', '.join(_quoted(c) for c in INVISIBLE)}) THEN 'invisible' WHEN x IN ({', '.join(_quoted(c) for c in SPACES)}) THEN 'space' ELSE 'typography' END"
 SQL = {
     "detector_calls": f"""
 WITH hits AS ({_sql_cliches()}), p AS (SELECT doc_id, unnest(string_split(phrases, '|')) AS phrase FROM hits WHERE phrases <> ''),
-runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_CLASS}+')) AS run FROM {SQL_ODD}),
-kinds AS (SELECT doc_id, run, array_to_string(list_sort(list_distinct(list_transform(string_split(run, ''), lambda x: {_KIND}))), ',') AS kind FROM runs),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{CLASS}+')) AS run FROM {SQL_ODD}),
+kinds AS (SELECT doc_id, run, array_to_string(list_sort(list_distinct(list_transform(string_split(run, ''), lambda x: {KIND}))), ',') AS kind FROM runs),
 euros AS (SELECT doc_id, contains(text, '…') AS bad, length(text) - length(replace(text, '€', '')) AS n FROM {SQL_ODD})
 SELECT 'phrases' AS detector, count(DISTINCT doc_id) AS blocks, count(*) AS kinds, 0::BIGINT AS errors, 0::BIGINT AS chars FROM p
 UNION ALL SELECT 'odd-characters', count(DISTINCT doc_id), count(DISTINCT (doc_id, kind)), 0, sum(length(run))::BIGINT FROM kinds

@@ -1,4 +1,4 @@
-"""Queries on reports, with the same in DuckDB's SQL. Documents stand for findings and pages for issues, by what they hold."""
+"""Queries on reports over what our detectors and rules find, with the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
@@ -6,43 +6,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import reports, review
+from ..functions.lexicon import CLICHES
+from ..operators import audit, fixes, registry, reports, review
 from ..operators.audit import SEVERITIES
 from ..operators.stage import settle
 from ..sources.dom import nodes
-from .text_queries import SQL_ODD, _docs, _with_odd
+from .operation_queries import CLASS, KIND, Euro, planted_issues, planted_pages
+from .rule_queries import RULE_PARTS, built_pages
+from .text_queries import ODD, PHRASES, SQL_ODD, _docs, _list, _with_odd
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("text")
-    return _docs(spark, sf_dir).select(
-        F.col("source").alias("file"), F.col("doc_id").alias("offset"), F.col("doc_id").alias("block_id"), F.col("lang").alias("detector"), F.when(n % 3 == 0, "characters").otherwise("style").alias("source"),
-        F.when(n < 300, "low").when(n < 1500, "medium").otherwise("high").alias("confidence"), F.round(n / (n + 1000.0), 3).alias("score"), F.substring("text", 1, 20).alias("text"),
-        F.lit(None).cast("string").alias("replacement"), F.col("lang").alias("explanation"), n.cast("long").alias("line"),
-    )
+_SETTLED: dict[tuple, DataFrame] = {}
+
+
+def _once(name: str, spark: SparkSession, sf_dir: str, make) -> DataFrame:  # noqa: ANN001
+    """What several reports start from, made once in a session for a folder."""
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in _SETTLED:
+        _SETTLED[key] = settle(make())
+    return _SETTLED[key]
+
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, text): every text with a sentence of phrases and some odd characters behind it."""
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("doc_id") % len(values))
+    return _docs(spark, sf_dir).select("doc_id", "source", F.concat("text", pick(PHRASES), F.lit(" "), pick(ODD)).alias("text"))
 
-SQL_FINDINGS = """(SELECT source AS file, doc_id AS "offset", doc_id AS block_id, lang AS detector, CASE WHEN length(text) % 3 = 0 THEN 'characters' ELSE 'style' END AS source,
-  CASE WHEN length(text) < 300 THEN 'low' WHEN length(text) < 1500 THEN 'medium' ELSE 'high' END AS confidence, round(length(text) / (length(text) + 1000)::DOUBLE, 3) AS score,
-  text[1:20] AS text, NULL::VARCHAR AS replacement, lang AS explanation, length(text) AS line FROM documents)"""
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of three detectors over all texts, with the words and the line that they stand in."""
+
+    def make() -> DataFrame:
+        texts = _texts(spark, sf_dir)
+        found = registry.default_registry().run(texts.select(F.col("doc_id").alias("block_id"), "text", F.lit("en").alias("language_hint")), "phrases", "phrase-load", "odd-characters")
+        met = found.join(texts.withColumnRenamed("doc_id", "block_id"), "block_id")
+        before = F.substring(F.col("text"), F.lit(1), F.col("start"))
+        said = F.when(F.col("detector") == "phrase-load", "").otherwise(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
+        return met.select(
+            F.col("source").alias("file"), F.col("start").cast("long").alias("offset"), "block_id", "detector", F.when(F.col("detector") == "odd-characters", "characters").otherwise("style").alias("source"), "confidence", "score",
+            said.alias("text"), F.lit(None).cast("string").alias("replacement"), "explanation", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"),
+        )
+
+    return _once("findings", spark, sf_dir, make)
+
+
+_WORDY = lambda p: p.isalnum() or p == "_"
+_PHRASE_ROWS = ", ".join(f"('{p.replace(chr(39), chr(39) * 2)}', '{p.lower().replace(chr(39), chr(39) * 2)}', {_WORDY(p[0])}, {_WORDY(p[-1])}, {0.3 if ' ' in p else 0.1})" for p in dict.fromkeys(CLICHES["en"]))
+SQL_FINDINGS = rf"""(
+WITH t AS (SELECT doc_id, source AS file, text || ({_list(PHRASES)})[1 + doc_id % {len(PHRASES)}] || ' ' || ({_list(ODD)})[1 + doc_id % {len(ODD)}] AS text FROM documents),
+lex(phrase, low, w1, w2, weight) AS (VALUES {_PHRASE_ROWS}),
+parts AS (SELECT doc_id, text, phrase, w1, w2, weight, length(phrase) AS n, string_split(lower(text), low) AS p FROM t JOIN lex ON contains(lower(t.text), lex.low)),
+places AS (SELECT *, list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * n AS s FROM (SELECT *, unnest(range(1, len(p))) AS k FROM parts)),
+hits AS (SELECT doc_id, s::BIGINT AS s, (s + n)::BIGINT AS e, phrase, weight FROM places WHERE NOT (w1 AND regexp_matches(substr(text, s::BIGINT, 1), '[\p{{L}}\p{{N}}_]') AND s > 0) AND NOT (w2 AND regexp_matches(substr(text, (s + n + 1)::BIGINT, 1), '[\p{{L}}\p{{N}}_]'))),
+ch AS (SELECT doc_id, unnest(string_split(text, '')) AS x, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM t),
+runs AS (SELECT doc_id, i, {KIND} AS kind, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM ch WHERE regexp_matches(x, '{CLASS}')),
+found AS (
+  SELECT doc_id, 'phrases' AS detector, 'style' AS kind, s, e, weight::DOUBLE AS score, phrase AS why FROM hits
+  UNION ALL SELECT doc_id, 'phrase-load', 'style', 0, NULL, round(1 - exp(sum(ln(1 - weight))), 6), count(*) || ' phrases' FROM (SELECT DISTINCT doc_id, phrase, weight FROM hits) GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'odd-characters', 'characters', min(i), max(i) + 1, 0.5, string_agg(DISTINCT kind, ',' ORDER BY kind) FROM runs GROUP BY doc_id, g)
+SELECT file, s AS "offset", doc_id AS block_id, detector, kind AS source, CASE WHEN score >= 0.66 THEN 'high' WHEN score >= 0.33 THEN 'medium' ELSE 'low' END AS confidence, score,
+       CASE WHEN e IS NULL THEN '' ELSE substr(text, s + 1, e - s) END AS text, NULL::VARCHAR AS replacement, why AS explanation, length(text[1:s]) - length(replace(text[1:s], chr(10), '')) + 1 AS line
+FROM found JOIN t USING (doc_id))"""
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("html")
-    pick = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k)
-    return _pages(spark, sf_dir).select(
-        F.col("page_id").alias("seq"), F.col("url").alias("source"), T.host_key(F.col("url")).alias("rule_id"), pick(SEVERITIES, n % 4).alias("severity"),
-        pick(reports.CATEGORIES, F.floor(n / 4).cast("int") % 4).alias("category"), n.cast("long").alias("line"), F.substring("html", 1, 30).alias("snippet"),
-    )
+    """The audit's issues of all pages, with planted markup."""
+    return _once("issues", spark, sf_dir, lambda: audit.audit(built_pages(spark, sf_dir))).withColumnRenamed("doc_id", "page_id")
 
 
-_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
-SQL_ISSUES = rf"""(SELECT page_id AS seq, url AS source, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS rule_id, ({_LIST(SEVERITIES)})[1 + length(html) % 4] AS severity,
-  ({_LIST(reports.CATEGORIES)})[1 + length(html) // 4 % 4] AS category, length(html) AS line, html[1:30] AS snippet FROM pages)"""
+_CATEGORY = "CASE " + " ".join(f"WHEN rule_id = '{r[0]}' THEN '{r[1]}'" for r in audit.RULES) + " END"
+SQL_ISSUES = f"(WITH {RULE_PARTS} SELECT page_id, url AS source, rule_id, severity, {_CATEGORY} AS category FROM (SELECT *, unnest(range(n)) FROM counted) JOIN pages USING (page_id))"
 
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,23 +124,28 @@ def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with the judgments of labelled texts; the higher score counts."""
     judged = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("block_id")).agg((1 - F.min("quality") * 0.75).alias("score")).withColumn("reason", F.lit("labelled"))
-    return reports.merge_judgments(_findings(spark, sf_dir), judged).select("block_id", "score", "source", "explanation")
+    return reports.merge_judgments(_findings(spark, sf_dir), judged).select("block_id", "offset", F.round("score", 6).alias("score"), "source", "explanation")
 
 
 def unjudged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts under 300 characters are not judged, for a reason by source."""
-    spans = _findings(spark, sf_dir).select(F.col("block_id").alias("seq"), F.when(F.col("confidence") == "low", F.coalesce("file", F.lit("-"))).alias("error"))
-    return reports.unjudged(spans).withColumn("reasons", F.array_join("reasons", "|"))
+    """Texts on which a detector fails (one that can't stand an ellipsis), by reason."""
+    known = registry.Registry()
+    known.register("euro", Euro)
+    found = known.run(_texts(spark, sf_dir).select(F.col("doc_id").alias("block_id"), "text"), "euro")
+    return reports.unjudged(found.select(F.col("block_id").alias("seq"), "error")).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 def skipped_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the first 40 skipped fixes name, counted over all."""
-    return reports.skipped_fixes(_issues(spark, sf_dir).select("seq", F.col("rule_id").alias("rule"), F.col("severity").alias("reason")))
+    """Why fixes of planted issues are skipped: what the first 40 name, counted over all."""
+    sources = planted_pages(spark, sf_dir)
+    plans = fixes.plan_fixes(planted_issues(sources), sources).filter("status in ('skipped', 'ambiguous')")
+    seq = F.regexp_extract("path", r"(\d+)", 1).cast("long") * 100 + F.col("seq")
+    return reports.skipped_fixes(plans.select(seq.alias("seq"), F.col("rule_id").alias("rule"), "reason")).select("rule", "n", "first")
 
 
 def pages_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that have an issue worse than minor."""
-    return reports.with_issues(_pages(spark, sf_dir).select(F.col("url").alias("source")), _issues(spark, sf_dir).filter("severity <> 'minor'"))
+    """Pages that have a critical issue."""
+    return reports.with_issues(_pages(spark, sf_dir).select(F.col("url").alias("source")), _issues(spark, sf_dir).filter("severity = 'critical'"))
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +166,12 @@ def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its issues, worst first."""
     out = reports.file_map(_pages(spark, sf_dir).select(F.col("url").alias("source")), _issues(spark, sf_dir).filter("severity <> 'minor'"))
-    return out.select("source", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["severity"], i["rule_id"], i["line"])), ",").alias("issues"))
+    return out.select("source", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["severity"], i["rule_id"])), ",").alias("issues"))
 
 
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues with their rank, worst first."""
-    return reports.report_order(_issues(spark, sf_dir).select("seq", "severity", "category", F.col("source").alias("location")))
+    return reports.report_order(_issues(spark, sf_dir).select("page_id", "rule_id", "severity", "category", F.col("source").alias("location")))
 
 
 def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,10 +203,14 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.changed_files(files, reports.file_state(before)).select("path")
 
 
+#: Messages by rule: of every rule in English but every fifth, of every third in Italian, made from its name.
+TEMPLATES = [(r[0], lang, f"{word} {r[0].replace('-', ' ')}") for i, r in enumerate(audit.RULES) for lang, word, on in (("en", "Check", i % 5), ("it", "Controlla", not i % 3)) if on]
+
+
 def worded_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each issue's severity in words, Italian where known, else English, else the key."""
-    known = spark.createDataFrame([("critical", "it", "critico"), ("critical", "en", "critical!"), ("serious", "en", "serious!"), ("moderate", "it", "moderato")], "key string, language string, template string")
-    return reports.worded(_issues(spark, sf_dir).select("seq", F.col("severity").alias("rule_id")), known, "it")
+    """Each issue's rule in words, Italian where known, else English, else the key: how often each message is given."""
+    known = spark.createDataFrame(TEMPLATES, "key string, language string, template string")
+    return reports.worded(_issues(spark, sf_dir).select("rule_id"), known, "it").groupBy("rule_id", "message").agg(F.count("*").alias("n"))
 
 
 def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,27 +237,28 @@ SQL = {
     "coverage_totals": """WITH w AS (SELECT coalesce(lang, '-') AS root, count(*) AS n, sum(length(text)) AS b, count(*) FILTER (length(text) < 300) AS s FROM documents GROUP BY 1)
         SELECT sum(n)::BIGINT AS files_read, sum(b)::BIGINT AS blocks_found, sum(s)::BIGINT AS skipped_ignored, coalesce(string_agg(root, ',' ORDER BY root) FILTER (n > 200), '') AS truncated FROM w""",
     "judged_findings": f"""WITH j AS (SELECT doc_id AS block_id, 1 - min(quality) * 0.75::DOUBLE AS s FROM labels GROUP BY 1)
-        SELECT block_id, CASE WHEN s IS NULL THEN score ELSE greatest(score, s) END AS score, CASE WHEN s IS NULL THEN source ELSE 'agent+offline' END AS source,
+        SELECT block_id, "offset", round(CASE WHEN s IS NULL THEN score ELSE greatest(score, s) END, 6) AS score, CASE WHEN s IS NULL THEN source ELSE 'agent+offline' END AS source,
         CASE WHEN s IS NULL THEN explanation ELSE printf('agent: labelled (score=%.2f); offline: %s', s, coalesce(explanation, '')) END AS explanation
         FROM {SQL_FINDINGS} LEFT JOIN j USING (block_id) WHERE greatest(score, coalesce(s, 0)) >= 0.33""",
-    "unjudged_findings": """WITH e AS (SELECT coalesce(source, '-') AS error, count(*) AS n, min(doc_id) AS seq FROM documents WHERE length(text) < 300 GROUP BY 1),
-        f AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM e) SELECT coalesce(sum(n), 0)::BIGINT AS n, greatest(count(*) - 3, 0) AS more, string_agg(error, '|' ORDER BY seq) FILTER (k <= 3) AS reasons FROM f""",
-    "skipped_fixes": f"""WITH i AS (SELECT seq, rule_id AS rule, severity AS reason FROM {SQL_ISSUES}), s AS (SELECT DISTINCT rule, reason FROM (SELECT * FROM i ORDER BY seq LIMIT 40))
-        SELECT rule, reason, count(*) AS n, min(seq) AS first FROM i JOIN s USING (rule, reason) GROUP BY ALL""",
-    "pages_with_issues": f"SELECT url AS source FROM pages WHERE url IN (SELECT source FROM {SQL_ISSUES} WHERE severity <> 'minor')",
+    "unjudged_findings": f"SELECT count(*) AS n, 0::BIGINT AS more, 'an ellipsis' AS reasons FROM documents WHERE contains(text || ' ' || ({_list(ODD)})[1 + doc_id % {len(ODD)}], '…')",
+    "skipped_fixes": """WITH i AS (SELECT page_id * 100 + s AS seq, rule FROM pages, (VALUES (4, 'image-alt'), (7, 'image-alt'), (8, 'control-name'), (9, 'x'), (10, 'table-headers')) v(s, rule)),
+        r AS (SELECT seq, rule, seq % 100 AS why FROM i), s AS (SELECT DISTINCT rule, why FROM (SELECT * FROM r ORDER BY seq LIMIT 40))
+        SELECT rule, count(*) AS n, min(seq) AS first FROM r JOIN s USING (rule, why) GROUP BY rule, why""",
+    "pages_with_issues": f"SELECT url AS source FROM pages WHERE url IN (SELECT source FROM {SQL_ISSUES} WHERE severity = 'critical')",
     "audit_summary": f"""SELECT to_json({{'total': count(*), 'severities': {{{", ".join(f"'{s}': count(*) FILTER (severity = '{s}')" for s in SEVERITIES)}}},
         'categories': {{{", ".join(f"'{c.replace('-', '_')}': count(*) FILTER (category = '{c}')" for c in reports.CATEGORIES)}}}}})::VARCHAR AS summary FROM {SQL_ISSUES}""",
     "scan_counts": f"""SELECT to_json({{'total': count(*), 'files': count(DISTINCT file), 'distinct': count(DISTINCT (text, replacement, explanation))}})::VARCHAR AS counts FROM {SQL_FINDINGS}""",
     "finding_lines": f"""SELECT '{{' || array_to_string([CASE WHEN file IS NOT NULL THEN '"file":' || to_json(file)::VARCHAR END, '"offset":' || "offset", CASE WHEN detector IS NOT NULL THEN '"detector":' || to_json(detector)::VARCHAR END,
         '"confidence":"' || confidence || '"', CASE WHEN line IS NOT NULL THEN '"line":' || line END], ',') || '}}' AS value FROM {SQL_FINDINGS}""",
-    "file_map": f"""WITH i AS (SELECT *, {_RANK} AS r FROM {SQL_ISSUES} WHERE severity <> 'minor'), g AS (SELECT source, string_agg(severity || ':' || rule_id || ':' || line, ',' ORDER BY r, rule_id, line) AS issues FROM i GROUP BY 1)
+    "file_map": f"""WITH i AS (SELECT *, {_RANK} AS r FROM {SQL_ISSUES} WHERE severity <> 'minor'), g AS (SELECT source, string_agg(severity || ':' || rule_id, ',' ORDER BY r, rule_id) AS issues FROM i GROUP BY 1)
         SELECT DISTINCT url AS source, coalesce(issues, '') AS issues FROM pages LEFT JOIN g ON g.source = url""",
-    "report_order": f"SELECT seq, severity, category, source AS location, least({_RANK}, 3) AS rank FROM {SQL_ISSUES}",
+    "report_order": f"SELECT page_id, rule_id, severity, category, source AS location, least({_RANK}, 3) AS rank FROM {SQL_ISSUES}",
     "report_lists": f"SELECT block_id, CASE WHEN source = 'characters' THEN 'typography' ELSE 'style' END AS kind FROM {SQL_FINDINGS}",
     "briefing_rows": """SELECT source AS file, doc_id AS line, text[1:200] AS text, coalesce(s, 0) AS score, CASE WHEN s >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, lang AS explanation
         FROM (SELECT *, round(length(text) / (length(text) + 1000)::DOUBLE, 3) AS s FROM documents)""",
     "slowest_pages": rf"""SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS source, page_id AS name, length(html) AS duration, row_number() OVER (PARTITION BY source ORDER BY duration DESC, name) AS rank FROM pages QUALIFY rank <= 5""",
     "history_tail": "SELECT role AS root, 'scan' AS mode, conv_id * 1000 + turn AS seq FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY seq DESC) <= 20",
     "changed_files": "SELECT doc_id AS path FROM documents WHERE text IS NULL OR length(text) <= 500",
-    "worded_issues": f"SELECT seq, severity AS rule_id, CASE severity WHEN 'critical' THEN 'critico' WHEN 'serious' THEN 'serious!' WHEN 'moderate' THEN 'moderato' ELSE severity END AS message FROM {SQL_ISSUES}",
+    "worded_issues": f"""WITH t(key, language, template) AS (VALUES {", ".join(str(t) for t in TEMPLATES)}), i AS (SELECT rule_id, count(*) AS n FROM {SQL_ISSUES} GROUP BY 1)
+        SELECT rule_id, coalesce((SELECT template FROM t WHERE key = rule_id AND language = 'it'), (SELECT template FROM t WHERE key = rule_id AND language = 'en'), rule_id) AS message, n FROM i""",
 }

@@ -46,7 +46,7 @@ def known():
 
 
 def test_names_and_aliases(known):
-    assert known.available() == ["missing", "odd-characters", "offline", "phrases", "picky", "repeats"]
+    assert known.available() == ["missing", "odd-characters", "offline", "phrase-load", "phrases", "picky", "repeats"]
     assert known.create("old-picky") is Picky and known.lookup("ring") is None and known.lookup("heuristic") is known.lookup("offline")
     with pytest.raises(KeyError, match="offline"):
         known.create("nothing")
