@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .audit import SEVERITIES, severity_rank
+from .stage import alike, ranked
 
 # ---------------------------------------------------------------- suppression
 
@@ -95,9 +96,14 @@ def filter_findings(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
 
 
 def group_duplicates(findings: DataFrame, keys: tuple[str, ...] = ("text", "replacement", "source_kind", "explanation"), order: str = "seq") -> DataFrame:
-    """findings with copy (0 for the first of equal ones, by order) and copies (others of its group); nulls are equal."""
-    over = W.partitionBy(*keys)
-    return findings.withColumn("copy", F.row_number().over(over.orderBy(order)) - 1).withColumn("copies", F.count("*").over(over) - 1)
+    """findings with copy (0 for the first of equal ones, by order) and copies (others of its group); nulls are equal.
+
+    order is a long, unique within a group. A group that holds a third of all findings is ranked in stretches of it, and
+    its size is a sum of partial counts.
+    """
+    sizes = findings.groupBy(*keys).agg((F.count("*") - 1).alias("copies"))
+    met = ranked(findings, list(keys), order).withColumnRenamed("rank", "copy")
+    return met.alias("f").join(sizes.alias("s"), alike("f", "s", list(keys))).select("f.*", "s.copies")
 
 
 # Rules of several engines that are about one thing.
@@ -238,10 +244,11 @@ def top_findings(findings: DataFrame, n: int = 10) -> DataFrame:
     return findings.orderBy(F.desc("score"), "block_id", "start").limit(n)
 
 
-def majority_language(blocks: DataFrame) -> DataFrame:
-    """One row: the most frequent hint, of equals the one first seen (seq); en without any."""
-    counts = blocks.filter(F.col("language_hint").isNotNull()).groupBy("language_hint").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    return counts.agg(F.coalesce(F.max_by("language_hint", F.struct("n", -F.col("first"))), F.lit("en")).alias("language"))
+def majority_language(blocks: DataFrame, *keys: str) -> DataFrame:
+    """By keys, or one row without: the most frequent hint, of equals the one first seen (seq); en without any."""
+    counts = blocks.groupBy(*keys, "language_hint").agg(F.count("language_hint").alias("n"), F.min("seq").alias("first"))
+    told = F.when(F.col("language_hint").isNotNull(), F.struct("n", -F.col("first")))
+    return counts.groupBy(*keys).agg(F.coalesce(F.max_by("language_hint", told), F.lit("en")).alias("language"))
 
 
 def previous_runs(history: DataFrame) -> DataFrame:
@@ -272,11 +279,28 @@ def rates(scored: DataFrame, thresholds: list[float], *keys: str) -> DataFrame:
     return out.select("threshold", *keys, ratio(F.col("_m"), F.col("_m") + F.col("false_alarms")).alias("precision"), ratio(F.col("_m"), F.col("models")).alias("recall"), "false_alarms", "humans", "models")
 
 
+#: Cells of scores between 0 and 1 whose counts lead to the median.
+SPREAD_CELLS = 1000
+
+
 def score_spread(scored: DataFrame, *keys: str) -> DataFrame:
-    """n, least, upper median and greatest score by keys. The median is exact: ranks by window, no list of a group."""
-    over = W.partitionBy(*keys).orderBy("score")
-    ranked = scored.withColumn("_r", F.row_number().over(over)).withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("score"))).alias("median"), F.max("score").alias("high"))
+    """n, least, upper median and greatest score by keys. The median is exact and takes no sort of a group.
+
+    Equal scores are counted before any shuffle; the cell of scores that holds the median is found by the cells' counts,
+    and only its different scores are ranked. Null scores don't count.
+    """
+    cell = F.floor(F.col("score") * SPREAD_CELLS)
+    counts = scored.filter(F.col("score").isNotNull()).groupBy(*keys, cell.alias("_cell"), "score").agg(F.count("*").alias("_c"))
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"), F.min("score").alias("_low"), F.max("score").alias("_high"))
+    by_cell = W.partitionBy(*keys).orderBy("_cell")
+    placed = cells.withColumn("_upto", F.sum("_c").over(by_cell.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(W.partitionBy(*keys)))
+    middle = F.floor(F.col("_n") / 2) + 1
+    whole = placed.groupBy(*keys).agg(F.max("_n").alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high"))
+    held = placed.filter((F.col("_upto") >= middle) & (F.col("_upto") - F.col("_c") < middle)).select(*keys, "_cell", (middle - F.col("_upto") + F.col("_c")).alias("_want"))
+    inside = counts.alias("c").join(held.alias("h"), alike("c", "h", [*keys, "_cell"])).select(*[F.col(f"c.{k}").alias(k) for k in keys], "c.score", "c._c", "h._want")
+    ranks = inside.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, 0)))
+    median = ranks.filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_c") < F.col("_want"))).select(*keys, F.col("score").alias("median"))
+    return whole.alias("w").join(median.alias("m"), alike("w", "m", list(keys))).select(*[F.col(f"w.{k}").alias(k) for k in keys], "w.n", "w.low", "m.median", "w.high")
 
 
 def embedding_scores(vectors: DataFrame, references: DataFrame) -> DataFrame:

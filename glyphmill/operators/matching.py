@@ -9,13 +9,10 @@ is left goes to the next tier by an anti-join. A key that holds a third of all r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .stage import settle
+from .stage import STRETCH, ranked, settle
 
-#: Values of seq that one window ranks at most.
-STRETCH = 100_000
 TIERS = ("id", "origin", "line", "text")
 
 
@@ -28,19 +25,6 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-def ranked(df: DataFrame, key: list[str], stretch: int = STRETCH) -> DataFrame:
-    """df (key ..., seq) with rank, from 0 in the order of seq within equal keys.
-
-    Rows of a key are cut into stretches of seq; each is ranked alone, and the sizes of those before it are added. seq is
-    unique, an ordinal or close to one.
-    """
-    cut = df.withColumn("_stretch", F.floor(F.col("seq") / stretch))
-    sizes = cut.groupBy(*key, "_stretch").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.partitionBy(*key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    inside = cut.withColumn("_in", F.row_number().over(W.partitionBy(*key, "_stretch").orderBy("seq")) - 1)
-    return inside.join(before, [*key, "_stretch"]).withColumn("rank", F.col("_before") + F.col("_in")).drop("_stretch", "_before", "_in")
-
-
 def match_judgments(blocks: DataFrame, judgments: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(block_seq, judgment_seq, tier) of blocks (seq, block_id, file, line, text) and judgments (the same columns).
 
@@ -67,7 +51,7 @@ def match_judgments(blocks: DataFrame, judgments: DataFrame, stretch: int = STRE
                 theirs = theirs.filter("text = ''")
             else:
                 mine, theirs = mine.filter("text <> ''"), theirs.filter("text <> ''")
-            sides = [ranked(df.select(*key, "seq"), key, stretch).withColumnRenamed("seq", name) for df, name in ((mine, "block_seq"), (theirs, "judgment_seq"))]
+            sides = [ranked(df.select(*key, "seq"), key, "seq", stretch).withColumnRenamed("seq", name) for df, name in ((mine, "block_seq"), (theirs, "judgment_seq"))]
             met = sides[0].join(sides[1], [*key, "rank"]).select("block_seq", "judgment_seq")
         met = settle(met.withColumn("tier", F.lit(tier)))
         found = met if found is None else found.unionByName(met)

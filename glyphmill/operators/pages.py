@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.dom import elements, nodes
-from .stage import settle
+from .stage import numbered, settle
 
 # Fixed values.
 SKIP = ["script", "style", "noscript", "template", "svg", "path", "iframe", "head", "meta", "link"]
@@ -76,8 +76,7 @@ def crawl(edges: DataFrame, roots: DataFrame, max_pages: int = 30, same_domain:
     One join per level: the frontier meets the edges, pages seen before drop out, and each level is settled. Pages of a
     level stand in the order in which the level before names them.
     """
-    spark = edges.sparkSession
-    seen = settle(roots.select(F.col("url"), F.lit(0).alias("depth"), F.row_number().over(_by("url")).cast("long").alias("place")))
+    seen = settle(numbered(roots.select("url", F.lit(0).alias("depth")).distinct(), "url", name="place").withColumn("place", F.col("place") + 1))
     frontier, depth, total = seen, 0, seen.count()
     host = T.host_key
     while depth < max_depth and (not max_pages or total < max_pages):
@@ -86,19 +85,12 @@ def crawl(edges: DataFrame, roots: DataFrame, max_pages: int = 30, same_domain:
         if same_domain:
             out = out.filter(host(F.col("src")) == host(F.col("dst")))
         new = out.groupBy("dst").agg(F.min(F.struct("place", "nth")).alias("o")).withColumnRenamed("dst", "url").join(seen.select("url"), "url", "left_anti")
-        # a level is numbered by (place of the parent, place in the parent): one task, bounded by the page limit
+        # a level is numbered by (place of the parent, place in the parent), in ranges
         new = new.orderBy("o", "url").limit(max_pages - total) if max_pages else new
-        new = settle(new.select("url", F.lit(depth).alias("depth"), (F.row_number().over(_by("o", "url")) + total).cast("long").alias("place")))
+        new = settle(numbered(new, "o", "url", name="place").select("url", F.lit(depth).alias("depth"), (F.col("place") + total + 1).alias("place")))
         n = new.count()
         if not n:
             break
         seen = settle(seen.unionByName(new))
         frontier, total = new, total + n
-    del spark
     return seen
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window as W
-
-    return W.orderBy(*columns)

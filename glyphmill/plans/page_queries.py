@@ -11,6 +11,7 @@ from ..operators import audit, findings, pages
 from ..operators.stage import settle
 from ..sources import payloads
 from ..sources.dom import elements, nodes
+from .rule_queries import RULE_PARTS, audited, built_pages
 
 # The pages hold few defects, so queries about them write some into every page, by page_id, before its end.
 DEFECTS = [
@@ -100,19 +101,19 @@ def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_counts_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: issues of each page by severity, zeros included."""
-    return findings.severity_counts(audit.audit(_marked(spark, sf_dir)), "doc_id")
+    """Issues of each page by severity, zeros included."""
+    return findings.severity_counts(audited(spark, sf_dir), "doc_id")
 
 
 def issues_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues by rule, most frequent first."""
-    return findings.by_rule(audit.audit(_marked(spark, sf_dir)))
+    return findings.by_rule(audited(spark, sf_dir))
 
 
 def suppressed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues left after a rule, a folder, a glob and a selector are suppressed."""
     rows = [("rule", "seo-open-graph"), ("path", "de/"), ("path", "*ref=x*"), ("selector", "table")]
-    left = findings.filter_issues(audit.audit(_marked(spark, sf_dir)), spark.createDataFrame(rows, "kind string, value string"))
+    left = findings.filter_issues(audited(spark, sf_dir), spark.createDataFrame(rows, "kind string, value string"))
     return left.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
 
 
@@ -127,8 +128,8 @@ def image_alt_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def element_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements of each kind over all pages."""
-    return elements(_rows(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("pages"))
+    """Elements of each kind over all pages, planted markup and all."""
+    return elements(nodes(built_pages(spark, sf_dir), "doc_id", "html")).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("pages"))
 
 
 def title_length_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +212,11 @@ SQL = {
     "link_degrees": f"WITH {_LINKS} SELECT src, count(*) AS out_links, count(DISTINCT dst) AS targets, count(*) FILTER ({_HOST.replace('url', 'src')} = {_HOST.replace('url', 'dst')}) AS same_domain FROM edges GROUP BY src",
     "entity_anomalies": f"SELECT page_id, e AS entity, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{'|'.join(ENTITIES)}')) AS e FROM pages) GROUP BY ALL",
     "bfs_depth": "SELECT 'https://x.example/' || page_id AS url, floor(log2(page_id + 1))::BIGINT AS depth FROM pages",
-    "image_alt_rule": "SELECT page_id AS doc_id, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS n FROM pages",
+    "image_alt_rule": f"""WITH m AS (SELECT page_id, html || ([{", ".join("'" + d + "'" for d in DEFECTS)}])[1 + page_id % {len(DEFECTS)}] AS h FROM pages)
+        SELECT page_id AS doc_id, len(list_filter(regexp_extract_all(h, '<img[^>]*>'), lambda x: NOT contains(x, ' alt=')))::BIGINT AS n FROM m""",
+    "issue_counts_by_severity": f"WITH {RULE_PARTS} SELECT page_id AS doc_id, {', '.join(f"""coalesce(sum(n) FILTER (severity = '{s}'), 0)::BIGINT AS {s}""" for s in audit.SEVERITIES)} FROM counted WHERE n > 0 GROUP BY page_id",
+    "issues_by_rule": f"WITH {RULE_PARTS} SELECT rule_id, sum(n)::BIGINT AS n FROM counted WHERE n > 0 GROUP BY rule_id",
+    "element_census": f"WITH {RULE_PARTS}, x AS (SELECT page_id, lower(regexp_extract(unnest(tags), '^<([a-zA-Z0-9]+)', 1)) AS tag FROM t) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM x GROUP BY tag",
     "title_length_rule": r"WITH t AS (SELECT page_id, length(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\s+', ' ', 'g'))) AS length FROM pages) SELECT page_id, length, length > 0 AND NOT length BETWEEN 15 AND 60 AS flagged FROM t",
     "engine_issues": """SELECT 'axe:image-alt' AS rule_id, 'critical' AS severity, 'axe' AS engine, count(*) AS n FROM pages UNION ALL SELECT 'axe:color-contrast', 'moderate', 'axe', count(*) FROM pages
         UNION ALL SELECT 'state:keyboard-trap', 'serious', 'states', count(*) FROM pages UNION ALL SELECT 'perf-load-time', 'moderate', 'browser', count(*) FROM pages WHERE page_id % 10 * 1000 > 5000

@@ -12,7 +12,7 @@ from ..operators.audit import SEVERITIES
 from ..operators.stage import settle
 from ..sources.dom import nodes
 from .operation_queries import CLASS, KIND, Euro, planted_issues, planted_pages
-from .rule_queries import RULE_PARTS, built_pages
+from .rule_queries import RULE_PARTS, audited, once
 from .text_queries import ODD, PHRASES, SQL_ODD, _docs, _list, _with_odd
 
 
@@ -20,17 +20,6 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-_SETTLED: dict[tuple, DataFrame] = {}
-
-
-def _once(name: str, spark: SparkSession, sf_dir: str, make) -> DataFrame:  # noqa: ANN001
-    """What several reports start from, made once in a session for a folder."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
-    if key not in _SETTLED:
-        _SETTLED[key] = settle(make())
-    return _SETTLED[key]
-
-
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, text): every text with a sentence of phrases and some odd characters behind it."""
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("doc_id") % len(values))
@@ -51,7 +40,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
             said.alias("text"), F.lit(None).cast("string").alias("replacement"), "explanation", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"),
         )
 
-    return _once("findings", spark, sf_dir, make)
+    return once("findings", spark, sf_dir, make)
 
 
 _WORDY = lambda p: p.isalnum() or p == "_"
@@ -75,7 +64,7 @@ FROM found JOIN t USING (doc_id))"""
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit's issues of all pages, with planted markup."""
-    return _once("issues", spark, sf_dir, lambda: audit.audit(built_pages(spark, sf_dir))).withColumnRenamed("doc_id", "page_id")
+    return audited(spark, sf_dir).withColumnRenamed("doc_id", "page_id")
 
 
 _CATEGORY = "CASE " + " ".join(f"WHEN rule_id = '{r[0]}' THEN '{r[1]}'" for r in audit.RULES) + " END"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import CLICHES, ITALIAN_MARKERS, SPACES, TYPOGRAPHY
 from ..functions.text import _abbreviations
-from ..operators import characters, edits, findings, style
+from ..operators import characters, edits, findings, similarity, style
 from ..functions.suggestions import SUGGESTIONS
 
 
@@ -56,9 +56,8 @@ def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def majority_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent guess, per source."""
-    d = _docs(spark, sf_dir).select("source", "doc_id", T.guess_language(F.col("text")).alias("g"))
-    counts = d.groupBy("source", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return counts.groupBy("source").agg(F.max_by("g", F.struct("n", -F.col("first"))).alias("language"))
+    d = _docs(spark, sf_dir).select("source", F.col("doc_id").alias("seq"), T.guess_language(F.col("text")).alias("language_hint"))
+    return findings.majority_language(d, "source")
 
 
 def _signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +237,7 @@ def embedding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against the stated reference corpus (ids divisible by 100; labels under 5 stand for model)."""
     v = _table(spark, sf_dir, "embeddings")
     refs = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("ref_id"), "embedding", F.when(F.col("label") < 5, "model").otherwise("human").alias("label"))
-    out = findings.embedding_scores(v.select("vec_id", "embedding"), refs)
+    out = similarity.scores(v.select("vec_id", "embedding"), refs)
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("ai_similarity", "human_similarity", "score")])
 
 

@@ -213,3 +213,33 @@ def test_random_pages_repeat_and_inherit_as_by_hand():
             near = next((a for a in chain if a.tag in dom.COPY), None)
             assert r.copy is near
             assert all(a.pos < r.pos <= a.last for a in chain)
+
+
+def test_numbers_and_ranks_need_no_single_task(spark):
+    from glyphmill.operators.stage import numbered, ranked
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(50)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, seq long, v int").repartition(7)
+    got = [(r.v, r.seq) for r in numbered(df, "v", "seq", tasks=5).orderBy("number").collect()]
+    assert got == sorted((v, s) for _, s, v in rows)
+    assert [r.number for r in numbered(df, "v", "seq").orderBy("number").collect()] == list(range(400))
+    assert numbered(df.limit(0), "seq").count() == 0
+    want = {}
+    for k, s, _ in sorted(rows, key=lambda r: r[1]):
+        want[s] = sum(1 for k2, s2, _ in rows if k2 == k and s2 < s)
+    assert {r.seq: r["rank"] for r in ranked(df, ["k"], "seq", 30).collect()} == want
+
+
+def test_the_spread_is_exact_with_ties(spark):
+    from glyphmill.operators import findings
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice([0.32, 0.32, round(rng.random(), 4), 1.0, 0.0])) for k in ("x", "y", None) for _ in range(rng.randrange(40, 90))] + [("z", 0.5), ("w", None)]
+    got = {r.k: (r.n, r.low, r.median, r.high) for r in findings.score_spread(spark.createDataFrame(rows, "k string, score double"), "k").collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(s for j, s in rows if j == k and s is not None)
+        if v:
+            want[k] = (len(v), v[0], v[len(v) // 2], v[-1])
+    assert got == want
