@@ -173,6 +173,17 @@ def deduplicate(issues: DataFrame, counts: DataFrame) -> DataFrame:
     return kept.withColumn("severity", F.coalesce(worst, "severity")).withColumn("also_found_by", F.array_sort(F.array_except("_engines", F.array("engine")))).select(*issues.columns, "also_found_by")
 
 
+def with_browser(issues: DataFrame, audits: DataFrame, found: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(issues of documents with those of their browser audit merged in, audits that failed).
+
+    issues and found: see deduplicate(), which merges both; found's seq starts behind that of issues. audits: (source,
+    error), one per audited document; issues of a failed audit don't count, and a document without an audit keeps its own.
+    """
+    good = audits.filter(F.col("error").isNull())
+    more = found.join(good.select("source"), "source", "left_semi")
+    return deduplicate(issues.unionByName(more), counts), audits.filter(F.col("error").isNotNull())
+
+
 BREAKPOINTS = [("desktop", 1440, 900), ("tablet", 834, 1112), ("mobile", 390, 844)]
 
 

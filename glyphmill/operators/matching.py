@@ -65,7 +65,7 @@ def judged_blocks(blocks: DataFrame, judgments: DataFrame, stretch: int = STRETC
     without a block but with a text follow as blocks of their own (tier `unmatched`, no seq)."""
     met = match_judgments(blocks, judgments, stretch)
     said = judgments.select(F.col("seq").alias("judgment_seq"), "score", "reason")
-    own = blocks.join(met.join(said, "judgment_seq").select(F.col("block_seq").alias("seq"), "score", "reason", "tier"), "seq", "left")
+    own = blocks.select("seq", "block_id", "file", "line", "text").join(met.join(said, "judgment_seq").select(F.col("block_seq").alias("seq"), "score", "reason", "tier"), "seq", "left")
     rest = judgments.join(met.select(F.col("judgment_seq").alias("seq")), "seq", "left_anti").filter(plain(F.col("text")) != "")
     rest = rest.select("block_id", "file", F.col("line").try_cast("int").alias("line"), "text", "score", "reason", F.lit("unmatched").alias("tier"))
     return own.unionByName(rest.withColumns({"seq": F.lit(None).cast("long"), "block_id": F.col("block_id").cast(blocks.schema["block_id"].dataType)}))

@@ -20,19 +20,19 @@ def offline_findings(blocks: DataFrame, categories: tuple[str, ...] = characters
     """Style and character findings as one relation (file, line, offset, end_offset, detector, source, confidence, score, text, replacement, explanation, block_id).
 
     blocks: (block_id, file, line, start, text, language_hint). Findings of low confidence go, but for characters. Offsets
-    count from the file's start. Only blocks that something was found in meet their findings again.
+    count from the file's start. A finding carries its own words, so no text is shuffled to meet its findings again.
     """
     styled = style.style_findings(blocks).filter("confidence <> 'low'").select(
-        "block_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.lit("style").alias("source"), "confidence", "score",
+        "block_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.lit("style").alias("source"), "confidence", "score", "text",
         F.lit(None).cast("string").alias("replacement"), F.array_join(F.concat("structural", "cliches"), ", ").alias("explanation"),
     )
     odd = characters.character_findings(blocks.withColumn("language", F.coalesce("language_hint", F.lit("en"))), categories).select(
-        "block_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.lit("characters").alias("source"), "confidence", "score", "replacement", F.col("description").alias("explanation")
+        "block_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.lit("characters").alias("source"), "confidence", "score", F.col("original").alias("text"), "replacement", F.col("description").alias("explanation")
     )
-    placed = styled.unionByName(odd).join(blocks.select("block_id", "file", "line", "start", F.col("text").alias("_t")), "block_id")
+    placed = styled.unionByName(odd).join(blocks.select("block_id", "file", "line", "start"), "block_id")
     return placed.select(
         "file", "line", (F.col("start") + F.col("_s")).alias("offset"), (F.col("start") + F.col("_e")).alias("end_offset"), F.lit("offline").alias("detector"), "source", "confidence",
-        F.round("score", 3).alias("score"), F.substring(F.col("_t"), F.col("_s") + 1, F.col("_e") - F.col("_s")).alias("text"), "replacement", "explanation", "block_id",
+        F.round("score", 3).alias("score"), "text", "replacement", "explanation", "block_id",
     )
 
 
@@ -122,6 +122,18 @@ def unjudged(spans: DataFrame) -> DataFrame:
     return failed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.greatest(F.count("*") - SHOWN_REASONS, F.lit(0)).alias("more")).join(F.broadcast(first), F.lit(True), "left")  # one row each
 
 
+# ---------------------------------------------------------------- words
+
+
+def plural(n: Column, language: str, one: str, few: str, many: str | None = None) -> Column:
+    """The form that agrees with n: in Ukrainian one of three, where 11 to 14 take the third; elsewhere one of two."""
+    if language != "uk":
+        return F.when(n == 1, one).otherwise(few)
+    last, two = F.abs(n) % 10, F.abs(n) % 100
+    teens = two.between(11, 14)
+    return F.when((last == 1) & ~teens, one).when(last.between(2, 4) & ~teens, few).otherwise(many if many is not None else few)
+
+
 # ---------------------------------------------------------------- roll-ups
 
 

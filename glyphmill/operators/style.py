@@ -110,7 +110,7 @@ def signals(blocks: DataFrame) -> DataFrame:
 
 
 def style_findings(blocks: DataFrame) -> DataFrame:
-    """(block_id, start, end, score, confidence, uniformity, repetition, dashes, structural, cliches, language), a row per sentence.
+    """(block_id, start, end, score, confidence, uniformity, repetition, dashes, structural, cliches, language, text), a row per sentence.
 
     blocks: (block_id, text, language_hint); a null hint is guessed, and stays null under five words: then all lists
     count. Offsets are code points. A construction belongs to the sentence that it starts in. Blank texts give no row.
@@ -125,4 +125,4 @@ def style_findings(blocks: DataFrame) -> DataFrame:
     raw = T.combine_score(F.col("uniformity"), F.col("repetition"), F.col("dashes"), F.size("structural") > 0, F.col("cliches"))
     bare = (F.size("structural") == 0) & (F.size("cliches") == 0)
     scored = hit.withColumn("_raw", raw).withColumn("score", F.when(bare & (F.col("_raw") >= REPORT), CAP).otherwise(F.col("_raw")))
-    return scored.select("block_id", "start", "end", "score", T.confidence(F.col("score")).alias("confidence"), "uniformity", "repetition", "dashes", "structural", "cliches", "language")
+    return scored.select("block_id", "start", "end", "score", T.confidence(F.col("score")).alias("confidence"), "uniformity", "repetition", "dashes", "structural", "cliches", "language", F.col("sentence").alias("text"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lexicon import INVISIBLE, SPACES, TYPOGRAPHY
-from ..operators import code_blocks, fixes, fragments, matching, registry
-from .text_queries import ODD, PHRASES, SQL_ODD, SQL_PHRASED, _docs, _sql_cliches, _with_odd, _with_phrases
+from ..functions.lexicon import CLICHES, INVISIBLE, SPACES, TYPOGRAPHY
+from ..operators import agents, code_blocks, findings, fixes, fragments, matching, registry, reports
+from ..sources import payloads
+from .rule_queries import RULE_PARTS, audited
+from .text_queries import SQL_LANGUAGE, SQL_ODD, SQL_PHRASED, _docs, _sql_cliches, _with_odd, _with_phrases
 
 
 class Euro(registry.BlockDetector):
@@ -118,11 +120,51 @@ def planted_issues(sources: DataFrame) -> DataFrame:
     return sources.select("path", first).join(F.broadcast(issues)).select("path", "seq", "rule_id", "engine", (F.col("first") + F.col("off")).alias("line"), "snippet", "fix_snippet")  # ten rows
 
 
-QUERIES = {f.__name__: f for f in (detector_calls, judgment_matches, source_file_audit, source_file_blocks, fixed_pages)}
+def agent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose phrases weigh enough, as an agent is handed them."""
+    texts = _with_phrases(_docs(spark, sf_dir)).select(F.col("doc_id").alias("block_id"), "text", F.coalesce(T.guess_language_or_null(F.col("text")), F.lit("en")).alias("language_hint"), F.lit("f").alias("file"), F.lit(1).alias("line"))
+    spans = registry.default_registry().run(texts, "phrase-load")
+    found = agents.candidates(texts, spans)
+    lines = agents.payload_lines(found).select(F.get_json_object("value", "$.block_id").cast("long").alias("block_id"), F.get_json_object("value", "$.offline_score").cast("double").alias("score"), F.get_json_object("value", "$.language").alias("language"), F.md5(F.get_json_object("value", "$.text").cast("binary")).alias("text_md5"))
+    return lines
+
+
+def browser_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's own issues about an image with a browser engine's report on the same one; every fifth audit failed."""
+    own = audited(spark, sf_dir).filter("rule_id in ('image-alt', 'button-type')").select(F.monotonically_increasing_id().alias("seq"), "source", "rule_id", "engine", "severity", "selector", "snippet")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("source"), F.col("page_id").alias("k"))
+    payload = pages.select("source", F.lit('{"violations":[{"id":"image-alt","impact":"critical","help":"h","nodes":[{"target":"img","html":"<img src=\\"a.png\\">"}]}]}').alias("payload"))
+    found = payloads.axe_issues(payload).select((F.lit(1 << 60) + F.monotonically_increasing_id()).alias("seq"), "source", "rule_id", "engine", "severity", "selector", "snippet")
+    audits = pages.select("source", F.when(F.col("k") % 5 == 0, "timeout").alias("error"))
+    none = spark.createDataFrame([], "source string, key string, n long")
+    merged, failed = findings.with_browser(own, audits, found, none)
+    told = merged.groupBy("rule_id", "engine", F.array_join("also_found_by", ",").alias("also")).agg(F.count("*").alias("n"))
+    return told.unionByName(failed.groupBy(F.lit("").alias("rule_id"), F.lit("").alias("engine"), F.col("error").alias("also")).agg(F.count("*").alias("n")))
+
+
+def review_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty texts whose phrases weigh most (a report's own limit), and whether they are in the gray zone."""
+    texts = _with_phrases(_docs(spark, sf_dir)).select(F.col("doc_id").alias("block_id"), "text", F.lit("en").alias("language_hint"))
+    top = findings.top_findings(registry.default_registry().run(texts, "phrase-load"), 20)
+    return findings.review_band(top).select("block_id", F.round("score", 6).alias("score"), F.col("needs_review").alias("gray"))
+
+
+def counted_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts each source has, with the noun that agrees, in Ukrainian and Italian."""
+    n = _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    return n.select("source", "n", reports.plural(F.col("n"), "uk", "документ", "документи", "документів").alias("uk"), reports.plural(F.col("n"), "it", "documento", "documenti").alias("it"))
+
+
+QUERIES = {f.__name__: f for f in (detector_calls, judgment_matches, source_file_audit, source_file_blocks, fixed_pages, agent_candidates, browser_merge, review_pool, counted_nouns)}
 
 _quoted = lambda c: f"'{chr(c)}'"
 CLASS = "[" + "".join(dict.fromkeys([*map(chr, INVISIBLE), *map(chr, SPACES), *TYPOGRAPHY])) + "]"
 KIND = f"CASE WHEN x IN ({', '.join(_quoted(c) for c in INVISIBLE)}) THEN 'invisible' WHEN x IN ({', '.join(_quoted(c) for c in SPACES)}) THEN 'space' ELSE 'typography' END"
+_WORDY = lambda c: c.isalnum() or c == "_"
+_LEX = ", ".join(
+    "('{}', '(?i){}{}{}', {})".format(p.replace("'", "''"), r"(^|[^\p{L}\p{N}_])" if _WORDY(p[0]) else "", "".join(rf"\{c}" if not (c.isalnum() or c in " _") and ord(c) < 128 else c for c in p).replace("'", "''"), r"($|[^\p{L}\p{N}_])" if _WORDY(p[-1]) else "", 0.3 if " " in p else 0.1)
+    for p in dict.fromkeys(CLICHES["en"])
+)
 SQL = {
     "detector_calls": f"""
 WITH hits AS ({_sql_cliches()}), p AS (SELECT doc_id, unnest(string_split(phrases, '|')) AS phrase FROM hits WHERE phrases <> ''),
@@ -166,4 +208,20 @@ SELECT 'site/' || page_id || '.html' AS path,
        4::BIGINT AS applied, 1::BIGINT AS needs_input, 1::BIGINT AS ambiguous, 4::BIGINT AS skipped
 FROM s
 """,
+    "agent_candidates": f"""
+WITH hits AS ({_sql_cliches()}), w AS (SELECT doc_id, round(1 - exp(sum(ln(CASE WHEN contains(p, ' ') THEN 0.7 ELSE 0.9 END))), 3) AS s FROM (SELECT doc_id, unnest(string_split(phrases, '|')) AS p FROM hits WHERE phrases <> '') GROUP BY doc_id)
+SELECT doc_id AS block_id, s AS score, coalesce({SQL_LANGUAGE}, 'en') AS language, md5(text) AS text_md5 FROM w JOIN {SQL_PHRASED} USING (doc_id) WHERE s >= 0.25""",
+    "browser_merge": f"""
+WITH {RULE_PARTS}, i AS (SELECT page_id, contains(h, '<img src="a.png">') AS own, page_id % 5 <> 0 AS seen, (SELECT n FROM counted c WHERE c.page_id = p.page_id AND rule_id = 'image-alt') AS alts, (SELECT n FROM counted c WHERE c.page_id = p.page_id AND rule_id = 'button-type') AS types FROM p)
+SELECT 'image-alt' AS rule_id, 'static' AS engine, 'axe' AS also, count(*) AS n FROM i WHERE own AND seen HAVING count(*) > 0
+UNION ALL SELECT 'image-alt', 'static', '', sum(alts - CASE WHEN own AND seen THEN 1 ELSE 0 END)::BIGINT FROM i HAVING sum(alts - CASE WHEN own AND seen THEN 1 ELSE 0 END) > 0
+UNION ALL SELECT 'button-type', 'static', '', sum(types)::BIGINT FROM i HAVING sum(types) > 0
+UNION ALL SELECT 'axe:image-alt', 'axe', '', count(*) FROM i WHERE NOT own AND seen HAVING count(*) > 0
+UNION ALL SELECT '', '', 'timeout', count(*) FROM i WHERE NOT seen HAVING count(*) > 0""",
+    "review_pool": f"""
+WITH f AS (SELECT doc_id, phrase, weight FROM (WITH t AS (SELECT doc_id, text FROM {SQL_PHRASED}), lex(phrase, pattern, weight) AS (VALUES {_LEX}) SELECT doc_id, phrase, weight FROM t JOIN lex ON contains(lower(t.text), lower(phrase)) AND regexp_matches(t.text, pattern)))
+SELECT doc_id AS block_id, round(1 - exp(sum(ln(1 - weight))), 6) AS score, score >= 0.30 AND score < 0.50 AS gray FROM f GROUP BY doc_id ORDER BY score DESC, block_id LIMIT 20""",
+    "counted_nouns": """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT source, n, CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 'документ' WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 12 AND 14 THEN 'документи' ELSE 'документів' END AS uk, CASE WHEN n = 1 THEN 'documento' ELSE 'documenti' END AS it FROM c""",
 }

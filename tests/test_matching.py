@@ -98,3 +98,33 @@ def test_nothing_to_match(spark):
     none, some = spark.createDataFrame([], SAID), spark.createDataFrame([(0, "a", "f", 1, "t")], BLOCK)
     assert matching.match_judgments(some, none).count() == 0
     assert matching.judged_blocks(some, none).filter(F.col("tier").isNull()).count() == 1
+
+
+def test_agents_get_candidates_and_their_judgments_are_merged(spark):
+    import json
+
+    from glyphmill.operators import agents
+
+    blocks = spark.createDataFrame([(0, "a", "f.md", 1, "Text a", None), (1, "b", "f.md", 2, "Text b", "it"), (2, "c", "g.md", 1, "Text c", None)], BLOCK + ", language_hint string")
+    spans = spark.createDataFrame([("a", 5, 9, 0.4, "later", None), ("a", 0, 4, 0.26, "first", None), ("b", 0, 4, 0.9, "broken", "boom"), ("c", 0, 4, 0.24, "weak", None)], "block_id string, start int, end int, score double, explanation string, error string")
+    found = agents.candidates(blocks, spans)
+    assert [tuple(r) for r in found.collect()] == [("a", "f.md", 1, "Text a", "en", 0.26, "first")]
+    lines = agents.payload_lines(found, blocks).collect()
+    assert sorted(r.kind for r in lines) == ["block"] * 3 + ["candidate"] and {json.loads(r.value)["language"] for r in lines if r.kind == "block"} == {"en", "it"}
+    assert tuple(agents.payload_totals(found, blocks).first()) == (3, 1, 0.25)
+    said = spark.createDataFrame([(0, "old", "x/f.md", "1", "Text  a", 0.1, "no"), (1, "c", None, None, None, 0.8, "yes"), (2, None, None, None, "Elsewhere", 0.5, None)], SAID)
+    got = {(r.seq, r.block_id): (r.score, r.source, r.explanation) for r in agents.merged_report(blocks, spans, said).collect()}
+    assert got == {(0, "a"): (0.4, "agent+offline", "agent: no (score=0.10); offline: later"), (2, "c"): (0.8, "agent+offline", "agent: yes (score=0.80); offline: weak"), (None, None): (0.5, "agent", "agent:  (score=0.50)")}
+
+
+def test_browser_audits_join_their_documents(spark):
+    from glyphmill.operators import findings
+
+    schema = "seq long, source string, rule_id string, engine string, severity string, selector string, snippet string"
+    own = spark.createDataFrame([(1, "p", "image-alt", "static", "serious", "html > img", '<img src="a">'), (2, "q", "image-alt", "static", "serious", "html > img", '<img src="a">'), (3, "r", "x", "static", "minor", "s", "<p>")], schema)
+    found = spark.createDataFrame([(10, "p", "axe:image-alt", "axe", "critical", "img", '<img src="a">'), (11, "q", "axe:image-alt", "axe", "critical", "img", '<img src="a">'), (12, "p", "axe:label", "axe", "minor", "input", "<input>")], schema)
+    audits = spark.createDataFrame([("p", None), ("q", "timeout")], "source string, error string")
+    merged, failed = findings.with_browser(own, audits, found, spark.createDataFrame([], "source string, key string, n long"))
+    got = {(r.source, r.rule_id): (r.severity, r.also_found_by) for r in merged.collect()}
+    assert got == {("p", "image-alt"): ("critical", ["axe"]), ("q", "image-alt"): ("serious", []), ("r", "x"): ("minor", []), ("p", "axe:label"): ("minor", [])}
+    assert [tuple(r) for r in failed.collect()] == [("q", "timeout")]
