@@ -49,10 +49,11 @@ def sentence_chunks(text: Column, language: Column) -> Column:
 
     No cut after an abbreviation of the language (null or another language: of any). Chunks keep their outer blanks.
     """
-    marked = F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(" ")), r"(?<=[.!?…])(?=[ \t\n])", CUT)
+    marked = F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(" ")), r"([.!?…])(?=[ \t\n])", "$1" + CUT)
 
     def joined(lang: str | None) -> Column:
-        return F.regexp_replace(marked, rf"(?iu)(?<![\p{{L}}\p{{N}}'-])((?:{_abbreviations(lang)})\.){CUT}", "$1")
+        # The mark is looked for first, so the list is tried at marks alone.
+        return F.regexp_replace(marked, rf"(?iu){CUT}(?<=(?<![\p{{L}}\p{{N}}'-])(?:{_abbreviations(lang)})\.{CUT})", "")
 
     out = F.when(language == "en", joined("en")).when(language == "it", joined("it")).when(language == "uk", joined("uk")).otherwise(joined(None))
     return F.split(out, CUT, -1)
@@ -64,9 +65,17 @@ def sentences(text: Column, language: Column) -> Column:
     return F.filter(trimmed, lambda c: c != "")
 
 
+_WORD = r"[a-z0-9_'’\p{L}\p{N}-]++"
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters, digits, _, apostrophes and hyphens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_'’-]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+
+
+def count_words(text: Column) -> Column:
+    """How many words() has, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(_WORD))
 
 
 # ---------------------------------------------------------------- style
@@ -90,7 +99,7 @@ def uniformity(sentence_texts: Column) -> Column:
         spread = F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(n))
         return F.when(F.size(n) >= 3, clamp(1.0 - spread / mean / 0.6))
 
-    lengths = F.filter(F.transform(sentence_texts, lambda s: F.size(words(s)).cast("double")), lambda n: n > 0)
+    lengths = F.filter(F.transform(sentence_texts, lambda s: count_words(s).cast("double")), lambda n: n > 0)
     return _let(lengths, score)
 
 
