@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each calling one operator on all that its predecessor kept."""
+"""The corpus pipeline: five stages over documents, each calling one operator on all that its predecessor kept.
+
+All stages but the last return the columns of documents, whatever their names, by position. Each is judged row by row:
+equal rows stay equal rows, no text is shortened before it is judged, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +18,19 @@ SURE, LEAST_MORE = 0.25, 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the base limits or the adaptive fences reject go."""
+    """Operator 8: documents that the base limits or the adaptive fences reject go; null, empty and short texts are among them.
+
+    A null lang or source is a group of its own; repeated rows go or stay together.
+    """
     hidden = veil(docs, "text", "lang", "source")
     return unveil(quality.judge(hidden, hidden.columns[: len(docs.columns)], store=False).filter("kept"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: texts without a language go, and those that surely aren't in the language they claim (null: any)."""
+    """Operator 3: texts without a language go (null, empty, no letters), and those that surely aren't in the language they claim (null: any).
+
+    Long texts are read whole; equal texts with equal claims go or stay together.
+    """
     model = language.learn(docs, check=(SURE, LEAST_MORE))
     hidden = veil(docs, "lang", "text")
     found = language.identify(hidden, model, hidden.columns, claim="lang")
@@ -29,18 +39,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group stays."""
+    """Operator 10: one document of each group stays, of equal ones one; null and empty texts are one text. Null doc_ids are kept apart by text."""
     return unveil(jaccard.keep_one(veil(docs, "doc_id", "text")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each document the words that the mix's slots take, a row for each pass."""
+    """Operator 2: of each document the words that the mix's slots take, a row for each pass; a null source is one, texts without words give none."""
     out = mixing.mixed(veil(docs, "doc_id", "source", "text"))
     return unveil(out.withColumn(f"c{docs.columns.index('text')}", F.col("text")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: pieces of token ids and their places in sequences."""
+    """Operator 9: pieces of token ids and their places in sequences; null text is empty (an end id), long texts are cut, equal rows packed each."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
