@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each calling one operator on all that its predecessor kept.
 
-All stages but the last return the columns of documents, whatever their names, by position. Each is judged row by row:
-equal rows stay equal rows, no text is shortened before it is judged, and an empty table gives an empty one.
+All stages but the last return the columns of documents, extra ones too, whatever their names. No text is shortened before
+it is judged, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,7 +39,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group stays, of equal ones one; null and empty texts are one text. Null doc_ids are kept apart by text."""
+    """Operator 10: one document of each group stays, the row with the least (doc_id, hash of the text), null ids last.
+
+    A null text counts as empty; a row that occurs twice stays once; long texts are compared whole.
+    """
     return unveil(jaccard.keep_one(veil(docs, "doc_id", "text")), docs)
 
 
