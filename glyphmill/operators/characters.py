@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,20 +23,40 @@ def describe(ch: str, replacement: str) -> str:
     return f"U+{ord(ch):04X} {name} -> {replacement!r}" if replacement else f"U+{ord(ch):04X} {name} -> removed"
 
 
-def character_map(spark: SparkSession) -> DataFrame:
-    """(ch, category, replacement, description) of every single character that is reported; about 1500 rows by rule and tables."""
-    rows = {}
-    for ch, replacement in styled_characters().items():
-        rows[ch] = ("styled", replacement)
+def reported_characters() -> dict[str, tuple[str, str]]:
+    """Category and replacement of every single character that is reported."""
+    rows = {ch: ("styled", r) for ch, r in styled_characters().items()}
     rows |= {ch: ("typography", r) for ch, r in TYPOGRAPHY.items()}
     rows |= {chr(cp): ("space", " ") for cp in SPACES}
-    rows |= {chr(cp): ("invisible", "") for cp in INVISIBLE}
-    return spark.createDataFrame([(ch, c, r, describe(ch, r)) for ch, (c, r) in rows.items()], "ch string, category string, replacement string, description string")
+    return rows | {chr(cp): ("invisible", "") for cp in INVISIBLE}
+
 
+def character_map(spark: SparkSession) -> DataFrame:
+    """(ch, category, replacement, description) of every single character that is reported; about 1500 rows by rule and tables."""
+    return spark.createDataFrame([(ch, c, r, describe(ch, r)) for ch, (c, r) in reported_characters().items()], "ch string, category string, replacement string, description string")
 
-def _suspicious() -> str:
-    """A class that holds every reported character: what has none needs no explode."""
-    return r"[^\x00-\x7F]"
+
+def _class(codes: Iterable[int]) -> str:
+    """A character class of these code points, neighbours as ranges."""
+    spans: list[list[int]] = []
+    for c in sorted(set(codes)):
+        if spans and c == spans[-1][1] + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" if hi > lo else f"\\x{{{lo:X}}}" for lo, hi in spans) + "]"
+
+
+def _heads(blocks: DataFrame, cut: Column, head: Column, *keep: str | Column) -> DataFrame:
+    """(block_id, start, head, keep ...): what head finds at the beginning of a piece of the cut text, and where the piece begins.
+
+    Texts are cut in front of matches, so there is a row for a match, not for a character, and only lengths and heads are
+    shuffled. The pattern looks behind itself for a letter at most, so it fits a piece's beginning as it fits the text.
+    """
+    parts = blocks.select("block_id", *keep, F.posexplode(cut).alias("nth", "part"))
+    narrow = parts.withColumns({"_n": F.length("part"), "head": head}).drop("part")
+    start = F.coalesce(F.sum("_n").over(W.partitionBy("block_id").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return narrow.withColumn("start", start).filter("head <> ''").drop("nth", "_n")
 
 
 def _look_alikes(spark: SparkSession) -> DataFrame:
@@ -53,42 +75,66 @@ def _majority(counts: dict[str, Column], first: dict[str, Column]) -> Column:
 
 def _single(blocks: DataFrame) -> DataFrame:
     """Reported characters of the map: (block_id, start, end, original, replacement, category, description)."""
-    spark = blocks.sparkSession
+    known = character_map(blocks.sparkSession)
     exempt = F.when(F.col("language") == "uk", F.array(*[F.lit(c) for c in EXEMPT["uk"]])).when(F.col("language") == "it", F.array(*[F.lit(c) for c in EXEMPT["it"]])).otherwise(F.array().cast("array<string>"))
-    chars = blocks.filter(F.col("text").rlike(_suspicious())).select("block_id", exempt.alias("_exempt"), F.posexplode(F.split("text", "")).alias("start", "ch")).filter(F.col("ch").rlike(_suspicious()))
-    found = chars.join(F.broadcast(character_map(spark)), "ch").filter(~F.array_contains("_exempt", F.col("ch")))
+    codes = [ord(ch) for ch in reported_characters()]
+    plain = [c for c in range(0x80) if c not in codes]  # one look settles these
+    reported = f"(?!{_class(plain)}){_class(codes)}"
+    chars = _heads(blocks.filter(F.col("text").rlike(reported)), F.split("text", f"(?={reported})", -1), F.regexp_extract("part", f"^{reported}", 0), exempt.alias("_exempt")).withColumnRenamed("head", "ch")
+    found = chars.join(F.broadcast(known), "ch").filter(~F.array_contains("_exempt", F.col("ch")))
     return found.select("block_id", "start", (F.col("start") + 1).alias("end"), F.col("ch").alias("original"), "replacement", "category", "description")
 
 
+_SCRIPTS = {"cyrillic": _CYRILLIC, "greek": _GREEK, "latin": _LATIN}
+#: A character of a word, and letters of each script.
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+_LETTERS = {s: f"[{c}&&{_LETTER}]" for s, c in _SCRIPTS.items()}
+#: No letter in front; looked for over two units, as a letter may be a pair of them.
+_START = f"(?<!{_LETTER}{{1,2}})"
+
+
+def _scripts(text: Column) -> Column:
+    """An array of one struct: most, the script of most letters of a text, and kinds, how many scripts it has."""
+    counts = [(F.length(text) - F.length(F.regexp_replace(text, f"{c}+", ""))).alias(s) for s, c in _LETTERS.items()]
+    firsts = [F.nullif(F.regexp_instr(text, F.lit(c)), F.lit(0)).alias(f"{s}_at") for s, c in _LETTERS.items()]
+    return F.transform(F.array(F.struct(*counts, *firsts)), lambda x: F.struct(_majority({s: x[s] for s in _LETTERS}, {s: x[f"{s}_at"] for s in _LETTERS}).alias("most"), sum((F.when(x[s] > 0, 1).otherwise(0) for s in _LETTERS), F.lit(0)).alias("kinds")))
+
+
+def _odd_words(majority: str) -> str:
+    """Where a word begins that has letters of two scripts, or is one letter of another script than the majority."""
+    lone = "|".join(c for s, c in _LETTERS.items() if s != majority)
+    pairs = "|".join(f"(?={_LETTER}*?{_LETTERS[a]})(?={_LETTER}*?{_LETTERS[b]})" for a, b in itertools.combinations(_LETTERS, 2))
+    # Each of these words has a letter that isn't Latin, unless it is a lone Latin one.
+    foreign = r"(?=[\p{L}\p{Nl}\p{No}&&[^\u0370-\u052f]]*+[\u0370-\u052f])"
+    return f"{_START}(?:{foreign}(?:(?:{lone})(?!{_LETTER})|{pairs}))" if majority == "latin" else f"{_START}(?:(?:{lone})(?!{_LETTER})|{foreign}(?:{pairs}))"
+
+
 def _homoglyphs(blocks: DataFrame) -> DataFrame:
     """Letters of another script than the rest of their word, and lone ones of another script than the rest of the text.
 
-    A lone letter has no replacement: it is reported for review. Only texts with letters of two scripts are opened.
+    A lone letter has no replacement: it is reported for review. Only texts with letters of two scripts are looked at, and
+    of these only words with letters of two scripts and lone letters of another script than most.
     """
     spark = blocks.sparkSession
-    mixed = blocks.filter((F.col("text").rlike(_CYRILLIC).cast("int") + F.col("text").rlike(_GREEK).cast("int") + F.col("text").rlike(_LATIN).cast("int")) >= 2)
-    chars = mixed.select("block_id", F.posexplode(F.split("text", "")).alias("start", "ch"))
-    letter = F.col("ch").rlike(r"[\p{L}\p{N}&&[^\p{Nd}_]]") | F.col("ch").rlike(r"\p{L}")
-    by_block = W.partitionBy("block_id").orderBy("start")
-    marked = chars.withColumn("script", script(F.col("ch"))).withColumn("_w", F.sum(F.when(letter, 0).otherwise(1)).over(by_block.rowsBetween(W.unboundedPreceding, 0))).filter(letter)
-
-    def scripts(*keys: str) -> dict[str, Column]:
-        over = W.partitionBy(*keys)
-        count = {s: F.count_if(F.col("script") == s).over(over) for s in ("cyrillic", "greek", "latin")}
-        first = {s: F.min(F.when(F.col("script") == s, F.col("start"))).over(over) for s in count}
-        return {"majority": _majority(count, first), "kinds": F.size(F.array_compact(F.array(*[F.when(c > 0, s) for s, c in count.items()])))}
-
-    word = W.partitionBy("block_id", "_w")
-    in_text = scripts("block_id")
-    in_word = scripts("block_id", "_w")
-    known = marked.withColumns({"n": F.count("*").over(word), "word": F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "ch")).over(word)), lambda x: x["ch"]), ""), "majority": in_word["majority"], "kinds": in_word["kinds"], "text_majority": in_text["majority"], "text_kinds": in_text["kinds"]})
-    lone = F.col("n") == 1
-    wanted = known.withColumn("majority", F.when(lone, F.col("text_majority")).otherwise(F.col("majority"))).filter((F.when(lone, F.col("text_kinds")).otherwise(F.col("kinds")) >= 2) & F.col("script").isNotNull() & (F.col("script") != F.col("majority")))
-    found = wanted.join(F.broadcast(_look_alikes(spark)), ["ch", "majority"])
+    # The generator has each text's scripts counted once.
+    mixed = blocks.filter(F.col("text").rlike("[\u0370-\u052f]")).select("block_id", "text", F.explode(_scripts(F.col("text"))).alias("s")).filter("s.kinds >= 2").select("block_id", "text", F.col("s.most").alias("_most"))
+
+    def by_majority(of) -> Column:  # noqa: ANN001
+        out = F
+        for s in _LETTERS:
+            out = out.when(F.col("_most") == s, of(_odd_words(s)))
+        return out
+
+    found = _heads(mixed, by_majority(lambda p: F.split("text", f"(?={p})", -1)), by_majority(lambda p: F.regexp_extract("part", f"^(?={p}){_LETTER}+", 0)), "_most")
+    words = found.select("block_id", "start", "_most", F.col("head").alias("word"), F.explode(_scripts(F.col("head"))).alias("s"))
+    lone = F.length("word") == 1
+    words = words.select("block_id", F.col("start").alias("_from"), "word", lone.alias("lone"), F.when(lone, F.col("_most")).otherwise(F.col("s.most")).alias("majority"), F.posexplode(F.split("word", "")).alias("_at", "ch"))
+    wanted = words.filter(script(F.col("ch")) != F.col("majority")).withColumn("start", F.col("_from") + F.col("_at"))
+    met = wanted.join(F.broadcast(_look_alikes(spark)), ["ch", "majority"])
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     inside = F.concat(F.col("named"), F.lit(" inside a "), F.col("majority"), F.lit(" word ("), quoted(F.col("word")), F.lit(") -> "), quoted(F.col("replacement")))
     alone = F.concat(F.col("named"), F.lit(" alone in "), F.col("majority"), F.lit(" text -> looks like "), quoted(F.col("replacement")), F.lit("; review manually"))
-    return found.select("block_id", "start", (F.col("start") + 1).alias("end"), F.col("ch").alias("original"), F.when(~lone, F.col("replacement")).alias("replacement"), F.lit("homoglyph").alias("category"), F.when(lone, alone).otherwise(inside).alias("description"))
+    return met.select("block_id", "start", (F.col("start") + 1).alias("end"), F.col("ch").alias("original"), F.when(~F.col("lone"), F.col("replacement")).alias("replacement"), F.lit("homoglyph").alias("category"), F.when(F.col("lone"), alone).otherwise(inside).alias("description"))
 
 
 def _entities(blocks: DataFrame) -> DataFrame:
