@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import _let
+
 
 def splice(texts: DataFrame, edits: DataFrame, key: str = "block_id", order: Column | None = None) -> DataFrame:
     """(key, text) of texts (key, text) with edits (key, start, end, new) made.
@@ -79,7 +79,8 @@ def tidy(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?U)^[\s,;:—–-]+", "")
     out = F.regexp_replace(out, r"(?U),\s*,", ",")
     out = F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
-    return F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out)))
+    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+    return _let(out, capital)
 
 
 def suggest(text: Column, language: Column, phrases: dict[str, dict[str, str]]) -> Column:
@@ -87,21 +88,30 @@ def suggest(text: Column, language: Column, phrases: dict[str, dict[str, str]])
 
     A language's table is followed by the English one. Dashes with blanks become commas in en and it.
     """
-    from .style import phrase_pattern
+    from .style import _longest_here, phrase_pattern
 
     def replaced(whole: Column, table: dict[str, str]) -> Column:
-        """One alternation decides whether a text goes through the table at all."""
-        some = "(?iu)" + "|".join(re.escape(p) for p in sorted(table, key=len, reverse=True)) if table else "(?!)"
-        out = whole
-        for phrase, new in table.items():
-            pattern = phrase_pattern(phrase)
-            title = pattern.replace("(?iu)", r"(?iu)", 1)
-            upper = new[:1].upper() + new[1:]
-            capital = r"(?=(?-i:\p{Lu}))"
-            at = title.index(")", 0) + 1
-            out = F.regexp_replace(out, title[:at] + _after_boundary(title[at:], capital), _literal(upper))
-            out = F.regexp_replace(out, title, _literal(new))
-        return F.when(whole.rlike(some), out).otherwise(whole)
+        """One look decides whether a text, and then each of its pieces, goes through the table at all.
+
+        Pieces end with a mark that no phrase or replacement holds and that is no part of a word, so no match crosses it.
+        """
+        if not table:
+            return whole
+        some = _longest_here(list(table))
+        marks = "".join(c for c in ".!?;:\n" if not any(c in x for pair in table.items() for x in pair))
+
+        def fold(out: Column) -> Column:
+            for phrase, new in table.items():
+                pattern = phrase_pattern(phrase)
+                upper = new[:1].upper() + new[1:]
+                capital = r"(?=(?-i:\p{Lu}))"
+                at = pattern.index(")", 0) + 1
+                out = F.regexp_replace(out, pattern[:at] + _after_boundary(pattern[at:], capital), _literal(upper))
+                out = F.regexp_replace(out, pattern, _literal(new))
+            return out
+
+        pieces = F.split(whole, f"(?<=[{marks}])", -1) if marks else F.array(whole)
+        return F.when(whole.rlike(some), F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(some), fold(p)).otherwise(p)), "")).otherwise(whole)
 
     english = phrases.get("en", {})
     out = F.when(F.coalesce(language, F.lit("en")) == "en", replaced(text, english))
@@ -110,8 +120,7 @@ def suggest(text: Column, language: Column, phrases: dict[str, dict[str, str]])
             out = out.when(language == lang, replaced(replaced(text, table), english))
     out = out.otherwise(replaced(text, english))
     out = F.when(F.coalesce(language, F.lit("en")).isin("en", "it"), F.regexp_replace(out, r"(?U)\s+[—–]\s+", ", ")).otherwise(out)
-    out = tidy(out)
-    return F.when((out != "") & (out != text), out)
+    return _let(tidy(out), lambda x: F.when((x != "") & (x != text), x))
 
 
 def _after_boundary(pattern: str, look: str) -> str:

@@ -29,3 +29,15 @@ def test_characters_make_rows_of_matches_not_of_all_characters(spark):
         ]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_suggestions_of_all_languages_go_by_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from glyphmill.functions.suggestions import SUGGESTIONS
+    from glyphmill.operators import edits
+
+    tables = {lang: {p: r for p, r in t.items() if r is not None} for lang, t in SUGGESTIONS.items()}
+    rows = [("In the era of x. ARGUABLY fine: in the era of y\nIn this day and age", "en"), ("nothing here. nor here", "it"), ("In the era of x", None)]
+    found = spark.createDataFrame(rows, "t string, l string").select(edits.suggest(F.col("t"), F.col("l"), tables).alias("s"))
+    assert [r.s for r in found.collect()] == ["In x. fine: in y\nNow", "Nothing here. nor here", "In x"]
