@@ -131,8 +131,9 @@ def agent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def browser_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's own issues about an image with a browser engine's report on the same one; every fifth audit failed."""
-    own = audited(spark, sf_dir).filter("rule_id in ('image-alt', 'button-type')").select(F.monotonically_increasing_id().alias("seq"), "source", "rule_id", "engine", "severity", "selector", "snippet")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("source"), F.col("page_id").alias("k"))
+    own = audited(spark, sf_dir).filter("rule_id in ('image-alt', 'button-type')").select(F.monotonically_increasing_id().alias("seq"), F.col("doc_id").cast("string").alias("source"), "rule_id", "engine", "severity", "selector", "snippet")
+    # A page is its id: two may share a url.
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("source"), F.col("page_id").alias("k"))
     payload = pages.select("source", F.lit('{"violations":[{"id":"image-alt","impact":"critical","help":"h","nodes":[{"target":"img","html":"<img src=\\"a.png\\">"}]}]}').alias("payload"))
     found = payloads.axe_issues(payload).select((F.lit(1 << 60) + F.monotonically_increasing_id()).alias("seq"), "source", "rule_id", "engine", "severity", "selector", "snippet")
     audits = pages.select("source", F.when(F.col("k") % 5 == 0, "timeout").alias("error"))
