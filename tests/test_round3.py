@@ -41,3 +41,20 @@ def test_suggestions_of_all_languages_go_by_pieces(spark):
     rows = [("In the era of x. ARGUABLY fine: in the era of y\nIn this day and age", "en"), ("nothing here. nor here", "it"), ("In the era of x", None)]
     found = spark.createDataFrame(rows, "t string, l string").select(edits.suggest(F.col("t"), F.col("l"), tables).alias("s"))
     assert [r.s for r in found.collect()] == ["In x. fine: in y\nNow", "Nothing here. nor here", "In x"]
+
+
+def test_pages_that_share_a_url_are_told_apart(spark, tmp_path):
+    import duckdb
+
+    from glyphmill.plans import operation_queries, page_queries
+
+    html = '<html><head></head><body><h1>x</h1></body></html>'
+    spark.createDataFrame([(i, f"https://x.example/{i // 3}", html) for i in range(12)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for module, name in ((page_queries, "deduplicated_issues"), (page_queries, "merged_widths"), (operation_queries, "browser_merge")):
+        found = module.QUERIES[name](spark, str(tmp_path))
+        wanted = con.execute(module.SQL[name])
+        names = [d[0] for d in wanted.description]
+        assert sorted(found.columns) == sorted(names)
+        assert sorted(map(repr, map(tuple, found.select(*names).collect()))) == sorted(map(repr, wanted.fetchall())), name
