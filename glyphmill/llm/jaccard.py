@@ -264,15 +264,22 @@ def _blocked(df: DataFrame, key: str, size: Column, limit: int, node: str) -> Da
     return pair.withColumn(key, F.when(F.col("_blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, "side_a", "side_b"))).drop("_blocks", "_j")
 
 
+def _nodes_below(table: DataFrame, level: int, above: DataFrame, large: DataFrame, many: int) -> DataFrame:
+    """(b, fp) of a level, of sets in the large buckets above only. Lists of other texts aren't opened: a sieve drops them unread."""
+    texts = above.join(small(large, many), "b", "left_semi").select(F.xxhash64("fp").alias("k")).distinct()
+    maybe = sieve(table.select("fp", f"l{level}"), F.xxhash64("fp"), texts, texts.count()).filter("maybe")
+    nodes = maybe.select(F.explode(f"l{level}").alias("x"), "fp").select(F.col("x.p").alias("p"), F.col("x.b").alias("b"), "fp")
+    return nodes.join(small(large.withColumnRenamed("b", "p"), many), "p", "left_semi").select("b", "fp").distinct()
+
+
 def _candidates(table: DataFrame, reps: DataFrame, depth: int, threshold: float, shelf: Shelf) -> DataFrame:
-    """Edges of the buckets of all runs."""
-    cand, large, many = None, None, 0
+    """Edges of the buckets of all runs. A level is written once and ends the descent when none of its buckets is large."""
+    cand, rows, large, many = None, None, None, 0
     for level in range(1, depth + 1):
         if level == 1:
-            rows = table.select(F.explode("l1").alias("b"), "fp").distinct()
-        else:  # only sets in large buckets go on
-            nodes = table.select(F.explode(f"l{level}").alias("x"), "fp").select(F.col("x.p").alias("p"), F.col("x.b").alias("b"), "fp")
-            rows = nodes.join(small(large.withColumnRenamed("b", "p"), many), "p", "left_semi").select("b", "fp").distinct()
+            rows = shelf.put(table.select(F.explode("l1").alias("b"), "fp").distinct())
+        else:
+            rows = shelf.put(_nodes_below(table, level, rows, large, many))
         counts = shelf.put(rows.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1"))
         sizes = counts.filter(F.col("size") > BUCKET)
         many = sizes.count()
@@ -280,6 +287,8 @@ def _candidates(table: DataFrame, reps: DataFrame, depth: int, threshold: float,
         # Rows of large buckets leave before the join, so that none of its keys has more than BUCKET rows.
         few = rows.join(small(large, many), "b", "left_anti").join(counts.filter(F.col("size") <= BUCKET).select("b"), "b", "left_semi")
         cand = few if cand is None else cand.unionByName(few)
+        if not many:
+            break
         if level == depth:
             split = _blocked(rows.join(small(sizes, many), "b"), "b", F.col("size"), LAST_BLOCK, "fp")
             cand = cand.unionByName(split.select("b", "fp"))

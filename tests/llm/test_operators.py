@@ -671,3 +671,37 @@ def test_one_of_each_stays(spark, odd, none):
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] or 0 for r in kept.collect())) == [0, 1, 4, 5, 7, 8, 9, 10]
     assert jaccard.jaccard_classes(none).count() == 0
+
+
+def _rows_made(spark, node, query):
+    """Rows that all plan nodes of that name made while query ran, by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {(e := store.executionsList().apply(i)).executionId() for i in range(store.executionsList().size())}
+    before = ids()
+    query()
+    made = 0
+    for e in ids() - before:
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for i in range(nodes.size()):
+            if nodes.apply(i).name() != node:
+                continue
+            metrics = nodes.apply(i).metrics()
+            for k in range(metrics.size()):
+                if metrics.apply(k).name() == "number of output rows" and (v := values.get(metrics.apply(k).accumulatorId())).isDefined():
+                    made += int(v.get().replace(",", ""))
+    return made
+
+
+def test_jaccard_opens_lists_of_large_buckets_only(spark, monkeypatch):
+    """Paths below the first level are rows for texts that share a large bucket, once a level: 13, 16 and 20 a text, not for all texts and again for each plan."""
+    rng = random.Random(5)
+    alone = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(30))) for i in range(400)]
+    base = [f"c{k}" for k in range(60)]
+    near = [(1000 + i, " ".join([*base, f"end{i}"])) for i in range(30)]
+    monkeypatch.setattr(jaccard, "BUCKET", 12)
+    monkeypatch.setattr(jaccard, "LAST_BLOCK", 20)
+    docs = spark.createDataFrame(alone + near, "doc_id long, text string")
+    got = []
+    made = _rows_made(spark, "Generate", lambda: got.extend(jaccard.jaccard_classes(docs).select("doc_id", "class_id").collect()))
+    assert {r.doc_id: r.class_id for r in got} == {i: i if i < 1000 else 1000 for i, _ in alone + near}
+    assert 400 * 10 < made < 430 * 17 + 30 * 60
