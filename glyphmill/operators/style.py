@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -116,11 +115,13 @@ def style_findings(blocks: DataFrame) -> DataFrame:
     count. Offsets are code points. A construction belongs to the sentence that it starts in. Blank texts give no row.
     """
     base = signals(blocks.select("block_id", "text", "language_hint").filter(F.col("text").isNotNull())).withColumn("_found", constructions(F.col("text"), F.col("language")))
-    rows = base.select("block_id", "language", "uniformity", "repetition", "dashes", "_found", F.posexplode("chunks").alias("nth", "chunk"))
-    before = F.coalesce(F.sum(F.length("chunk")).over(W.partitionBy("block_id").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    lead = F.length("chunk") - F.length(F.regexp_replace("chunk", r"(?U)^\s+", ""))
-    placed = rows.withColumn("start", (before + lead).cast("int")).withColumn("sentence", F.regexp_replace("chunk", r"(?U)^\s+|\s+$", "")).filter("sentence <> ''").withColumn("end", F.col("start") + F.length("sentence"))
-    own = F.transform(F.filter("_found", lambda m: (m["offset"] >= F.col("start")) & (m["offset"] < F.col("end"))), lambda m: m["text"])
+    # Starts and each chunk's own constructions are found inside the text's row: nothing is shuffled, and no sentence carries the list of its whole text.
+    at = base.withColumn("_starts", T.running_starts(F.transform("chunks", F.length)))
+    piece = lambda c, s: F.struct(c.alias("chunk"), s.alias("at"), F.filter("_found", lambda m: (m["offset"] >= s) & (m["offset"] < s + F.length(c))).alias("own"))
+    rows = at.select("block_id", "language", "uniformity", "repetition", "dashes", F.explode(F.zip_with("chunks", "_starts", piece)).alias("p"))
+    lead = F.length("p.chunk") - F.length(F.regexp_replace("p.chunk", r"(?U)^\s+", ""))
+    placed = rows.withColumn("start", F.col("p.at") + lead).withColumn("sentence", F.regexp_replace("p.chunk", r"(?U)^\s+|\s+$", "")).filter("sentence <> ''").withColumn("end", F.col("start") + F.length("sentence"))
+    own = F.transform(F.filter("p.own", lambda m: (m["offset"] >= F.col("start")) & (m["offset"] < F.col("end"))), lambda m: m["text"])
     hit = placed.withColumn("structural", own).withColumn("cliches", cliches(F.col("sentence"), F.col("language")))
     raw = T.combine_score(F.col("uniformity"), F.col("repetition"), F.col("dashes"), F.size("structural") > 0, F.col("cliches"))
     bare = (F.size("structural") == 0) & (F.size("cliches") == 0)
