@@ -265,11 +265,12 @@ def _blocked(df: DataFrame, key: str, size: Column, limit: int, node: str) -> Da
 
 
 def _nodes_below(table: DataFrame, level: int, above: DataFrame, large: DataFrame, many: int) -> DataFrame:
-    """(b, fp) of a level, of sets in the large buckets above only. Lists of other texts aren't opened: a sieve drops them unread."""
-    texts = above.join(small(large, many), "b", "left_semi").select(F.xxhash64("fp").alias("k")).distinct()
-    maybe = sieve(table.select("fp", f"l{level}"), F.xxhash64("fp"), texts, texts.count()).filter("maybe")
-    nodes = maybe.select(F.explode(f"l{level}").alias("x"), "fp").select(F.col("x.p").alias("p"), F.col("x.b").alias("b"), "fp")
-    return nodes.join(small(large.withColumnRenamed("b", "p"), many), "p", "left_semi").select("b", "fp").distinct()
+    """(b, fp) of a level, below large buckets only. A text's list is cut to these before it becomes rows; a sieve drops the lists of other texts unread."""
+    inside = above.join(small(large, many), "b", "left_semi").groupBy("fp").agg(F.collect_set("b").alias("ps"))
+    keys = inside.select(F.xxhash64("fp").alias("k"))
+    maybe = sieve(table.select("fp", f"l{level}"), F.xxhash64("fp"), keys, keys.count()).filter("maybe").dropDuplicates(["fp"])
+    below = maybe.join(inside, "fp").select("fp", F.filter(f"l{level}", lambda x: F.array_contains("ps", x["p"])).alias("l"))
+    return below.select(F.explode("l").alias("x"), "fp").select("x.b", "fp").distinct()
 
 
 def _candidates(table: DataFrame, reps: DataFrame, depth: int, threshold: float, shelf: Shelf) -> DataFrame:
