@@ -3,7 +3,8 @@
 Ids of an earlier run may be gone, so a judgment is matched by its id, then by base name, line and wording, then by base
 name and line if it has no wording, then by wording alone. Every tier ranks both sides inside its key and joins on (key,
 rank): each side is consumed once, equal texts in several files get a judgment each as long as there are some, and what
-is left goes to the next tier by an anti-join. A key that holds a third of all rows is ranked in stretches.
+is left goes to the next tier by an anti-join. A key that holds a third of all rows is ranked in stretches. Wordings are
+only ever asked whether they are equal, so keys hold their SHA-256: no tier shuffles or writes a text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def wording(text: Column) -> Column:
+    """SHA-256 of plain(text), 32 bytes; of an empty one no bytes."""
+    return F.transform(F.array(plain(text)), lambda t: F.when(t == "", F.lit(b"")).otherwise(F.unhex(F.sha2(t, 256))))[0]
+
+
 def match_judgments(blocks: DataFrame, judgments: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(block_seq, judgment_seq, tier) of blocks (seq, block_id, file, line, text) and judgments (the same columns).
 
@@ -33,7 +39,7 @@ def match_judgments(blocks: DataFrame, judgments: DataFrame, stretch: int = STRE
     """
 
     def prepared(df: DataFrame, line: Column) -> DataFrame:
-        return settle(df.select("seq", "block_id", base_name(F.col("file")).alias("base"), line.alias("line"), plain(F.col("text")).alias("text")))
+        return settle(df.select("seq", "block_id", base_name(F.col("file")).alias("base"), line.alias("line"), wording(F.col("text")).alias("wording")))
 
     left = prepared(blocks, F.col("line").cast("int"))
     right = prepared(judgments, F.coalesce(F.col("line").try_cast("int"), F.lit(-1)))
@@ -46,11 +52,11 @@ def match_judgments(blocks: DataFrame, judgments: DataFrame, stretch: int = STRE
             last = theirs.filter("block_id is not null").groupBy("block_id").agg(F.max("seq").alias("judgment_seq"))
             met = first.join(last, key).select("block_seq", "judgment_seq")
         else:
-            key = {"origin": ["base", "line", "text"], "line": ["base", "line"], "text": ["text"]}[tier]
+            key = {"origin": ["base", "line", "wording"], "line": ["base", "line"], "text": ["wording"]}[tier]
             if tier == "line":
-                theirs = theirs.filter("text = ''")
+                theirs = theirs.filter("wording = X''")
             else:
-                mine, theirs = mine.filter("text <> ''"), theirs.filter("text <> ''")
+                mine, theirs = mine.filter("wording <> X''"), theirs.filter("wording <> X''")
             sides = [ranked(df.select(*key, "seq"), key, "seq", stretch).withColumnRenamed("seq", name) for df, name in ((mine, "block_seq"), (theirs, "judgment_seq"))]
             met = sides[0].join(sides[1], [*key, "rank"]).select("block_seq", "judgment_seq")
         met = settle(met.withColumn("tier", F.lit(tier)))
