@@ -10,6 +10,8 @@ Nothing is guessed and nothing is silent: each issue becomes one row with a stat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -119,23 +121,27 @@ def locate(asked: DataFrame, tags: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def _first_of_overlapping(plans: DataFrame) -> DataFrame:
-    """Adds clash: the rule of the kept edit that an edit crosses; edits are taken by (start, end, seq) within a source."""
-
-    def run(table: pa.Table) -> pa.Table:
-        starts, ends, seqs = (table[c].to_pylist() for c in ("start", "end", "seq"))
-        rows = sorted(range(table.num_rows), key=lambda i: (starts[i], ends[i], seqs[i]))
-        rules, clash = table["rule_id"].to_pylist(), [None] * table.num_rows
-        low = high = -1
-        by = None
-        for i in rows:
-            if starts[i] < high and ends[i] > low:
-                clash[i] = by
-            elif ends[i] > high:
-                low, high, by = starts[i], ends[i], rules[i]
-        return table.append_column("clash", pa.array(clash, pa.string()))
+    """Adds clash: the rule of the kept edit that an edit crosses; edits are taken by (start, end, seq) within a source.
+
+    Sources lie behind one another in a task, their edits in order: one pass over the rows, however many sources there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, low, high, by = None, -1, -1, None
+        for batch in batches:
+            paths, starts, ends, rules = (batch[c].to_pylist() for c in ("path", "start", "end", "rule_id"))
+            clash: list[str | None] = [None] * batch.num_rows
+            for i, (own, start, end) in enumerate(zip(paths, starts, ends, strict=True)):
+                if own != path:
+                    path, low, high, by = own, -1, -1, None
+                if start < high and end > low:
+                    clash[i] = by
+                elif end > high:
+                    low, high, by = start, end, rules[i]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clash, pa.string())], [*batch.schema.names, "clash"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plans.schema.fields)
-    return plans.groupBy("path").applyInArrow(run, f"{fields}, clash string")
+    return plans.repartition("path").sortWithinPartitions("path", "start", "end", "seq").mapInArrow(run, f"{fields}, clash string")
 
 
 PLAN = ["path", "seq", "rule_id", "line", "kind", "start", "end", "original", "replacement", "status", "reason"]
@@ -152,9 +158,10 @@ def plan_fixes(issues: DataFrame, texts: DataFrame, strict: bool = True) -> Data
     skipped with a reason.
     """
     issue = issues.select("path", "seq", "rule_id", F.coalesce("engine", F.lit("static")).alias("engine"), F.col("line").cast("int").alias("line"), "snippet", F.nullif("fix_snippet", F.lit("")).alias("fix"))
-    asked_paths = issue.select("path").distinct()
-    sources = texts.select("path", "text").join(asked_paths, "path", "left_semi")
-    tags = settle(source_tags(sources))
+    # Only tags of a name that an issue of the same source asks for are written.
+    asked = issue.groupBy("path").agg(F.collect_set(tag_name(F.col("snippet"))).alias("names"))
+    sources = texts.select("path", "text").join(asked, "path")
+    tags = settle(source_tags(sources, names="names"))
     web = F.coalesce(F.col("path").rlike("^https?://"), F.lit(False))
     doctype = F.lower(F.ltrim("fix")).startswith("<!doctype")
     early = F.when(web, "a page on the web has no file to write").when(F.col("fix").isNull(), "the rule has no ready correction").when(F.col("engine") != "static", "the engine describes the rendered page, not the file").when(F.coalesce("snippet", F.lit("")) == "", "the issue names no element")
@@ -199,7 +206,7 @@ def plan_fixes(issues: DataFrame, texts: DataFrame, strict: bool = True) -> Data
     status = F.when(F.col("clash").isNotNull(), "skipped").when(need.isNotNull(), "needs-input").otherwise("ready")
     kept = kept.withColumns({"status": status, "reason": F.when(F.col("clash").isNotNull(), crossed).otherwise(need)})
     idle = {c: F.lit(None).cast(plans.schema[c].dataType) for c in ("kind", "start", "end", "original", "replacement")}
-    return kept.select(*PLAN).unionByName(plans.filter("status is not null").withColumns(idle).select(*PLAN))
+    return settle(kept.select(*PLAN)).unionByName(plans.filter("status is not null").withColumns(idle).select(*PLAN))
 
 
 # ---------------------------------------------------------------- what a rule can't write
